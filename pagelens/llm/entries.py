@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import mixing, packing, records, tokencount
+from pagelens.llm import blocknames, langid, licences, mixing, packing, quality, records, tokencount
 from pagelens.llm.common import table, tokenizer_path
 
 
@@ -13,6 +13,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = quality.held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & ~held).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
@@ -22,18 +29,44 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.training_rows(docs), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+OP6_SQL = """
+    WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+    FROM texts WINDOW w AS (PARTITION BY norm)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_records": op1_token_records,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": OP6_SQL, "op7_license_scan": licences.scan_sql()}
