@@ -98,23 +98,25 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer whose pre-tokens never span white space.
 
     Such a tokenizer gives a text the ids of its white-space separated words one after another,
-    so each distinct word is encoded once and remembered. The memory is emptied at `limit` words.
+    so each distinct word is encoded once and remembered. At `limit` words the memory starts anew; words that
+    occur again then come over from the last one, so that frequent words stay.
     Words of plain Latin letters with full stops or commas behind go straight to the BPE model,
     where the tokenizer is found to lower-case and to split them as expected; all others take the whole way.
     """
 
-    _SPACES = str.maketrans("\t\n\r", "   ")
     _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00DF-\u00F6\u00F8-\u00FF]*)([.,]*)")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.bytes = byte_letters()
+        self.stops: dict[str, list[int]] = {}
         self.direct = True
         for probe in ("Hello", "\u00c9t\u00e9,", "stra\u00dfe...", "\u00c0\u00de\u00ff.,", "."):
             self.direct = self.direct and self._direct(probe) == self._whole([probe])[0]
@@ -123,39 +125,45 @@ class WordEncoder:
         m = self._PLAIN.fullmatch(word)
         if m is None:
             return None
-        ids = []
-        for part in m.groups():
-            if part:
-                part = part.lower()
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(self.bytes)
-                ids += [t.id for t in self.tok.model.tokenize(part)]
+        part, stops = m.groups()
+        ids: list[int] = []
+        if part:
+            part = part.lower()
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(self.bytes)
+            ids = [t.id for t in self.tok.model.tokenize(part)]
+        if stops:
+            if stops not in self.stops:
+                self.stops[stops] = [t.id for t in self.tok.model.tokenize(stops)]
+            ids += self.stops[stops]
         return array(self.code, ids).tobytes()
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        rest = []
-        for w in new:
-            got = self._direct(w) if self.direct else None
+    def learn(self, new: set[str]) -> None:
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old, rest = self.known, self.old, []
+        for w in new - known.keys():
+            got = old.get(w)
+            if got is None:
+                got = self._direct(w) if self.direct else None
             if got is None:
                 rest.append(w)
             else:
-                self.known[w] = got
+                known[w] = got
         for k in range(0, len(rest), 10_000):
-            self.known.update(zip(rest[k : k + 10_000], self._whole(rest[k : k + 10_000])))
+            known.update(zip(rest[k : k + 10_000], self._whole(rest[k : k + 10_000])))
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Yields the ids of each text in order."""
-        known = self.known
         for group in _groups(texts, 4_000_000):
-            words = [t.translate(self._SPACES).split(" ") for t in group]
-            if len(known) > self.limit:
-                known.clear()
-            self.learn(list(set().union(*words) - known.keys()))
+            words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in group]
+            self.learn(set().union(*words))
+            find = self.known.__getitem__
             for ws in words:
-                yield np.frombuffer(b"".join(map(known.__getitem__, ws)), self.dtype)
+                yield np.frombuffer(b"".join(map(find, ws)), self.dtype)
 
 
 def _groups(texts: Iterable[str], n_chars: int) -> Iterator[list[str]]:
