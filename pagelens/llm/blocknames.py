@@ -84,10 +84,17 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
 
 def kept_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of `docs` that stay, with all its columns; of fully repeated (doc_id, text) rows one stays."""
+    """The rows of `docs` that stay, with all its columns; of rows with one doc_id and equal texts one stays."""
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = docs.withColumns({"_dup_id": F.col("doc_id").cast("long"), "_dup_digest": F.unhex(F.sha2(text, 256))})
-    staying = exact_duplicates(docs, block_chars).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
-    kept = keyed.join(staying, keyed._dup_id.eqNullSafe(F.col("_keep_id")) & (keyed._dup_digest == F.col("_keep_digest")), "left_semi")
-    w = Window.partitionBy("_dup_id", "_dup_digest").orderBy("text")
-    return kept.withColumn("_dup_n", F.row_number().over(w)).filter("_dup_n = 1").select(*docs.columns)
+    staying = exact_duplicates(docs, block_chars).filter("kept").groupBy(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).agg(F.count("*").alias("_keep_rows"))
+    staying = written(staying, "staying")
+
+    def rows(which: DataFrame) -> DataFrame:
+        return keyed.join(which, keyed._dup_id.eqNullSafe(F.col("_keep_id")) & (keyed._dup_digest == F.col("_keep_digest")), "left_semi")
+
+    kept = rows(staying.filter("_keep_rows = 1")).select(*docs.columns)
+    repeated = staying.filter("_keep_rows > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows(repeated).dropDuplicates(["_dup_id", "_dup_digest"]).select(*docs.columns))
+    return kept

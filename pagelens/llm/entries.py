@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import blocknames, langid, licences, mixing, packing, quality, records, tokencount
+from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, tokencount
 from pagelens.llm.common import table, tokenizer_path
 
 
@@ -13,6 +13,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality.held_out(F.col("doc_id"))
     labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & ~held).select("doc_id", F.col("quality").alias("label"))
@@ -38,6 +42,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
@@ -48,6 +56,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP6_SQL = """
     WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -58,13 +72,16 @@ OP6_SQL = """
 def queries() -> dict:
     return {
         "op1_token_records": op1_token_records,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_license_scan": op7_license_scan,
+        "op8_cross_polytope_neighbours": op8_cross_polytope_neighbours,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pagelens.llm.common import _groups
 
@@ -159,10 +160,11 @@ def learn(rows: DataFrame, vocabulary: str, max_docs: int, seed: int = 11) -> tu
     return langs, probabilities(counts, np.array([max(1, len(p)) for p in v.number]))
 
 
-def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000) -> DataFrame:
-    """`docs` rows as `doc_id, text_hash, lang_pred, score`. score is the share of the best language in the likelihood of an average word."""
+def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000) -> DataFrame:
+    """`docs` with two more columns, `_lang_pred` and `_lang_score`: the share of the best language in the likelihood of an average word."""
     langs, probs = learn(train, vocabulary, max_docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, probs))
+    text_at = docs.columns.index("text")
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, probs = model.value
@@ -171,7 +173,7 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int =
         table = np.zeros((0, len(langs)))
         for b in batches:
             preds, scores = [], []
-            texts = ["" if t is None else t for t in b.column(2).to_pylist()]
+            texts = ["" if t is None else t for t in b.column(text_at).to_pylist()]
             for group in _groups(texts, 4_000_000):
                 words = [words_of(t) if langs else [] for t in group]
                 if len(known) > 500_000:
@@ -189,10 +191,21 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int =
                     k = int(mean.argmax())
                     preds.append(langs[k])
                     scores.append(float(1 / np.exp(mean - mean[k]).sum()))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text_hash": b.column(1), "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "_lang_pred", "_lang_score"])
+
+    return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())]))
+
+
+def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000) -> DataFrame:
+    """`doc_id, lang_pred, score` for each row of `docs(doc_id, text)`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_language(rows, train, vocabulary, max_docs).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(predict, "doc_id long, text_hash long, lang_pred string, score double")
+def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.5, max_docs: int = 2000) -> DataFrame:
+    """The rows of `docs` whose text has letters and of which the best language has at least the share `least`, with all columns of `docs`."""
+    found = with_language(docs, training_rows(docs), vocabulary, max_docs)
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(*docs.columns)
 
 
 def held_out(doc_id):
