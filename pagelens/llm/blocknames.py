@@ -77,7 +77,7 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
 def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`doc_id, digest, keep_id, group_size, kept` for each row of `docs(doc_id, text)`; of equal texts the row with the largest doc_id stays."""
     ids = written(name_documents(docs, block_chars), "identities")
-    groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    groups = written(ids.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "groups")
     out = ids.join(groups, ["levels", "name"])
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
