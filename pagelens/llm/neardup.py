@@ -31,8 +31,8 @@ from pagelens.llm.common import n_partitions, written
 from pagelens.llm.components import components
 
 HASHES, BAND_ROWS, BITS, SLACK = 128, 4, 4, 5.0
-#: Members of a bucket in a block of the second comparison.
-BLOCK = 1000
+#: Members of a family in a block of the second comparison.
+BLOCK = 500
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -168,13 +168,14 @@ def _text_hash():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of `pairs(a, b)` of classes whose full sets are similar. A class's set comes from the whole text of one of its rows."""
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = classes.join(ends, "c", "left_semi").select("c", F.col("rep_id").alias("_id"), F.col("rep_hash").alias("_hash"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`c, text`: the whole text of one row of each class in `wanted(c, rep_id, rep_hash)`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_hash"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(wanted.withColumnsRenamed({"_id": "_rid", "_hash": "_rhash"}), F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")))
-    texts = written(texts.groupBy("c").agg(F.first("text").alias("text")), "texts")
+    return rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash"))).groupBy("c").agg(F.first("text").alias("text"))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of `pairs(a, b)` of classes whose full sets are similar."""
     left, right = (texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(check, "a long, b long"), "links")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -205,52 +206,61 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def _rest(members: DataFrame, least: int) -> DataFrame:
-    """Likely pairs across components inside buckets. members: `key, c, root, sig` of the buckets that hold several components.
+def _families(members: DataFrame) -> DataFrame:
+    """`main, c, root, outside` from `members(key, c, root)` of buckets that hold several components: a bucket belongs to the component with most members in it."""
+    main = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = members.join(main, "key").select("main", "c", "root").distinct()
+    return rows.withColumn("outside", F.col("root") != F.col("main"))
+
 
-    A bucket's largest component is its main one. Members outside it meet all members of the bucket, block by block; a
-    block of outsiders is sent to each block of members, and the members' blocks to each block of outsiders.
+def _rest(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links across components inside families: at most one for each outsider and component in a block.
+
+    A block of outsiders meets each block of members; a member is sent to each block of outsiders.
     """
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    rows = members.join(main, "key")
-    rows = rows.withColumns({
-        "blocks": F.ceil(F.col("all") / BLOCK).cast("int"),
-        "out_blocks": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"),
-        "deal": F.xxhash64("c"),
-    })
-    outside = rows.filter("root <> main").withColumns({"i": F.pmod("deal", "out_blocks").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "outside": F.lit(True)})
-    inside = rows.withColumns({"j": F.pmod("deal", "blocks").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)), "outside": F.lit(False)})
-    cols = ["key", "i", "j", "outside", "c", "root", "sig"]
+    sizes = families.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("outside"), 1)) / BLOCK).cast("int").alias("out_blocks"))
+    rows = families.join(sizes, "main").withColumn("deal", F.xxhash64("c")).join(texts, "c")
+    cols = ["main", "i", "j", "asks", "c", "root", "text"]
+    asking = rows.filter("outside").withColumns({"i": F.pmod("deal", "out_blocks").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    asked = rows.withColumns({"j": F.pmod("deal", "blocks").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)), "asks": F.lit(False)})
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, so one pair of blocks is in memory at a time."""
-        rest = None
+        shingle = Shingler(words)
+        block, rows = None, []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            k = np.stack([t.column(x).to_numpy() for x in ("key", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
-            rest = t.slice(cuts[-1])
-            yield from found(t, cuts)
-        if rest is not None and len(rest):
-            yield from found(rest, [0, len(rest)])
-
-    def found(t: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        out, c, root = t.column("outside").to_numpy(), t.column("c").to_numpy(), t.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1)
-        got: list[np.ndarray] = []
-        for x, y in zip(cuts, cuts[1:]):
-            inner = x + np.flatnonzero(~out[x:y])
-            for k in x + np.flatnonzero(out[x:y]):
-                hit = inner[(root[inner] != root[k]) & (agreed(sig[k], sig[inner]) >= least)]
-                got.append(np.stack([np.minimum(c[k], c[hit]), np.maximum(c[k], c[hit])]))
-        if got:
-            pairs = np.unique(np.hstack(got), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    both = outside.select(*cols).unionByName(inside.select(*cols))
-    return both.repartition(n_partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+            for main, i, j, asks, c, root, text in zip(*(x.to_pylist() for x in batch.columns)):
+                if (main, i, j) != block:
+                    yield from links(rows)
+                    block, rows = (main, i, j), []
+                rows.append((asks, c, root, shingle(text)))
+        yield from links(rows)
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = [r for r in rows if not r[0]]
+        asking = [r for r in rows if r[0]]
+        if not own or not asking:
+            return
+        sizes = np.array([len(r[3]) for r in own])
+        values, owner = np.concatenate([r[3] for r in own]), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        c, root = np.array([r[1] for r in own]), np.array([r[2] for r in own])
+        a, b = [], []
+        for _, asker, its_root, its_set in asking:
+            lo, hi = np.searchsorted(values, its_set, "left"), np.searchsorted(values, its_set, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            both = np.bincount(owner[at], minlength=len(own))
+            hit = np.flatnonzero((100 * both >= percent * (sizes + len(its_set) - both)) & (root != its_root))
+            first = hit[np.unique(root[hit], return_index=True)[1]]
+            a += [asker] * len(first)
+            b += c[first].tolist()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    both = asking.select(*cols).unionByName(asked.select(*cols))
+    return both.repartition(n_partitions(families.sparkSession), "main", "i", "j").sortWithinPartitions("main", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -263,20 +273,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     least = least_agreed(percent / 100)
 
     in_buckets = classes.select("c", F.explode("keys").alias("key"))
-    shared = in_buckets.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    shared = in_buckets.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("n > 1")
     members = written(in_buckets.join(shared, "key"), "buckets")
     stars = members.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).unionByName(members.filter("c <> high").select(F.col("c").alias("a"), F.col("high").alias("b")))
     first = written(_likely(stars.distinct(), classes, least), "pairs")
-    links = _confirm(first, docs, classes, words, percent)
+    crowded = members.filter("n > 3").select("key", "c")  # in a bucket of three, smallest and largest member see all pairs
+    ends = first.select(F.col("a").alias("c")).unionByName(first.select(F.col("b").alias("c"))).unionByName(crowded.select("c")).distinct()
+    wanted = classes.join(ends, "c", "left_semi").select("c", "rep_id", "rep_hash")
+    texts = written(_texts(docs, wanted), "texts")
+    links = written(_confirm(first, texts, words, percent), "links")
     roots = written(components(links), "roots")
 
-    rooted = members.select("key", "c").join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
+    rooted = crowded.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    open_ = written(rooted.join(split, "key", "left_semi").join(classes.select("c", "sig"), "c"), "open")
-    second = written(_rest(open_, least).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = _confirm(second, docs, classes, words, percent)
-        roots = written(components(links.unionByName(more)), "roots")
+    families = written(_families(rooted.join(split, "key", "left_semi")), "families")
+    more = written(_rest(families, texts, words, percent), "links")
+    if not more.isEmpty():
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
     ids = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_key", "low_id", F.coalesce("root", "c").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("low_id").alias("component_id"))
