@@ -95,6 +95,12 @@ class Crawl:
             F.lit(None).alias("content_type"), F.lit(False).alias("rendered"), F.lit(None).alias("fetched_at"), F.lit(None).alias("error"),
         )
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows as files of this round: what several later steps read is worked out once, and their plans stay small."""
+        path = f"{self.store.root}/work/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _frontier(self, pages: DataFrame) -> DataFrame:
         queued = pages.filter("state = 'queued'")
         assets = queued.filter("kind <> 'page'")
@@ -141,11 +147,10 @@ class Crawl:
         })
         wants = policy.render_wanted(F.col("final_url"), F.col("html.mount_nodes"), F.col("html.text_chars"), F.col("html.noscript_js"), F.size("html.images"), cfg.render.mode, cfg.render.patterns)
         f = f.withColumn("rendered", F.col("as_html") & F.col("rendered_html").isNotNull() & F.coalesce(wants, F.lit(False))).drop("body", "text", "rendered_html", "content_length", "headers")
-        path = f"{store.root}/round"
-        f.write.mode("overwrite").parquet(path)
-        f = self.spark.read.parquet(path)
+        f = self._kept(f, "round")
 
-        images, occurrences = self._new_images(self._image_refs(f), store.table("image_url"), store.table("occurrence"))
+        refs = self._kept(self._image_refs(f), "refs")
+        images, occurrences = self._new_images(refs, store.table("image_url"), store.table("occurrence"))
         done = f.select(
             "page_id",
             F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("failure").isNotNull(), "failed").otherwise("done").alias("_state"),
@@ -157,7 +162,7 @@ class Crawl:
             F.coalesce("_status", "status").alias("status"), F.coalesce("_final", "final_url").alias("final_url"), F.coalesce("_ctype", "content_type").alias("content_type"),
             F.coalesce("_rendered", "rendered").alias("rendered"), F.coalesce("_at", "fetched_at").alias("fetched_at"), F.coalesce("_error", "error").alias("error"),
         )
-        new = self._new_pages(f, pages)
+        new = self._kept(self._new_pages(f, pages), "pages")
         top = pages.agg(F.max("page_id")).first()[0] or 0
         store.commit({"page": finished.unionByName(self._numbered(new, top, [*_ORDER, "url"])), "image_url": images, "occurrence": occurrences})
         return True
@@ -248,13 +253,14 @@ class Crawl:
             "source": F.when(F.col("_d").isNotNull(), "data-uri").otherwise(F.col("source")),
             "inline": F.col("_d.data"), "context": T.collapse(F.col("context")),
         }).drop("_d")
+        refs = self._kept(refs, "made")
         fresh = first_by(refs.select("url", "source", "inline", "parent", "section", "pos", "kind"), ["url"], [*_ORDER, "kind"]).join(images.select("url"), "url", "left_anti")
         top = images.agg(F.max("image_id")).first()[0] or 0
         reason = F.when(F.col("source") != "data-uri", policy.image_reason(F.col("url"), scope))
         blank = {c: F.lit(None) for c in ("sha256", "final_url", "status", "content_type", "headers", "url_filename", "fetched_at", "error")}
         rows = rank(fresh, [*_ORDER, "kind", "url"], "_n").withColumn("image_id", F.col("_n") + top).withColumns(blank).withColumn("skip_reason", reason)
         rows = rows.withColumn("state", F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("queued"))
-        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in images.schema])
+        typed = self._kept(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in images.schema]), "images")
         all_images = images.unionByName(typed)
         seen = refs.join(all_images.select("url", "image_id"), "url").withColumn("_page", F.coalesce("page_id", F.lit(0)))
         first = first_by(seen.select("image_id", "_page", "kind", "page_id", "context", "section", "pos", "parent"), ["image_id", "_page", "kind"], _ORDER)
@@ -292,9 +298,7 @@ class Crawl:
         climbed = ladder.climb(rows.withColumn("body", F.when(F.col("gate").isNull() & F.col("failure").isNull(), F.coalesce("body", F.lit(b""))).otherwise(F.lit(b""))), cfg.filters, cfg.limits)
         stops = F.coalesce("gate", F.when(F.col("failure").isNull(), F.col("skip_reason")))
         climbed = climbed.withColumn("skip_reason", stops).withColumn("sha256", F.when(F.col("skip_reason").isNull() & F.col("failure").isNull(), F.col("sha256")))
-        path = f"{store.root}/images"
-        ladder.store(climbed, "image_id", files).write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path)
+        stored = self._kept(ladder.store(climbed, "image_id", files), "stored")
         spent = F.when(F.col("outcome") == "saved", F.col("bytes")).otherwise(F.lit(0)).cast("long")
         claimed = running_total(stored, ["image_id"], spent, "_before").filter(F.col("_before") + have < cfg.limits.max_total_bytes).drop("_before")
         ends = claimed.select(
