@@ -19,8 +19,9 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 def responses_from_files(spark: SparkSession, path: str, base_url: str, most_bytes: int = 50 << 20) -> DataFrame:
     """A folder of files as a snapshot: the path below the folder becomes the path of the URL. Files above `most_bytes` are left out before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= most_bytes)
-    root = path.rstrip("/").removeprefix("file:")
-    below = F.element_at(F.split("path", F.lit(f"\\Q{root}\\E")), -1)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    below = F.substring("path", len(root.rstrip("/")) + 1, 1 << 20)
     name = F.lower(F.element_at(F.split("path", r"\."), -1))
     kinds = {"html": "text/html", "htm": "text/html", "css": "text/css", "xml": "application/xml", "txt": "text/plain", "json": "application/json", "webmanifest": "application/manifest+json"}
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[name]
