@@ -624,6 +624,48 @@ def glob_match(spark, sf_dir):
     return _parts(spark, sf_dir).select("k", matches_any(F.col("p_name"), ["[!b]*a*", "a*"]).alias("hit"))
 
 
+@query("SELECT doc_id, sha256(text) AS decoded FROM documents")
+def charset_decode(spark, sf_dir):
+    """Bodies decoded by their header's charset, or by what their markup says, or as UTF-8."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("doc_id") % 3 == 1, "text/html; charset=nope")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.decode(F.col("text").cast("binary"), kind).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("decoded"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 2000 OR doc_id % 50 = 0 THEN 'BodyTooLarge' END AS error, CASE WHEN strlen(text) <= 2000 AND doc_id % 50 > 0 THEN strlen(text) END AS bytes FROM documents")
+def body_cap(spark, sf_dir):
+    body = readers.capped_body(F.col("text").cast("binary"), F.when(F.col("doc_id") % 50 == 0, 5000), 2000)
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("b")).select("doc_id", "b.error", F.length("b.body").cast("long").alias("bytes"))
+
+
+@query("SELECT p_partkey AS k, p_partkey % 4 <> 2 AS html, (p_size > 25 AND p_partkey % 7 * 100 < 500) OR (p_partkey % 2 = 0 AND p_size % 5 < 3) OR p_partkey % 11 = 0 AS render FROM part")
+def page_kinds(spark, sf_dir):
+    """Whether a response is HTML, and whether a page wants rendering."""
+    k, n = F.col("k"), F.col("p_size")
+    kind = F.when(k % 4 == 0, "text/HTML; x").when(k % 4 == 1, "application/xhtml+xml-html").when(k % 4 == 2, "image/png")
+    body = F.when(k % 4 == 3, F.lit(b" <p>")).otherwise(F.lit(b"x"))
+    mounts = F.when(n > 25, F.array(F.lit("root"))).otherwise(F.array().cast("array<string>"))
+    wants = policy.render_wanted(F.when(k % 11 == 0, "https://e.com/app/x").otherwise("https://e.com/"), mounts, k % 7 * 100, k % 2 == 0, n % 5, "auto", ["*/app/*"])
+    return _parts(spark, sf_dir).select("k", policy.is_html(kind, body).alias("html"), wants.alias("render"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes FROM documents WHERE doc_id % 2 = 0")
+def gunzip_bodies(spark, sf_dir):
+    """Sitemap bodies, plain or compressed, unfolded under a cap; here plain ones pass as they are."""
+    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", X.gunzip(F.col("text").cast("binary")).alias("b"))
+    return d.select("doc_id", F.length("b").cast("long").alias("bytes"))
+
+
+@query(_STATE_SQL + "SELECT 'images/orphan' || page_id || '.png' AS path FROM page WHERE page_id % 5 = 0")
+def stored_orphans(spark, sf_dir):
+    """Stored paths that no file row knows."""
+    from pagelens.state import orphans
+
+    s = _state(spark, sf_dir)
+    extra = s["page"].filter("page_id % 5 = 0").select(F.concat(F.lit("images/orphan"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    return orphans(s["file"].select("path").unionByName(extra), s["file"])
+
+
 # Whole crawl over a small site
 
 
