@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -82,6 +84,23 @@ def forget(df: DataFrame) -> None:
     delete(df.sparkSession, df._pagelens_path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that few texts are Python objects at a time. At the end of a task a worker that lives on gives free memory back, for executors count it as theirs."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only the GNU C library has it
+        pass
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
@@ -106,7 +125,7 @@ class WordEncoder:
 
     _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00DF-\u00F6\u00F8-\u00FF]*)([.,]*)")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -158,7 +177,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Yields the ids of each text in order."""
-        for group in _groups(texts, 4_000_000):
+        for group in _groups(texts, 2_000_000):
             words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in group]
             self.learn(set().union(*words))
             find = self.known.__getitem__

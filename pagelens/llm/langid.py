@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pagelens.llm.common import _groups
+from pagelens.llm.common import _groups, slices
 
 LONGEST, MARK = 100, "▁"
 #: Probability of a character outside the vocabulary, in every language; and a factor for each character, which keeps products within doubles.
@@ -144,7 +144,7 @@ def learn(rows: DataFrame, vocabulary: str, max_docs: int, seed: int = 11) -> tu
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(vocabulary)
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in seen.items():
@@ -171,17 +171,17 @@ def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs:
         v = pieces(vocabulary)
         known: dict[str, int] = {}
         table = np.zeros((0, len(langs)))
-        for b in batches:
+        for b in slices(batches):
             preds, scores = [], []
             texts = ["" if t is None else t for t in b.column(text_at).to_pylist()]
-            for group in _groups(texts, 4_000_000):
+            for group in _groups(texts, 1_000_000):
                 words = [words_of(t) if langs else [] for t in group]
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known, table = {}, table[:0]
                 new = list(set().union(*words) - known.keys())
                 if new:
                     known.update((w, len(table) + k) for k, w in enumerate(new))
-                    table = np.concatenate([table, *(v.forward(new[k : k + 5000], probs) for k in range(0, len(new), 5000))])
+                    table = np.concatenate([table, *(v.forward(new[k : k + 2000], probs) for k in range(0, len(new), 2000))])
                 for ws in words:
                     if not ws:
                         preds.append("und")

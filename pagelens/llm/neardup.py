@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import n_partitions, written
+from pagelens.llm.common import n_partitions, slices, written
 from pagelens.llm.components import components
 
 HASHES, BAND_ROWS, BITS, SLACK = 128, 4, 4, 5.0
@@ -146,19 +146,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         shingle, signer = Shingler(words), Signer()
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                cols: list[list] = [[], [], [], []]
-                for text in part.column(2).to_pylist():
-                    s = shingle(text)
-                    m = signer.minima(s) if len(s) else None
-                    cols[0].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    cols[1].append(len(s))
-                    cols[2].append(signer.pack(m) if len(s) else None)
-                    cols[3].append(signer.keys(m) if len(s) else None)
-                types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "text_hash", "set_key", "n_shingles", "sig", "keys"])
+        for part in slices(batches):
+            cols: list[list] = [[], [], [], []]
+            for text in part.column(2).to_pylist():
+                s = shingle(text)
+                m = signer.minima(s) if len(s) else None
+                cols[0].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                cols[1].append(len(s))
+                cols[2].append(signer.pack(m) if len(s) else None)
+                cols[3].append(signer.keys(m) if len(s) else None)
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "text_hash", "set_key", "n_shingles", "sig", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id long, text_hash long, set_key binary, n_shingles long, sig binary, keys array<long>")
@@ -180,7 +178,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             last, sets, ok = None, np.zeros(0, np.uint64), []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if ta != last:

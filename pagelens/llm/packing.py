@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import texts_of, word_encoder, written
+from pagelens.llm.common import slices, texts_of, word_encoder, written
 
 #: Parts in which the pieces of one length are ranked, so that no length is ranked by one task.
 SALTS = 128
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n = word_encoder(tokenizer), TaskContext.get().partitionId() << 40
         end = np.array([end_id], enc.dtype)
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(texts_of(b))):
                 ids = np.concatenate((ids, end))

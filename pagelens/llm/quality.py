@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import n_partitions, written
+from pagelens.llm.common import n_partitions, slices, written
 
 #: Classes of bytes: bytes from 0x80 on belong to letters.
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -66,7 +66,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """`doc_id, stats` for each row of `docs(doc_id, text)`."""
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = [statistics("" if t is None else t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 

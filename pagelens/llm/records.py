@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import n_partitions, new_dir, texts_of, word_encoder
+from pagelens.llm.common import n_partitions, new_dir, slices, texts_of, word_encoder
 
 _MASK, _HEAD, _ENTRY = 0xA282EAD8, struct.Struct("<BqB"), np.dtype([("offset", "<u8"), ("n", "<u4")])
 
@@ -90,7 +90,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> lis
         entries: list[tuple[int, int]] = []
         at = n_ids = 0
         sink = None
-        for b in batches:
+        for b in slices(batches):
             if sink is None:
                 fs.create_dir(path, recursive=True)
                 sink = fs.open_output_stream(tmp + ".rec", buffer_size=1 << 20)

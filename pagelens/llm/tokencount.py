@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import byte_letters, n_partitions, texts_of
+from pagelens.llm.common import byte_letters, n_partitions, slices, texts_of
 
 #: Fixed value: the public byte-level pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, number, block = _pre(tokenizer), TaskContext.get().partitionId() << 32, _Block()
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b)):
                 block.add(doc_id, text, pre.of(text))
                 if block.chars >= block_chars:
