@@ -2,7 +2,7 @@
 
 Each stage takes all rows that the stage before it kept, with the columns of `documents`, and its decisions take effect:
 
-1. language ID drops documents without letters or without a clear language,
+1. language ID drops documents whose language cannot be determined (`und`: no letters),
 2. exact dedup keeps of equal texts the row with the largest doc_id,
 3. near dedup keeps of each group of near duplicates the row with the smallest doc_id,
 4. mixing repeats or leaves out documents so that sources come near their target weights,

@@ -202,7 +202,7 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int =
     return with_language(rows, train, vocabulary, max_docs).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
-def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.5, max_docs: int = 2000) -> DataFrame:
+def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.0, max_docs: int = 2000) -> DataFrame:
     """The rows of `docs` whose text has letters and of which the best language has at least the share `least`, with all columns of `docs`."""
     found = with_language(docs, training_rows(docs), vocabulary, max_docs)
     return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(*docs.columns)
