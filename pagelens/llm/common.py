@@ -125,7 +125,7 @@ class WordEncoder:
 
     _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00DE\u00DF-\u00F6\u00F8-\u00FF]*)([.,]*)")
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -135,27 +135,34 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.bytes = byte_letters()
-        self.stops: dict[str, list[int]] = {}
+        self.stops: dict[str, bytes] = {}
+        model = self.tok.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # every word comes once, so the model's own memory only costs
+        self.tokenize = model.tokenize
         self.direct = True
         for probe in ("Hello", "\u00c9t\u00e9,", "stra\u00dfe...", "\u00c0\u00de\u00ff.,", "."):
             self.direct = self.direct and self._direct(probe) == self._whole([probe])[0]
 
     def _direct(self, word: str) -> bytes | None:
+        if word.isascii() and word.isalpha():
+            return self._plain(word.lower())
         m = self._PLAIN.fullmatch(word)
         if m is None:
             return None
         part, stops = m.groups()
-        ids: list[int] = []
-        if part:
-            part = part.lower()
-            if not part.isascii():
-                part = part.encode().decode("latin-1").translate(self.bytes)
-            ids = [t.id for t in self.tok.model.tokenize(part)]
+        part = part.lower()
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.bytes)
+        ids = self._plain(part) if part else b""
         if stops:
             if stops not in self.stops:
-                self.stops[stops] = [t.id for t in self.tok.model.tokenize(stops)]
+                self.stops[stops] = self._plain(stops)
             ids += self.stops[stops]
-        return array(self.code, ids).tobytes()
+        return ids
+
+    def _plain(self, part: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(part)]).tobytes()
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -177,7 +184,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Yields the ids of each text in order."""
-        for group in _groups(texts, 2_000_000):
+        for group in _groups(texts, 4_000_000):
             words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in group]
             self.learn(set().union(*words))
             find = self.known.__getitem__
