@@ -1,6 +1,7 @@
 """Running totals and ranks in one order over all rows, without bringing all rows to one task.
 
 Rows are dealt by ranges of the order; each range is summed by itself, and the few range totals give what comes before it.
+The dealt rows are kept as files first: ranges are drawn by sampling, and a second draw could cut elsewhere.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.storage import kept
+
 
 def running_total(df: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over all rows before this one. `order` must tell all rows apart."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    dealt = kept(df.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_sum"), F.min(F.struct(*order)).alias("_first"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

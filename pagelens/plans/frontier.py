@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='pagelens-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from pagelens.storage import shared_folder
 
 
 def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

@@ -691,8 +691,8 @@ def crawl_site(spark, sf_dir):
     """A crawl to its fix-point over a made-up site: a start page with eight links, each page linking back, under a pattern limit."""
     from pagelens.config import Config, build
     from pagelens.plans.crawl import Crawl
-    from pagelens.plans.frontier import shared_folder
     from pagelens.schema import RESPONSE
+    from pagelens.storage import shared_folder
 
     cfg = build(Config, {"seeds": ["https://e.com/"], "out": shared_folder(spark, "crawl"), "limits": {"max_pages_per_pattern": 7, "max_depth": 20}}).settle()
     pages = spark.range(0, 9).select(F.col("id").alias("n")).select(
