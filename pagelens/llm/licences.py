@@ -2,7 +2,9 @@
 
 A unit of text is made canonical: lower-cased, licences spelled one way, copyright lines dropped, everything but letters
 and digits turned into single spaces. The digest of the whole canonical unit is looked up among the digests of known
-licence texts and notices. Units are the whole document and each of its lines; nothing is matched in part.
+licence texts and notices: the notices of KNOWN and the whole texts in the folder licence_texts, each with and without
+its title and appendix. Units are the whole document and each of its lines; nothing is matched in part. In a whole
+document it does not matter where lines are wrapped. scan_sql knows the notices alone.
 
 Rows: null text counts as empty and has no licence. Lines without letters or digits are no units. Rows that share a
 doc_id are rows of their own. Extra columns are ignored. Empty tables give no rows.
@@ -10,6 +12,9 @@ doc_id are rows of their own. Extra columns are ignored. Empty tables give no ro
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,43 +61,68 @@ SPELLINGS = (
 #: A copyright line, from its first character to its end; only a line feed ends a line.
 COPYRIGHT_LINE = r"^[\x20\x09]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
+_YEAR = r"[<\[{]?(?:[0-9]{4}|year|yyyy)"
+
+#: A line that is a copyright notice: a sign or a year follows, so that wrapped sentences and list items `(c)` stay.
+COPYRIGHT_NOTICE = rf"^[\x20\x09]*(?:copyright[\x20\x09:]*(?:\(c\)|©|{_YEAR})|\(c\)[\x20\x09]*(?:copyright|{_YEAR})|©|all rights reserved)[^\n]*$"
+
+TEXTS = Path(__file__).parent / "licence_texts"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """The licences of the folder by their identifiers, each whole, without its title, and both without what follows its terms."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        for t in (text, re.split(r"\n[ \t]*\n", text, maxsplit=1)[1]):
+            out += [(path.stem.split("+")[0], x) for x in {t, re.split(r"(?<=END OF TERMS AND CONDITIONS)\n", t)[0], re.split(r"\n[ \t]*END OF TERMS AND CONDITIONS\n", t)[0]}]
+    return out
 
-def canonical_lines(col):
-    """A text's canonical lines, parted by line feeds as in the text."""
-    out = ascii_lower(col)
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, f"(?md){COPYRIGHT_LINE}", "")
-    return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
 
+def without_notices(col):
+    """A text, lower-cased, without its copyright notices."""
+    return F.regexp_replace(ascii_lower(col), f"(?md){COPYRIGHT_NOTICE}", "")
 
-def canonical(lines):
-    """The canonical form of a whole unit, from its canonical lines."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+
+def canonical_lines(bare):
+    """A text's canonical lines, parted by line feeds as in the text without notices."""
+    return F.regexp_replace(_spelled(bare), r"[^a-z0-9\n]+", " ")
+
+
+def canonical(bare):
+    """The canonical form of a whole unit without notices. Words are parted by single spaces first, for spellings go over the ends of lines."""
+    joined = F.trim(F.regexp_replace(bare, r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(_spelled(joined), r"[^a-z0-9]+", " "))
+
+
+def _spelled(col):
+    for a, b in SPELLINGS:
+        col = F.replace(col, F.lit(a), F.lit(b))
+    return col
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known) -> DataFrame:
     """`digest, license_id, size` of the known texts; at most as many rows as the table has texts."""
-    texts = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(canonical_lines(F.col("text"))).alias("text"))
+    texts = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(without_notices(F.col("text"))).alias("text"))
     return texts.select(F.sha2("text", 256).alias("digest"), "license_id", F.length("text").alias("size")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("size").alias("size"))
 
 
-def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan_licences(docs: DataFrame, known=None) -> DataFrame:
     """`doc_id, text_digest, text_license, n_license_lines, line_licenses` for each row of `docs(doc_id, text)`.
 
     Whole texts meet the known digests in a hash join. A line's digest is looked up inside its row, so that lines need
-    no shuffle; lines whose canonical form is shorter or longer than all known texts equal none of them.
+    no shuffle; lines whose canonical form is not as long as one of the known texts equal none of them.
     """
     spark = docs.sparkSession
-    table = known_digests(spark, known)
+    table = known_digests(spark, [*KNOWN, *whole_texts()] if known is None else known)
     rows = sorted(table.collect())  # at most len(known) rows
     by_digest = F.create_map(*[F.lit(x) for r in rows for x in (r.digest, r.license_id)])
-    sizes = [r["size"] for r in rows]
-    text = canonical_lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    lined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("lined"))
-    lines = F.filter(F.transform(F.split("lined", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(min(sizes), max(sizes)))
+    sizes = sorted({r["size"] for r in rows})
+    bare = without_notices(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare.alias("bare"))
+    lines = F.filter(F.transform(F.split(canonical_lines(F.col("bare")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
     found = F.filter(F.transform(lines, lambda x: by_digest[F.sha2(x, 256)]), lambda x: x.isNotNull())
-    out = lined.select("doc_id", F.sha2(canonical(F.col("lined")), 256).alias("digest"), F.array_sort(found).alias("found"))
+    out = texts.select("doc_id", F.sha2(canonical(F.col("bare")), 256).alias("digest"), F.array_sort(found).alias("found"))
     out = out.join(F.broadcast(table), "digest", "left")
     return out.select(
         "doc_id", F.col("digest").alias("text_digest"), F.col("license_id").alias("text_license"),

@@ -170,3 +170,30 @@ def test_licences(spark, docs, edge, empty):
         want = Counter(map(str, c.execute(f"SELECT {cols} FROM ({licences.scan_sql()})").fetchall()))
         assert Counter(str(tuple(r)) for r in licences.scan_licences(df).selectExpr(*cols.split(", ")).collect()) == want
     assert set(entries.oracle_sql()) <= set(entries.queries())
+
+
+def test_whole_licences(spark):
+    """Whole texts, as they are, unwrapped and wrapped anew, with notices of their own, and texts that differ by a sentence."""
+    import re
+    import textwrap
+    from itertools import groupby
+
+    rows, want = [], {}
+    for path in sorted(licences.TEXTS.glob("*.txt")):
+        text = re.sub(r"(?im)^([ \t]*copyright \(c\)).*$", r"\1 2020 Some One", path.read_text())
+        _, body = re.split(r"\n[ \t]*\n", text, maxsplit=1)
+        notice = re.compile(r"(?i).*copyright (\(c\)|\[yyyy)")  # such lines stay lines
+
+        def again(part, width):
+            lines = [x for k, g in groupby(part.split("\n"), lambda x: bool(notice.match(x))) for x in (g if k else [" ".join(" ".join(g).split())])]
+            return "\n".join(x if notice.match(x) else textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in lines)
+
+        forms = [text, body, *("\n\n".join(again(p, n) for p in re.split(r"\n[ \t]*\n", text)) for n in (30, 57, 79, 10**6))]
+        for form in forms:
+            rows.append((len(rows), form, "en", "s"))
+            want[len(want)] = path.stem.split("+")[0]
+        rows.append((len(rows), text + "\nbut not for you", "en", "s"))
+        want[len(want)] = None
+    got = {r.doc_id: r.text_license for r in licences.scan_licences(make(spark, rows)).collect()}
+    assert {i: (got[i], want[i], rows[i][1][:200]) for i in want if got[i] != want[i]} == {}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "WTFPL"} <= set(want.values())
