@@ -9,6 +9,9 @@ Vectors that are equal are one entry of the index, with as many of their smalles
 that a third of all rows share fills no cell. Cells are searched in parts of bounded size (by a salt that grows with the
 table), and each part sends on only its best for each query.
 
+A query has k rows, or all other rows where there are fewer. Queries for which the cells give fewer are compared with the
+whole index, in parts of bounded size that again send on only their best; their answer is exact.
+
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part; rows with null vec_id
 neither. Vectors of another length than the most frequent one (of equally frequent ones the longest) take no part. Of rows
 that share a vec_id the one with the smallest vector counts. Extra columns are ignored. Empty tables give no rows.
@@ -28,6 +31,8 @@ from pagelens.llm.common import n_partitions, written
 
 #: Vectors that a part of a cell holds on average.
 PART_ROWS = 2000
+#: Queries that meet a part of the index together where cells gave too few rows.
+SHORT_QUERIES = 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -82,8 +87,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: int = 20, seed: int = 3) -> DataFrame:
-    """`query_id, rank, vec_id, score`: for each row of `vectors(vec_id, embedding)` where `is_query` (a column) holds, the k nearest found among all other rows."""
+def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: int | None = None, seed: int = 3) -> DataFrame:
+    """`query_id, rank, vec_id, score`: for each row of `vectors(vec_id, embedding)` where `is_query` (a column) holds, the k nearest found among all other rows. Unless given, the probes grow with the width: 20 up to 64 dimensions."""
     spark = vectors.sparkSession
     parts = n_partitions(spark)
     rows = written(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
@@ -95,6 +100,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
     rows = rows.filter(F.size("v") == dim)
     none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
     turn = spark.sparkContext.broadcast(Rotations(dim, tables, seed))
+    probes = probes if probes is not None else max(20, turn.value.width * 20 // 64)
 
     def fewest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k + 1 smallest ids of each vector in this partition: a query's own id may be one of them."""
@@ -169,7 +175,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
     entry = "t int, cell int, salt int, v binary, ids array<long>, query_id long"
     by = ["t", "cell", "salt"]
     entries = index.mapInArrow(cells, entry)
-    queries = rows.filter(is_query).mapInArrow(probe, entry)
+    asked = rows.filter(is_query)
+    queries = asked.mapInArrow(probe, entry)
     found = entries.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,37 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
             t = _best(t.drop_duplicates(["query_id", "vec_id"]), k)
             yield pa.RecordBatch.from_arrays([pa.array(t.query_id), pa.array(t["rank"].astype("int32")), pa.array(t.vec_id), pa.array(t.score)], ["query_id", "rank", "vec_id", "score"])
 
-    return found.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(best, schema)
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(best, schema)
+
+    first = written(ranked(found), "answers")
+    least = min(k, rows.count() - 1)
+    full = first.groupBy("query_id").count().filter(F.col("count") >= least).select("query_id")
+    short = written(asked.select(F.col("vec_id").alias("query_id"), "v").join(full, "query_id", "left_anti"), "short")
+    n_short = short.count() if least else 0
+    if not n_short:
+        return first
+    blocks, pieces = -(-n_short // SHORT_QUERIES), -(-n // PART_ROWS)
+
+    def everywhere(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each index row in its piece, for every block of queries."""
+        for b in batches:
+            piece = pa.array(np.array([hash_bytes(r) % pieces for r in b.column(0).to_pylist()], np.int32))
+            for block in range(blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, -1, np.int32)), pa.array(np.full(b.num_rows, block, np.int32)), piece, b.column(0), b.column(1), pa.array([None] * b.num_rows, pa.int64())], ["t", "cell", "salt", "v", "ids", "query_id"])
+
+    def ask_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query in its block, for every piece of the index."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = pa.array([x.tobytes() for x in _matrix(b.column(1), dim) + 0.0], pa.binary())
+            block = pa.array(np.array([hash_bytes(i.to_bytes(8, "little", signed=True)) % blocks for i in b.column(0).to_pylist()], np.int32))
+            for piece in range(pieces):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, -1, np.int32)), block, pa.array(np.full(b.num_rows, piece, np.int32)), raw, pa.array([None] * b.num_rows, pa.list_(pa.int64())), b.column(0)], ["t", "cell", "salt", "v", "ids", "query_id"])
+
+    exact = index.mapInArrow(everywhere, entry).groupBy(*by).cogroup(short.mapInArrow(ask_all, entry).groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
+    return first.join(short.select("query_id"), "query_id", "left_anti").unionByName(ranked(exact))
 
 
 def hash_bytes(x: bytes) -> int:

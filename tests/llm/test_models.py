@@ -181,3 +181,22 @@ def test_neighbours_edges(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in two] == [(0, 1, 1)] and two[0].score == pytest.approx(1)
     assert crosspoly.nearest(df.filter("vec_id = 200"), F.col("vec_id") == 0).count() == 0 and crosspoly.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert make is not None
+
+
+def test_neighbours_are_complete(spark):
+    """Few vectors, and a far query beside one cone of vectors: all k rows, or all others, and exact where cells are empty."""
+    rng = np.random.default_rng(1)
+    few = rng.normal(size=(6, 64))
+    cone = np.vstack([-np.ones((1, 64)), 1 + 0.01 * rng.normal(size=(400, 64))])
+    for x in (few, cone, few[:3]):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = F.col("vec_id") % 200 == 0 if len(x) > 6 else F.lit(True)
+        got = {}
+        for r in crosspoly.nearest(df, asked).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        ids = np.arange(len(x))
+        assert set(got) == ({0, 200, 400} if len(x) > 6 else set(range(len(x))))
+        for q in got if len(x) <= 6 else [0]:
+            true = exact(ids, x, q, 5)
+            assert [i for i, _ in got[q]] == [i for i, _ in true] and [s for _, s in got[q]] == pytest.approx([s for _, s in true])
+        assert all(len(v) == min(5, len(x) - 1) for v in got.values())
