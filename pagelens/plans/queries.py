@@ -724,3 +724,40 @@ def crawl_site(spark, sf_dir):
     c.store.open(cfg)
     c.run()
     return c.store.table("page").select("url", "skip_reason")
+
+
+@query(f"""
+    WITH own AS (SELECT {_STRIPPED(f'({_NORM})')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
+    dead AS (SELECT DISTINCT origin || {_encoded('href')} AS url FROM ({_LINKS_SQL}) WHERE page_id IN (SELECT page_id FROM own))
+    SELECT url, 'done' AS state FROM own UNION ALL SELECT url, 'failed' FROM dead WHERE url NOT IN (SELECT url FROM own)
+""")
+def crawl_pages(spark, sf_dir):
+    """A crawl of the whole table of pages to its fix-point, from its first page. Its own hrefs lead nowhere, so each page also links to eight others, by its place in the order of page_id."""
+    from pagelens.config import Config, build
+    from pagelens.plans.crawl import Crawl
+    from pagelens.schema import RESPONSE
+    from pagelens.storage import shared_folder
+
+    rows = table(spark, sf_dir, "pages").select(U.normalize(F.col("url"), STRIP).alias("url"), "page_id", "html")
+    n, hrefs, longest = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split(F.lower("html"), "href"))), F.lit(0)), F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], "url string, state string")
+    folder = shared_folder(spark, "snapshot")
+    ordered.rank(ordered.first_by(rows, ["url"], ["page_id"]), ["page_id"], "_n").withColumn("_n", F.col("_n") - 1).write.parquet(f"{folder}/pages")
+    rows = spark.read.parquet(f"{folder}/pages")
+    k = F.col("_n")
+    links = rows.filter(k > 0).groupBy(F.floor((k - 1) / 8).cast("long").alias("_n")).agg(F.array_sort(F.collect_list("url")).alias("to"))
+    tags = F.concat_ws("", F.transform("to", lambda u: F.concat(F.lit('<a href="'), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit('">next</a>'))))
+    pages = rows.join(links, "_n", "left").select("url", F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.concat(tags, F.coalesce("html", F.lit(""))).cast("binary").alias("body"))
+    schema = spark.createDataFrame([], RESPONSE).schema
+    snapshot = pages.select(*[(F.col(f.name) if f.name in pages.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    most = 10 * n + hrefs  # above the number of pages and links
+    cfg = build(Config, {
+        "seeds": [rows.filter("_n = 0").first()["url"]], "out": shared_folder(spark, "crawl"), "discovery": {"sitemaps": False}, "http": {"strip_page_params": list(STRIP)},
+        "scope": {"pages": {"hosts": ["example.com", "example.net", "example.org"], "subdomains": True}},
+        "limits": {"max_pages": most, "max_pages_per_pattern": most, "max_depth": n, "max_page_bytes": longest + (1 << 20)},
+    }).settle()
+    c = Crawl(spark, snapshot, cfg)
+    c.store.open(cfg)
+    c.run()
+    return c.store.table("page").select("url", "state")
