@@ -26,9 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """The rows of a scanned table, dealt by `by` to all cores where the table lies in fewer files than there are cores
+    and is small enough for two rounds of tasks; all other tables stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > 2 * cores or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores, *(F.xxhash64(c) for c in by))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of `df` has in any case, in which Spark compares names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(col):
-    """Lower-cases A-Z and leaves all other letters."""
-    return F.translate(col, UPPER, LOWER)
+    """Lower-cases A-Z and leaves all other letters. Texts of one byte a character take the quick way."""
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -36,9 +56,11 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset on a single machine one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pagelens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

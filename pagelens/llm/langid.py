@@ -4,13 +4,18 @@ The pieces of a fixed public vocabulary have a probability in each language. A w
 its probability is the sum over all of them, which the forward algorithm finds: alpha(i) = sum of alpha(j) * p(piece from
 j to i). Words are runs of letters, lower-cased, with the vocabulary's mark of a word's start before them; runs of over
 `LONGEST` letters are scored in parts of that many. A text's log-probability is the sum over its words, and each distinct
-word is scored once for all its uses.
+word is scored once for all its uses. Letters are the characters of Unicode's letter categories alone: digits, fractions,
+Roman numerals and other number signs are none.
 
 Piece probabilities are learned from training rows: texts of which the language is known. At most about `max_docs` rows
-of each language, drawn by a seeded hash of doc_id, are used; their words are cut by the vocabulary's own rule and the
-pieces counted, with the counts of all languages together as prior. Nothing but the text enters a prediction.
+of each language, drawn by a seeded hash of doc_id, and at most the `max_langs` most frequent languages are used; the
+words are cut by the vocabulary's own rule and the pieces counted, with the counts of all languages together as prior.
+Nothing but the text enters a prediction.
 
-Rows: a null text, or one without letters, is `und` with score 0. Where no training row exists all rows are `und`. Rows
+A text is accepted if its language is plain (the best language holds at least the share `least`) and is one of those
+learned (`fit`, the log-probability of a character under the best language, is at least `least_fit`).
+
+Rows: a null text, or one without letters, is `und` with score 0 and is not accepted. Where no training row exists all rows are `und`. Rows
 with null doc_id are no training rows and count as not held out. Ties go to the first language by code point. Extra
 columns are ignored. Empty tables give no rows.
 """
@@ -18,8 +23,9 @@ columns are ignored. Empty tables give no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pagelens.llm.common import _groups, slices
+from pagelens.llm.common import _groups, free_names, slices
 
 LONGEST, MARK = 100, "▁"
 #: Probability of a character outside the vocabulary, in every language; and a factor for each character, which keeps products within doubles.
 UNKNOWN, PER_CHAR = 1e-4, 20.0
 #: Weight of the prior in counts, and the least share of a piece in it.
 PRIOR, FLOOR = 200.0, 1e-7
-WORDS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 class Pieces:
@@ -131,10 +139,11 @@ def probabilities(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return p * PER_CHAR ** lengths[:, None]
 
 
-def learn(rows: DataFrame, vocabulary: str, max_docs: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
+def learn(rows: DataFrame, vocabulary: str, max_docs: int, max_langs: int = 400, seed: int = 11) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from training rows `(doc_id, text, lang)`."""
     rows = rows.filter("lang is not null and text is not null")
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    per = {r["lang"]: r["n"] for r in most.collect()}  # at most max_langs rows
     langs = sorted(per)
     if not langs:
         return [], np.zeros((0, 0))
@@ -160,8 +169,9 @@ def learn(rows: DataFrame, vocabulary: str, max_docs: int, seed: int = 11) -> tu
     return langs, probabilities(counts, np.array([max(1, len(p)) for p in v.number]))
 
 
-def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000) -> DataFrame:
-    """`docs` with two more columns, `_lang_pred` and `_lang_score`: the share of the best language in the likelihood of an average word."""
+def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000, names: Sequence[str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """`docs` with three more columns, called `names`: the language, the share of the best language in the likelihood of an
+    average word, and the log-probability of an average character under that language."""
     langs, probs = learn(train, vocabulary, max_docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, probs))
     text_at = docs.columns.index("text")
@@ -172,7 +182,7 @@ def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs:
         known: dict[str, int] = {}
         table = np.zeros((0, len(langs)))
         for b in slices(batches):
-            preds, scores = [], []
+            preds, scores, fits = [], [], []
             texts = ["" if t is None else t for t in b.column(text_at).to_pylist()]
             for group in _groups(texts, 1_000_000):
                 words = [words_of(t) if langs else [] for t in group]
@@ -186,26 +196,30 @@ def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs:
                     if not ws:
                         preds.append("und")
                         scores.append(0.0)
+                        fits.append(None)
                         continue
                     mean = table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].mean(0)
                     k = int(mean.argmax())
                     preds.append(langs[k])
                     scores.append(float(1 / np.exp(mean - mean[k]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "_lang_pred", "_lang_score"])
+                    fits.append(float(mean[k] * len(ws) / (len(ws) + sum(map(len, ws)))))
+            found = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *names])
 
-    return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())]))
+    return docs.mapInArrow(predict, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), DoubleType())))]))
 
 
 def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int = 2000) -> DataFrame:
-    """`doc_id, lang_pred, score` for each row of `docs(doc_id, text)`."""
+    """`doc_id, lang_pred, score, fit` for each row of `docs(doc_id, text)`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_language(rows, train, vocabulary, max_docs).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return with_language(rows, train, vocabulary, max_docs).drop("text")
 
 
-def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.0, max_docs: int = 2000) -> DataFrame:
-    """The rows of `docs` whose text has letters and of which the best language has at least the share `least`, with all columns of `docs`."""
-    found = with_language(docs, training_rows(docs), vocabulary, max_docs)
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(*docs.columns)
+def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.7, least_fit: float = -4.0, max_docs: int = 2000) -> DataFrame:
+    """The accepted rows of `docs`, with all its columns."""
+    pred, score, fit = names = free_names(docs, "lang_pred", "score", "fit")
+    found = with_language(docs, training_rows(docs), vocabulary, max_docs, names)
+    return found.filter((F.col(pred) != "und") & (F.col(score) >= least) & (F.col(fit) >= least_fit)).select(*docs.columns)
 
 
 def held_out(doc_id):
