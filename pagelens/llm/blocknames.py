@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import ascii_lower, forget, written
+from pagelens.llm.common import ascii_lower, forget, free_names, written
 
 BLOCK_CHARS, BUCKETS, RANK_BITS = 8192, 1 << 16, 40
 
@@ -86,15 +86,16 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 def kept_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs` that stay, with all its columns; of rows with one doc_id and equal texts one stays."""
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_dup_id": F.col("doc_id").cast("long"), "_dup_digest": F.unhex(F.sha2(text, 256))})
-    staying = exact_duplicates(docs, block_chars).filter("kept").groupBy(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).agg(F.count("*").alias("_keep_rows"))
+    own_id, own_digest, keep_id, keep_digest, n_rows = free_names(docs, "own_id", "own_digest", "keep_id", "keep_digest", "keep_rows")
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_digest: F.unhex(F.sha2(text, 256))})
+    staying = exact_duplicates(docs, block_chars).filter("kept").groupBy(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest)).agg(F.count("*").alias(n_rows))
     staying = written(staying, "staying")
 
     def rows(which: DataFrame) -> DataFrame:
-        return keyed.join(which, keyed._dup_id.eqNullSafe(F.col("_keep_id")) & (keyed._dup_digest == F.col("_keep_digest")), "left_semi")
+        return keyed.join(which, F.col(own_id).eqNullSafe(F.col(keep_id)) & (F.col(own_digest) == F.col(keep_digest)), "left_semi")
 
-    kept = rows(staying.filter("_keep_rows = 1")).select(*docs.columns)
-    repeated = staying.filter("_keep_rows > 1")
+    kept = rows(staying.filter(F.col(n_rows) == 1)).select(*docs.columns)
+    repeated = staying.filter(F.col(n_rows) > 1)
     if not repeated.isEmpty():
-        kept = kept.unionByName(rows(repeated).dropDuplicates(["_dup_id", "_dup_digest"]).select(*docs.columns))
+        kept = kept.unionByName(rows(repeated).dropDuplicates([own_id, own_digest]).select(*docs.columns))
     return kept
