@@ -13,9 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: every larger neighbour of a node moves to the node's smallest neighbour. Small star: every smaller
     neighbour does. Both keep components whole; when neither changes anything, all nodes hang on their root. Minima are
-    found before rows meet, so a node with very many neighbours is no burden.
+    found before rows meet, so a node with very many neighbours is no burden. Edges that repeat or join a node to itself
+    change nothing; edges with a null end are none; without edges there are no rows.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import n_partitions, slices, written
+from pagelens.llm.common import free_names, n_partitions, slices, written
 from pagelens.llm.components import components
 
 HASHES, BAND_ROWS, BITS, SLACK = 128, 4, 4, 5.0
@@ -205,9 +205,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def _families(members: DataFrame) -> DataFrame:
-    """`main, c, root, outside` from `members(key, c, root)` of buckets that hold several components: a bucket belongs to the component with most members in it."""
-    main = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = members.join(main, "key").select("main", "c", "root").distinct()
+    """`main, c, root, outside` from `members(key, n, c, root)` for buckets (of `n` members) that hold several components: a
+    bucket belongs to the component with most members in it. Members of one bucket meet its row in parts of about BLOCK."""
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("own"), F.max("n").alias("n"))
+    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("own", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("n")).filter("roots > 1")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    main = main.select("key", "main", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = members.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).join(main, ["key", "part"]).select("main", "c", "root").distinct()
     return rows.withColumn("outside", F.col("root") != F.col("main"))
 
 
@@ -271,20 +275,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     least = least_agreed(percent / 100)
 
     in_buckets = classes.select("c", F.explode("keys").alias("key"))
-    shared = in_buckets.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(in_buckets.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("n > 1"), "shared")
     members = written(in_buckets.join(shared, "key"), "buckets")
     stars = members.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).unionByName(members.filter("c <> high").select(F.col("c").alias("a"), F.col("high").alias("b")))
     first = written(_likely(stars.distinct(), classes, least), "pairs")
-    crowded = members.filter("n > 3").select("key", "c")  # in a bucket of three, smallest and largest member see all pairs
+    crowded = members.filter("n > 3").select("key", "n", "c")  # in a bucket of three, smallest and largest member see all pairs
     ends = first.select(F.col("a").alias("c")).unionByName(first.select(F.col("b").alias("c"))).unionByName(crowded.select("c")).distinct()
     wanted = classes.join(ends, "c", "left_semi").select("c", "rep_id", "rep_hash")
     texts = written(_texts(docs, wanted), "texts")
     links = written(_confirm(first, texts, words, percent), "links")
     roots = written(components(links), "roots")
 
-    rooted = crowded.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    families = written(_families(rooted.join(split, "key", "left_semi")), "families")
+    rooted = written(crowded.join(roots, F.col("c") == F.col("node"), "left").select("key", "n", "c", F.coalesce("root", "c").alias("root")), "rooted")
+    families = written(_families(rooted), "families")
     more = written(_rest(families, texts, words, percent), "links")
     if not more.isEmpty():
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
@@ -301,6 +304,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, with all its columns."""
-    keyed = docs.withColumns({"_near_id": F.col("doc_id").cast("long"), "_near_hash": _text_hash()})
-    staying = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
-    return keyed.join(staying, keyed._near_id.eqNullSafe(F.col("_keep_id")) & (keyed._near_hash == F.col("_keep_hash")), "left_semi").select(*docs.columns)
+    own_id, own_hash, keep_id, keep_hash = free_names(docs, "own_id", "own_hash", "keep_id", "keep_hash")
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: _text_hash()})
+    staying = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    return keyed.join(staying, F.col(own_id).eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)), "left_semi").select(*docs.columns)
