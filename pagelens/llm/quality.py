@@ -2,8 +2,10 @@
 
 Each document is described by a few statistics of its whole text. Random Fourier features of the standardised statistics,
 sqrt(2 / D) cos(W x + b), stand in for a Gaussian kernel. Ridge scores follow from the normal equations, which every
-partition sums over its own rows; the sums are added in two levels. Isotonic regression on a grid of raw scores turns
-them into probabilities that rise with the score. All labelled training rows are used.
+partition sums over its own rows, for each of FOLDS folds by itself; the sums are added in two levels. Isotonic regression
+on a grid of raw scores turns them into probabilities that rise with the score. It is fitted on rows that the ridge has
+not seen: each fold is scored by the equations of all others, which are the whole sums less the fold's own. Scores come
+from the equations of all folds. All labelled training rows are used.
 
 Rows: null and empty texts have statistics (zeros) and a score like any other. Rows with null doc_id have no label and
 count as not held out. Several labels of one document are so many training rows; null labels are none. Without training
@@ -20,10 +22,11 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import n_partitions, slices, written
+from pagelens.llm.common import slices, written
 
 #: Classes of bytes: bytes from 0x80 on belong to letters.
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -38,7 +41,7 @@ STATISTICS = (
     "log_bytes", "log_words", "word_length", "letters", "upper", "digits", "stops", "marks", "distinct", "top_word",
     "repeated_next", "log_lines", "line_words", "repeated_lines", "sentence_words", "squeezed", "first_upper", "squeezed_head_gap",
 )
-GRID = 1024
+GRID, FOLDS = 1024, 4
 
 
 def statistics(text: str) -> list[float]:
@@ -124,35 +127,47 @@ def score_quality(docs: DataFrame, train_labels: DataFrame, dim: int = 192, widt
     moments = stats.select(*[f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     feats = Features(np.array([moments[f"m{i}"] or 0.0 for i in range(k)]), np.array([moments[f"s{i}"] or 0.0 for i in range(k)]), dim, width, seed)
     labels = train_labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("double").alias("label")).filter("label is not null")
-    train = written(stats.join(labels, stats.doc_id == labels.label_id).select("stats", "label"), "training")
+    fold = F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(FOLDS)).cast("int")
+    train = written(stats.join(labels, stats.doc_id == labels.label_id).select("stats", "label", fold.alias("fold")), "training")
     shared = sc.broadcast(feats)
-    groups = max(1, int(np.sqrt(n_partitions(spark))))
+    groups = max(1, int(np.sqrt(train.rdd.getNumPartitions())))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                z = shared.value(np.array(b.column(0).to_pylist()))
-                s = _sums(z, b.column(1).to_numpy())
-                total = s if total is None else total + s
-        if total is not None:
-            g = int(total[-1]) % groups
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "sums"])
+                z, y, folds = shared.value(np.array(b.column(0).to_pylist())), b.column(1).to_numpy(), b.column(2).to_numpy()
+                for f in np.unique(folds).tolist():
+                    s = _sums(z[folds == f], y[folds == f])
+                    total[f] = total[f] + s if f in total else s
+        if total:
+            g = TaskContext.get().partitionId() % groups
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(total), pa.int32()), pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["g", "fold", "sums"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]})
+        return pd.DataFrame({"fold": pdf.fold[:1], "sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]})
 
-    parts = train.mapInArrow(add, "g int, sums binary").groupBy("g").applyInPandas(join, "sums binary").collect()  # at most `groups` rows
+    parts = train.mapInArrow(add, "g int, fold int, sums binary").groupBy("g", "fold").applyInPandas(join, "fold int, sums binary").collect()  # at most groups * FOLDS rows
     if not parts:
         return stats.select("doc_id", F.lit(0.5).alias("score"))
-    weights = solve(sum(np.frombuffer(r.sums) for r in parts), ridge)
-    model = sc.broadcast((feats, weights))
+    by_fold: dict[int, np.ndarray] = {}
+    for r in sorted(parts):
+        by_fold[r.fold] = by_fold.get(r.fold, 0) + np.frombuffer(r.sums)
+    every = sum(by_fold.values())
+    weights = solve(every, ridge)
+    # a fold that is all there is has no others to learn from
+    left_out = np.stack([solve(every - by_fold[f], ridge) if f in by_fold and len(by_fold) > 1 else weights for f in range(FOLDS)])
+    model = sc.broadcast((feats, weights, left_out))
 
     def raw(batches: Iterable[pa.RecordBatch], tail: str, out) -> Iterator[pa.RecordBatch]:
-        feats, weights = model.value
+        feats, weights, left_out = model.value
         for b in batches:
             if b.num_rows:
-                r = feats(np.array(b.column(b.schema.get_field_index("stats")).to_pylist())) @ weights
+                z = feats(np.array(b.column(b.schema.get_field_index("stats")).to_pylist()))
+                if "fold" in b.schema.names:
+                    r = (z * left_out[b.column(b.schema.get_field_index("fold")).to_numpy()]).sum(1)
+                else:
+                    r = z @ weights
                 cell = np.clip(((r + 0.5) / 2 * GRID), 0, GRID - 1)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(tail)), pa.array(out(cell))], [tail, "cell"])
 
