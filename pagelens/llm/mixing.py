@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Every source is laid out as a row of words: its documents go to shards by a seeded hash and stand there in seeded
-order. A shard is cut into blocks of `block` words each. Sainte-Laguë's rule (the highest quotients target / (2 k + 1))
-gives whole numbers of blocks to sources, then each source's blocks to its shards in proportion to their words. A shard
-takes its quota of blocks from the front of its seeded order; a quota of more blocks than the shard has goes round once
-more. What a source's whole blocks leave open of its target (less than a block for each shard) is taken as one partial
-block, so that each source meets its target up to rounding.
+order. A shard is cut into blocks of `block` words each. Sainte-Laguë's rule (the highest quotients words / (2 k + 1))
+gives whole numbers of blocks to parts, which hold about as many shards as a source has parts, and then to the shards of
+each part. So no apportionment handles more rows than the square root of a source's shards. A shard takes its quota of
+blocks from the front of its seeded order; a quota of more blocks than the shard has goes round once more. Between
+sources the targets themselves decide: a source has as many whole blocks as its target holds, which is what the rule
+gives where no source may exceed its target. What whole blocks leave open is taken as partial blocks, so that each source
+meets its target up to rounding.
 
 Rows: null and empty texts have size 0 and are never taken. A null source is a source of its own, last in the order of
-weights. Rows that share a doc_id are rows of their own. Extra columns are ignored. Empty tables give no rows.
+weights. Rows that share a doc_id are rows of their own. Extra columns are ignored. Empty tables give no rows. Of the
+mixed documents, one of which less than half of its words is taken goes: copies are whole, and their number is rounded.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, written
+from pagelens.llm.common import WORD, free_names, written
+from pagelens.operators.ordered import rank, running_total
 
-#: Documents that a shard holds on average, and the most shards of a source.
-SHARD_DOCS, MOST_SHARDS = 128, 4096
+#: Documents that a shard holds on average; sources up to which their table is broadcast (some 100 bytes each).
+SHARD_DOCS, FEW_SOURCES = 128, 10_000
 
 
 def sainte_lague(shares: Sequence[float], seats: int, most: Sequence[int] | None = None) -> list[int]:
@@ -77,23 +81,32 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, repeat
     return out
 
 
-def _plan(rows: list[tuple], weights: Sequence[float], share: float, repeats: int, block: int | None):
-    """For each source: its size, target, block and blocks. rows: (source, documents, size)."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [int(r[2]) for r in rows]
-    t = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, repeats)
-    b = block or int(min(1024, max(1, sum(sizes) // 20_000)))
-    quotas = sainte_lague(t, round(sum(t) / b), [int(x // b) for x in t])
-    return [(r[0], s, x, b, q) for r, s, x, q in zip(rows, sizes, t, quotas)]
+def source_targets(sources: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """`sources(source, n, source_size)` with the `target` of each, as targets() has them, for any number of sources.
 
-
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7, block: int | None = None) -> DataFrame:
+    In the order of size / weight the sources that stop at `repeats` times their size come first. A source stops if what
+    those before it leave would give it more; the others share what is left by weight.
+    """
+    placed = rank(sources.withColumn("last", F.col("source").isNull()), ["last", "source"], "place")
+    weighed = placed.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")))
+    most = F.lit(repeats) * F.col("source_size")
+    filled = weighed.withColumn("full", most / F.col("weight"))
+    filled = running_total(filled, ["full", "place"], most, "full_before")
+    filled = written(running_total(filled, ["full", "place"], F.col("weight"), "weight_before"), "sources")
+    every = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, weight = float(every[0] or 0) * share, float(every[1] or 0)
+    filled = filled.withColumn("level", (F.lit(total) - F.col("full_before")) / (F.lit(weight) - F.col("weight_before")))
+    stops = F.col("full") <= F.col("level")
+    level = filled.filter(~stops).agg(F.max("level")).first()[0] or 0.0
+    return filled.select("source", "n", "source_size", F.when(stops, most.cast("double")).otherwise(F.col("weight") * level).alias("target"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7, block: int = 256) -> DataFrame:
     """`doc_id, text_hash, source, size, source_size, target, taken` for each row of `docs(doc_id, text, source)`.
 
     `taken` counts the words that the mix takes of the document, those taken twice twice. `text_hash` (xxhash64 of the
-    text) tells rows apart that share a doc_id. One row a source goes to the driver, and nothing else.
+    text) tells rows apart that share a doc_id.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = written(
         docs.select(
@@ -104,58 +117,60 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         ),
         "sizes",
     )
-    totals = [(r["source"], r["n"], r["s"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()]
-    n_docs = dict((r[0], r[1]) for r in totals)
-    plan = [(src, s, x, b, q, int(min(MOST_SHARDS, -(-n_docs[src] // SHARD_DOCS)))) for src, s, x, b, q in _plan(totals, weights, share, repeats, block)]
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, block long, quota long, shards int")
+    per_source = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    shards = F.ceil(F.col("n") / SHARD_DOCS).cast("long")
+    sources = written(source_targets(per_source, weights, share, repeats).withColumns({"shards": shards, "parts": F.ceil(F.sqrt(shards)).cast("long")}), "targets")
 
     order = F.xxhash64("doc_id", "text_hash", F.lit(seed))
-    dealt = sized.withColumn("order", order).join(F.broadcast(sources) if len(plan) <= 10_000 else sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "shards").cast("int"))
-
-    def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Blocks for the shards of one source; at most MOST_SHARDS rows."""
-        pdf = pdf.sort_values("shard")
-        b, q, t = int(pdf.block.iloc[0]), int(pdf.quota.iloc[0]), pdf.target.iloc[0]
-        words = pdf.words.to_numpy(np.int64)
-        most = repeats * words // b
-        got = np.array(sainte_lague(words, q, most), np.int64) * b
-        rest = int(round(t)) - int(got.sum())  # what whole blocks leave open: from the shards that have most left
-        for i in np.argsort(-(repeats * words - got), kind="stable"):
-            more = int(min(rest, repeats * words[i] - got[i]))
+    few = sources.count() <= FEW_SOURCES
+    dealt = sized.withColumn("order", order).join(F.broadcast(sources) if few else sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "shards")).withColumn("part", F.col("shard") % F.col("parts"))
+
+    def apportion(words: np.ndarray, want: int) -> np.ndarray:
+        """`want` words from shards (or parts) of so many: whole blocks by the rule, then partial ones from those that have most left."""
+        most = repeats * words
+        got = np.array(sainte_lague(words, want // block, most // block), np.int64) * block
+        rest = want - int(got.sum())
+        for i in np.argsort(-(most - got), kind="stable"):
+            more = int(min(rest, most[i] - got[i]))
             if more <= 0:
                 break
             got[i] += more
             rest -= more
-        return pd.DataFrame({"source": pdf.source, "shard": pdf.shard, "quota_words": got, "shard_words": words})
+        return got
+
+    def quotas(by: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(by)
+            return pdf.assign(quota=apportion(pdf.words.to_numpy(np.int64), int(pdf.want.iloc[0])))[["source", by, "words", "quota"]]
+
+        return run
+
+    per_shard = dealt.groupBy("source", "part", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    per_shard = written(per_shard, "shards")
+    per_part = per_shard.groupBy("source", "part").agg(F.sum("words").alias("words"), F.round(F.first("target")).cast("long").alias("want"))
+    of_parts = per_part.groupBy("source").applyInPandas(quotas("part"), "source string, part long, words long, quota long")
+    of_parts = of_parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.col("quota").alias("want"))
+    of_shards = per_shard.join(of_parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).select("source", "part", "shard", "words", "want")
+    of_shards = of_shards.groupBy("source", "part").applyInPandas(quotas("shard"), "source string, shard long, words long, quota long")
 
-    per_shard = (
-        dealt.groupBy("source", "shard")
-        .agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("quota").alias("quota"), F.first("target").alias("target"))
-        .groupBy("source")
-        .applyInPandas(quotas, "source string, shard int, quota_words long, shard_words long")
-    )
     seeded = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = dealt.withColumn("to", F.sum("size").over(seeded)).withColumn("from", F.col("to") - F.col("size")).alias("d")
-    q = per_shard.alias("q")
+    q = of_shards.alias("q")
     joined = at.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
     taken = F.lit(0).cast("long")
     for k in range(repeats):
-        edge = F.col("quota_words") - k * F.col("shard_words")
+        edge = F.col("quota") - k * F.col("words")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("to"), edge) - F.col("from"))
     return joined.select("doc_id", "text_hash", F.col("d.source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of `docs`: a document of which words are taken up to twice comes up to twice, whole; one of which none are taken goes."""
+    """The documents of the mix, with the columns of `docs`: each comes as often as its words are taken, rounded to whole copies."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = docs.withColumns({"_mix_id": F.col("doc_id").cast("long"), "_mix_hash": F.xxhash64(text)})
-    took = (
-        mix(docs, **options)
-        .filter("taken > 0")
-        .groupBy("doc_id", "text_hash")
-        .agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("_mix_copies"))
-        .select(F.col("doc_id").alias("_took_id"), F.col("text_hash").alias("_took_hash"), "_mix_copies")
-    )
-    kept = key.join(took, key._mix_id.eqNullSafe(F.col("_took_id")) & (key._mix_hash == F.col("_took_hash")))
-    return kept.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[docs[c] for c in docs.columns])
+    own_id, own_hash, took_id, took_hash, copies, copy = free_names(docs, "own_id", "own_hash", "took_id", "took_hash", "copies", "copy")
+    key = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64(text)})
+    took = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "text_hash").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    took = took.select(F.col("doc_id").alias(took_id), F.col("text_hash").alias(took_hash), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    kept = key.join(took, F.col(own_id).eqNullSafe(F.col(took_id)) & (F.col(own_hash) == F.col(took_hash)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
