@@ -238,6 +238,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS
                     key = raw[a:e]
                     n = known.get(key)
                     if n is None:
+                        if len(known) > 1_000_000:
+                            known.clear()
                         n = known[key] = pre.pieces(key.decode("utf-8", "surrogatepass"))
                     pieces.append(n)
                     a = e
