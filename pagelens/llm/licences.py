@@ -1,13 +1,15 @@
 """Licence scans by canonical digests, with DataFrame functions only.
 
-A unit of text is made canonical: lower-cased, licences spelled one way, copyright lines dropped, everything but letters
-and digits turned into single spaces. The digest of the whole canonical unit is looked up among the digests of known
-licence texts and notices: the notices of KNOWN and the whole texts in the folder licence_texts, each with and without
-its title and appendix. Units are the whole document and each of its lines; nothing is matched in part. In a whole
-document it does not matter where lines are wrapped. scan_sql knows the notices alone.
-
-Rows: null text counts as empty and has no licence. Lines without letters or digits are no units. Rows that share a
-doc_id are rows of their own. Extra columns are ignored. Empty tables give no rows.
+A unit of text is made canonical: lower-cased, copyright notices dropped, licences spelled one way, everything but letters
+and digits turned into single spaces. The digest of the whole canonical unit meets the digests of known licence texts and
+notices in a hash join: the notices of KNOWN and the whole texts in the folder licence_texts, each with and without its
+title and appendix. Units are the whole document, each of its lines, and its blocks: what stands between lines that hold
+nothing but a rule (three or more of one of - = * _ # ~). Nothing is matched in part. In a document or block it does not
+matter where lines are wrapped. Lines and blocks are joined only if their length is that of a known text, so few are.
+
+Rows: null text counts as empty and has no licence. Lines and blocks without letters or digits are no units, and a
+document without rules has no blocks. Rows that share a doc_id are rows of their own. Extra columns are ignored. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import ascii_lower
+from pagelens.llm.common import ascii_lower, written
 
 #: Notices and short licence texts, by their public identifiers.
 KNOWN = (
@@ -47,25 +49,24 @@ KNOWN = (
 #: Spellings that stand for one word, from left to right, applied in this order to lower-cased text.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("share-alike", "sharealike"),
-    ("version ", "v"),
-    ("v. ", "v"),
+    (" version ", " v"),
+    (" v. ", " v"),
     ("copyright holder", "copyright owner"),
     ("https://", "http://"),
     ("favour", "favor"),
 )
 
-#: A copyright line, from its first character to its end; only a line feed ends a line.
-COPYRIGHT_LINE = r"^[\x20\x09]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-
 _YEAR = r"[<\[{]?(?:[0-9]{4}|year|yyyy)"
 
 #: A line that is a copyright notice: a sign or a year follows, so that wrapped sentences and list items `(c)` stay.
 COPYRIGHT_NOTICE = rf"^[\x20\x09]*(?:copyright[\x20\x09:]*(?:\(c\)|©|{_YEAR})|\(c\)[\x20\x09]*(?:copyright|{_YEAR})|©|all rights reserved)[^\n]*$"
 
+#: A line that parts blocks.
+RULE = r"^[\x20\x09]*(?:-{3,}|={3,}|\*{3,}|_{3,}|#{3,}|~{3,})[\x20\x09]*$"
+
 TEXTS = Path(__file__).parent / "licence_texts"
 
 
@@ -101,6 +102,11 @@ def _spelled(col):
     return col
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """All known notices and texts with their identifiers."""
+    return [*KNOWN, *whole_texts()]
+
+
 def known_digests(spark: SparkSession, known) -> DataFrame:
     """`digest, license_id, size` of the known texts; at most as many rows as the table has texts."""
     texts = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(without_notices(F.col("text"))).alias("text"))
@@ -108,44 +114,61 @@ def known_digests(spark: SparkSession, known) -> DataFrame:
 
 
 def scan_licences(docs: DataFrame, known=None) -> DataFrame:
-    """`doc_id, text_digest, text_license, n_license_lines, line_licenses` for each row of `docs(doc_id, text)`.
-
-    Whole texts meet the known digests in a hash join. A line's digest is looked up inside its row, so that lines need
-    no shuffle; lines whose canonical form is not as long as one of the known texts equal none of them.
-    """
+    """`doc_id, text_digest, text_license, n_license_lines, line_licenses, n_license_blocks, block_licenses` for each row of `docs(doc_id, text)`."""
     spark = docs.sparkSession
-    table = known_digests(spark, [*KNOWN, *whole_texts()] if known is None else known)
-    rows = sorted(table.collect())  # at most len(known) rows
-    by_digest = F.create_map(*[F.lit(x) for r in rows for x in (r.digest, r.license_id)])
-    sizes = sorted({r["size"] for r in rows})
+    table = written(known_digests(spark, known_texts() if known is None else known), "licences")
+    sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # at most as many as known texts
+    table = table.select(F.col("digest").alias("known"), "license_id")
+
+    def digests(units):
+        return F.transform(F.filter(units, lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
+
     bare = without_notices(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare.alias("bare"))
-    lines = F.filter(F.transform(F.split(canonical_lines(F.col("bare")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
-    found = F.filter(F.transform(lines, lambda x: by_digest[F.sha2(x, 256)]), lambda x: x.isNotNull())
-    out = texts.select("doc_id", F.sha2(canonical(F.col("bare")), 256).alias("digest"), F.array_sort(found).alias("found"))
-    out = out.join(F.broadcast(table), "digest", "left")
-    return out.select(
-        "doc_id", F.col("digest").alias("text_digest"), F.col("license_id").alias("text_license"),
-        F.size("found").cast("long").alias("n_license_lines"), F.array_join(F.array_distinct("found"), ",").alias("line_licenses"),
-    )
+    lines = F.transform(F.split(canonical_lines(F.col("bare")), "\n"), lambda x: F.trim(x))
+    blocks = F.when(F.col("bare").rlike(f"(?md){RULE}"), F.transform(F.split("bare", f"(?md){RULE}"), canonical)).otherwise(F.array().cast("array<string>"))
+    units = texts.select("doc_id", F.sha2(canonical(F.col("bare")), 256).alias("text_digest"), digests(lines).alias("lines"), digests(blocks).alias("blocks"))
+    units = written(units.withColumn("row", F.monotonically_increasing_id()), "units")
+
+    def found(column: str, kind: str) -> DataFrame:
+        hits = units.select(F.col("row").alias(f"{kind}_row"), F.explode(column).alias("digest")).join(F.broadcast(table), F.col("digest") == F.col("known"))
+        ids = F.array_join(F.array_sort(F.collect_set("license_id")), ",")  # a set of known identifiers, so bounded
+        return hits.groupBy(f"{kind}_row").agg(F.count("*").alias(f"n_license_{column}"), ids.alias(f"{kind}_licenses"))
 
+    out = units.join(F.broadcast(table), F.col("text_digest") == F.col("known"), "left")
+    for column, kind in (("lines", "line"), ("blocks", "block")):
+        out = out.join(found(column, kind), F.col("row") == F.col(f"{kind}_row"), "left")
+    counts = [x for c, k in (("lines", "line"), ("blocks", "block")) for x in (F.coalesce(f"n_license_{c}", F.lit(0)).cast("long").alias(f"n_license_{c}"), F.coalesce(f"{k}_licenses", F.lit("")).alias(f"{k}_licenses"))]
+    return out.select("doc_id", "text_digest", F.col("license_id").alias("text_license"), *counts)
 
-def scan_sql(known=KNOWN) -> str:
-    """DuckDB's SQL for scan_licences over `documents`."""
 
-    def lined(expr: str) -> str:
-        expr = f"translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def scan_sql(known=None) -> str:
+    """DuckDB's SQL for scan_licences over `documents`, with the same known texts."""
+
+    def bare(expr: str) -> str:
+        return f"regexp_replace(translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m){COPYRIGHT_NOTICE}', '', 'g')"
+
+    def spelled(expr: str) -> str:
         for a, b in SPELLINGS:
             expr = f"replace({expr}, '{a}', '{b}')"
-        return f"regexp_replace(regexp_replace({expr}, '(?m){COPYRIGHT_LINE}', '', 'g'), '[^a-z0-9\\n]+', ' ', 'g')"
+        return expr
+
+    def whole(expr: str) -> str:
+        joined = spelled(f"trim(regexp_replace({expr}, '[ \\t\\r\\n\\f]+', ' ', 'g'))")
+        return f"trim(regexp_replace({joined}, '[^a-z0-9]+', ' ', 'g'))"
 
-    whole = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))".format
-    texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
+    lined = "regexp_replace({}, '[^a-z0-9\\n]+', ' ', 'g')".format(spelled("bare"))
+    texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in (known_texts() if known is None else known))
     return f"""
-        WITH known AS (SELECT sha256({whole(lined('text'))}) AS digest, min(license_id) AS license_id FROM (VALUES {texts}) AS v(license_id, text) GROUP BY 1),
-        docs AS (SELECT row_number() OVER () AS row_id, doc_id, {lined("coalesce(text, '')")} AS lined FROM documents),
-        lines AS (SELECT row_id, sha256(trim(unnest(string_split(lined, chr(10))))) AS digest FROM docs),
-        found AS (SELECT row_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known USING (digest) GROUP BY 1)
-        SELECT doc_id, sha256({whole('lined')}) AS text_digest, license_id AS text_license, coalesce(n, 0) AS n_license_lines, coalesce(ids, '') AS line_licenses
-        FROM docs LEFT JOIN found USING (row_id) LEFT JOIN known ON known.digest = sha256({whole('lined')})
+        WITH v(license_id, text) AS (VALUES {texts}),
+        known AS (SELECT sha256({whole(bare('text'))}) AS digest, min(license_id) AS license_id FROM v GROUP BY 1),
+        docs AS (SELECT row_number() OVER () AS row_id, doc_id, {bare("coalesce(text, '')")} AS bare FROM documents),
+        lines AS (SELECT row_id, sha256(trim(unnest(string_split({lined}, chr(10))))) AS digest FROM docs),
+        blocks AS (SELECT row_id, unnest(regexp_split_to_array(bare, '(?m){RULE}')) AS block FROM docs WHERE regexp_matches(bare, '(?m){RULE}')),
+        digests AS (SELECT row_id, sha256({whole('block')}) AS digest FROM blocks),
+        by_line AS (SELECT row_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known USING (digest) GROUP BY 1),
+        by_block AS (SELECT row_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM digests JOIN known USING (digest) GROUP BY 1)
+        SELECT doc_id, sha256({whole('bare')}) AS text_digest, license_id AS text_license, coalesce(by_line.n, 0) AS n_license_lines, coalesce(by_line.ids, '') AS line_licenses,
+               coalesce(by_block.n, 0) AS n_license_blocks, coalesce(by_block.ids, '') AS block_licenses
+        FROM docs LEFT JOIN by_line USING (row_id) LEFT JOIN by_block USING (row_id) LEFT JOIN known ON known.digest = sha256({whole('bare')})
     """
