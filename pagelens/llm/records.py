@@ -12,12 +12,11 @@ all little-endian, with CRC-32 and the usual mask (rotate right by 15, add 0xA28
 so that a reader can seek to any record without reading those before it.
 
 Rows: null text counts as empty and gives a record with the end id alone. Null doc_ids come first and are kept as
-null. Rows that share a doc_id follow one another by text. Extra columns are ignored. Empty tables give no shards.
+null. Rows that share a doc_id follow one another by a hash of the text and may lie in several shards. Extra columns are ignored. Empty tables give no shards.
 """
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 import zlib
@@ -65,11 +64,16 @@ def unpack_record(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if has else None), np.frombuffer(payload, f"<u{width}", offset=_HEAD.size)
 
 
+#: Schemes of Hadoop's connectors, and what Arrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
 def _open(path: str):
-    """A file system that Python can open, and the path there."""
+    """Arrow's file system for a path of a Hadoop file system, and the path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest if colon else path)
 
 
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> list[tuple[int, int, int]]:
@@ -109,9 +113,10 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> lis
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "records": pa.array([len(entries)], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
     rows = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(n_partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(n_partitions(spark), "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
         .mapInArrow(write, "shard int, records long, ids long")
     )
     return sorted((r.shard, r.records, r.ids) for r in rows.collect())
@@ -153,7 +158,7 @@ def read_records(spark, out: str, shards: list[tuple[int, int, int]]) -> DataFra
 
     starts = np.cumsum([0, *(n for _, _, n in shards)]).tolist()
     parts = spark.createDataFrame([(s, a) for (s, _, _), a in zip(shards, starts)], "shard int, start long")
-    return parts.repartition(max(1, len(shards)), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -166,5 +171,3 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return read_records(docs.sparkSession, out, write_records(docs, out, tokenizer, end_id))
 
 
-def frames_of(payloads: Iterable[bytes]) -> io.BytesIO:
-    return io.BytesIO(b"".join(map(frame, payloads)))
