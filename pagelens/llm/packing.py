@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.common import slices, texts_of, word_encoder, written
 
-#: Parts in which the pieces of one length are ranked, so that no length is ranked by one task.
-SALTS = 128
+#: Pieces of one length that are ranked together on average, so that no length is ranked by one task.
+RANKED = 1 << 17
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -208,22 +208,30 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """The pieces of `docs(doc_id, text)` with `sequence_id` and `offset`; with_ids adds the ids of each piece."""
     cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int"))
-    by = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity * SALTS rows
-    per = np.zeros((capacity + 1, SALTS), np.int64)
+    spark = cut.sparkSession
+    totals = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    table = slots(plan(totals, capacity))
+    salts = np.zeros(capacity + 2, np.int64)
+    for k, n in totals.items():
+        salts[k + 1] = -(-n // RANKED)
+    start = np.cumsum(salts)  # where the salts of a length start in one row of all salts
+    salted = spark.createDataFrame([(k, int(salts[k + 1])) for k in totals], "length long, salts long")
+    cut = cut.join(F.broadcast(salted), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), "salts").cast("int")).drop("salts")
+    by = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows and one for each RANKED pieces
+    base = np.zeros(start[-1], np.int64)
     for r in by:
-        per[r.length, r.salt] = r.n
-    totals = per.sum(1)
-    table = slots(plan({k: int(totals[k]) for k in np.flatnonzero(totals)}, capacity))
-    base = np.cumsum(per, 1) - per  # ranks before a salt
-    send = cut.sparkSession.sparkContext.broadcast((base.astype(np.int64), table))
+        base[start[r.length] + r.salt] = r.n
+    for k in totals:  # ranks before a salt
+        part = base[start[k] : start[k + 1]]
+        part[:] = np.cumsum(part) - part
+    send = spark.sparkContext.broadcast((base, start, table))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, table = send.value
+        base, start, table = send.value
         keys = table[:, 0] * (1 << 44) + table[:, 1]
         for b in batches:
             length, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "local_rank"))
-            r = base[length, salt] + rank
+            r = base[start[length] + salt] + rank
             i = np.searchsorted(keys, length * (1 << 44) + r, "right") - 1
             _, first, seq, each, at = table[i].T
             k = r - first
