@@ -6,40 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, tokencount
-from pagelens.llm.common import table, tokenizer_path
+from pagelens.llm.common import spread, table, tokenizer_path
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.token_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return records.token_records(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality.held_out(F.col("doc_id"))
     labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & ~held).select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score_quality(table(spark, sf_dir, "documents"), labels)
+    scored = quality.score_quality(_documents(spark, sf_dir), labels)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    counts = tokencount.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
+    found = blocknames.exact_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(table(spark, sf_dir, "documents"))
+    return licences.scan_licences(_documents(spark, sf_dir))
 
 
 def op8_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +51,11 @@ def op8_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = langid.identify(docs, langid.training_rows(docs), tokenizer_path("piece_bpe_32k.model"))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
