@@ -8,127 +8,137 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from pagelens.extract import css, html, jsonld, kernel, site_files, srcset
 
-REF = "struct<url:string,kind:string,context:string>"
-HTML = f"base string, images array<{REF}>, links array<string>, stylesheets array<string>, manifests array<string>, browserconfigs array<string>, text_chars long, mount_nodes array<string>, noscript_js boolean"
-CSS = "images array<struct<url:string,kind:string>>, imports array<string>"
-SITEMAP = "sitemaps array<string>, pages array<string>, images array<string>, error string"
+_TEXT, _TEXTS, _URLS = pa.string(), pa.list_(pa.string()), pa.list_(pa.struct({"url": pa.string(), "kind": pa.string()}))
+HTML = pa.struct({
+    "base": _TEXT, "images": pa.list_(pa.struct({"url": _TEXT, "kind": _TEXT, "context": _TEXT})), "links": _TEXTS, "stylesheets": _TEXTS, "manifests": _TEXTS, "browserconfigs": _TEXTS,
+    "text_chars": pa.int64(), "mount_nodes": _TEXTS, "noscript_js": pa.bool_(), "error": _TEXT,
+})
+CSS = pa.struct({"images": _URLS, "imports": _TEXTS, "error": _TEXT})
+SITEMAP = pa.struct({"sitemaps": _TEXTS, "pages": _TEXTS, "images": _TEXTS, "error": _TEXT})
 
 
-def _table(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*rows) if rows else [()] * len(names))})
+def _guarded(kernel_fn: Callable, *args) -> dict:
+    """What a kernel finds in one row, or its error: a body that cannot be read spoils no other row."""
+    try:
+        return kernel_fn(*args) | {"error": None}
+    except Exception as e:
+        return {"error": f"{type(e).__name__}: {e}"[:500]}
+
+
+def _structs(rows: list[dict], kind: pa.StructType) -> pa.Array:
+    """Rows as structs; lists that a row lacks are empty."""
+    lists = [f.name for f in kind if pa.types.is_list(f.type)]
+    for r in rows:
+        for n in lists:
+            if r.get(n) is None:
+                r[n] = []
+    return pa.array(rows, kind)
 
 
 def html_refs(body: Column, page_url: Column, options: html.Options = html.Options()) -> Column:
     """Everything that a document refers to, as one struct."""
 
-    @F.pandas_udf(HTML)
-    def run(bodies: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, url in zip(bodies, urls):
-            f = html.read(text or "", url or "", options)
-            rows.append((f.base, [r._asdict() for r in f.images], f.links, f.stylesheets, f.manifests, f.browserconfigs, f.text_chars, f.mount_nodes, f.noscript_js))
-        return _table(rows, ["base", "images", "links", "stylesheets", "manifests", "browserconfigs", "text_chars", "mount_nodes", "noscript_js"])
+    def one(text: str | None, url: str | None) -> dict:
+        f = html.read(text or "", url or "", options)
+        return vars(f) | {"images": [r._asdict() for r in f.images]}
+
+    @F.arrow_udf(from_arrow_type(HTML))
+    def run(bodies: pa.Array, urls: pa.Array) -> pa.Array:
+        return _structs([_guarded(one, t, u) for t, u in zip(bodies.to_pylist(), urls.to_pylist())], HTML)
+
+    return run(body, page_url)
+
+
+def html_links(body: Column, page_url: Column) -> Column:
+    """Where the anchors and frames of a document lead, by the same reader."""
+    options = html.Options(frozenset(), css=False, jsonld=False)
+
+    @F.arrow_udf("array<string>")
+    def run(bodies: pa.Array, urls: pa.Array) -> pa.Array:
+        return pa.array([_guarded(lambda t, u: {"links": html.read(t or "", u or "", options).links}, t, u).get("links") for t, u in zip(bodies.to_pylist(), urls.to_pylist())], pa.list_(pa.string()))
 
     return run(body, page_url)
 
 
 def css_refs(text: Column, mode: str = "largest", prefix: str = "css") -> Column:
-    @F.pandas_udf(CSS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            sets, urls, imports = css.scan(t or "", mode)
-            rows.append(([{"url": u, "kind": f"{prefix}:{k}"} for k, us in (("image-set", sets), ("url", urls)) for u in us], imports))
-        return _table(rows, ["images", "imports"])
+    def one(t: str | None) -> dict:
+        sets, urls, imports = css.scan(t or "", mode)
+        return {"images": [{"url": u, "kind": f"{prefix}:{k}"} for k, us in (("image-set", sets), ("url", urls)) for u in us], "imports": imports}
+
+    @F.arrow_udf(from_arrow_type(CSS))
+    def run(texts: pa.Array) -> pa.Array:
+        return _structs([_guarded(one, t) for t in texts.to_pylist()], CSS)
 
     return run(text)
 
 
 def sitemap_refs(body: Column) -> Column:
-    """What a sitemap lists; `error` is set where it unfolds to too much."""
-
-    @F.pandas_udf(SITEMAP)
-    def run(bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in bodies:
-            try:
-                rows.append((*site_files.sitemap(bytes(b or b"")), None))
-            except ValueError as e:
-                rows.append(([], [], [], str(e)))
-        return _table(rows, ["sitemaps", "pages", "images", "error"])
+    """What a sitemap lists; `error` is set where it is damaged or unfolds to too much."""
+
+    @F.arrow_udf(from_arrow_type(SITEMAP))
+    def run(bodies: pa.Array) -> pa.Array:
+        return _structs([_guarded(lambda b: site_files.sitemap(b or b"")._asdict(), b) for b in bodies.to_pylist()], SITEMAP)
 
     return run(body)
 
 
-def _strings(kernel_fn: Callable, kind: str = "array<string>"):
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else kernel_fn(v) for v in values], dtype=object)
+def _values(kernel_fn: Callable, kind: pa.DataType = _TEXTS):
+    """Null for null, and for what cannot be read."""
+
+    @F.arrow_udf(from_arrow_type(kind))
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _guarded(lambda x: {"value": kernel_fn(x)}, v).get("value") for v in values.to_pylist()], kind)
 
     return run
 
 
 def srcset_urls(value: Column, mode: str = "largest") -> Column:
-    return _strings(lambda v: srcset.choose(srcset.candidates(v), mode))(value)
+    return _values(lambda v: srcset.choose(srcset.candidates(v), mode))(value)
 
 
 def jsonld_refs(text: Column) -> Column:
-    return _strings(jsonld.jsonld_images)(text)
+    return _values(jsonld.jsonld_images)(text)
 
 
 def manifest_refs(body: Column) -> Column:
-    return _strings(lambda b: [{"url": u, "kind": k} for u, k in site_files.manifest_images(bytes(b))], "array<struct<url:string,kind:string>>")(body)
+    return _values(lambda b: [{"url": u, "kind": k} for u, k in site_files.manifest_images(b)], _URLS)(body)
 
 
 def browserconfig_refs(body: Column) -> Column:
-    return _strings(lambda b: site_files.browserconfig_images(bytes(b)))(body)
+    return _values(site_files.browserconfig_images)(body)
 
 
 def gunzip(body: Column) -> Column:
     """The body, unzipped if it is gzip; null where it unfolds to too much or is damaged."""
-
-    def run(b):
-        try:
-            return site_files.unzipped(bytes(b))
-        except Exception:
-            return None
-
-    return _strings(run, "binary")(body)
+    return _values(site_files.unzipped, pa.binary())(body)
 
 
 def decode(body: Column, content_type: Column) -> Column:
     """A body as text by its declared charset."""
 
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series, types: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else html.charset(bytes(b), t) for b, t in zip(bodies, types)], dtype=object)
+    @F.arrow_udf("string")
+    def run(bodies: pa.Array, types: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else html.charset(b, t).encode("utf-8", "replace").decode() for b, t in zip(bodies.to_pylist(), types.to_pylist())], pa.string())
 
     return run(body, content_type)
 
 
-def image_links(page_html: Column, page_url: Column) -> Column:
-    """Absolute `href`s of anchors, without leaving the JVM: a quick way for markup with plainly quoted attributes."""
-    from pagelens.functions.url import resolve
-
-    hrefs = F.regexp_extract_all(page_html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.filter(F.transform(hrefs, lambda h: resolve(page_url, h)), lambda u: u.isNotNull())
-
-
 class _HtmlRefs:
     def eval(self, text: str, url: str):
-        for r in html.refs(text, url):
+        for r in _guarded(lambda: {"refs": list(html.refs(text, url))}).get("refs") or ():
             yield tuple(r)
 
 
 class _CssRefs:
     def eval(self, text: str):
-        yield from css.images(text or "")
+        yield from _guarded(lambda: {"refs": css.images(text or "")}).get("refs") or ()
 
 
 class _Srcset:
@@ -139,9 +149,9 @@ class _Srcset:
 
 class _Sitemap:
     def eval(self, body: bytes):
-        found = site_files.sitemap(bytes(body or b""))
-        for kind, urls in zip(("sitemap", "page", "image"), found):
-            for u in urls:
+        found = _guarded(lambda: site_files.sitemap(bytes(body or b""))._asdict())
+        for kind, name in (("sitemap", "sitemaps"), ("page", "pages"), ("image", "images")):
+            for u in found.get(name) or ():
                 yield kind, u
 
 
@@ -152,18 +162,16 @@ class _Jsonld:
 
 
 def register(spark: SparkSession) -> None:
-    """Scalar functions `url_normalize`, `url_resolve`, and table functions `html_refs`, `css_refs`, `srcset`, `sitemap_locs`, `jsonld_images` for SQL."""
-
-    @F.pandas_udf("string")
-    def url_normalize(urls: pd.Series) -> pd.Series:
-        return pd.Series([None if u is None else kernel.normalize(u) for u in urls], dtype=object)
+    """For SQL: the scalar functions `url_normalize(url)`, `url_resolve(base, ref)`, `url_pattern(url)`, `url_host(url)` and `sniff_format(body)`,
+    and the table functions `html_refs`, `css_refs`, `srcset`, `sitemap_locs`, `jsonld_images`. From Python the column forms in `functions` stay in the JVM."""
 
-    @F.pandas_udf("string")
-    def url_resolve(bases: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or r is None else kernel.resolve(b, r) for b, r in zip(bases, refs)], dtype=object)
+    @F.arrow_udf("string")
+    def url_resolve(bases: pa.Array, refs: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or r is None else kernel.resolve(b, r) for b, r in zip(bases.to_pylist(), refs.to_pylist())], pa.string())
 
-    spark.udf.register("url_normalize", url_normalize)
     spark.udf.register("url_resolve", url_resolve)
+    for name, kernel_fn in (("url_normalize", kernel.normalize), ("url_pattern", kernel.pattern), ("url_host", kernel.host), ("sniff_format", kernel.sniff)):
+        spark.udf.register(name, _values(kernel_fn, _TEXT))
     for name, cls, schema in (
         ("html_refs", _HtmlRefs, "url string, kind string, context string"),
         ("css_refs", _CssRefs, "url string, kind string"),

@@ -6,14 +6,21 @@ import re
 from functools import lru_cache
 from urllib.parse import quote, unquote_plus
 
+from pagelens.functions import binary
 from pagelens.functions.glob import match_any
-from pagelens.functions.url import IMAGE_EXTENSIONS, NO_RESOURCE, OTHER_EXTENSIONS, SAFE_PATH
+from pagelens.functions.url import IMAGE_EXTENSIONS, NO_RESOURCE, OTHER_EXTENSIONS, SAFE_PATH, TOKEN
 
 _PARTS = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.S)
 _WHERE = re.compile(r"(?:\[(?P<six>[^\]]*)\]|(?P<name>[^:]*))(?::(?P<port>.*))?", re.S)
 _IMAGE = re.compile(r"\.(?:%s)$" % "|".join(IMAGE_EXTENSIONS), re.I)
 _OTHER = re.compile(r"\.(?:%s)$" % "|".join(OTHER_EXTENSIONS), re.I)
 _DROP = str.maketrans("", "", "\t\n\r")
+_PORT = re.compile("[0-9]{1,9}")
+_TOKEN, _DIGITS = re.compile(TOKEN), re.compile("[0-9]+")
+#: First bytes that tell a format.
+_HEADS = (
+    (b"\xff\xd8\xff", "jpeg"), (b"\x89PNG\r\n\x1a\n", "png"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"II*\0", "tiff"), (b"MM\0*", "tiff"), (b"\xff\x0a", "jxl"), (b"\0\0\0\x0cJXL \r\n\x87\n", "jxl"),
+)
 _PORTS = {"http": "80", "https": "443"}
 
 
@@ -33,7 +40,7 @@ def _site(scheme: str, where: str) -> str | None:
         return None
     host = (m["six"] if m["six"] is not None else m["name"]).lower()
     port = m["port"] or ""
-    if not host or (port and not (port.isascii() and port.isdigit() and int(port) < 65536)):
+    if not host or (m["six"] is None and ("[" in host or "]" in host)) or (port and not (_PORT.fullmatch(port) and int(port) < 65536)):
         return None
     try:
         host = host if host.isascii() else host.encode("idna").decode()
@@ -103,3 +110,39 @@ def is_image(url: str) -> bool:
 
 def is_no_page(url: str) -> bool:
     return bool(_OTHER.search(parts(url)[2])) or is_image(url)
+
+
+def host(url: str) -> str:
+    where = (parts(url)[1] or "").rpartition("@")[2]
+    m = _WHERE.fullmatch(where)
+    return ((m["six"] if m["six"] is not None else m["name"]) if m else where).lower()
+
+
+def pattern(url: str) -> str:
+    """A URL's coarse shape, as functions/url.url_pattern() has it."""
+    _, _, path, query = parts(url)
+    steps = ["X" if _TOKEN.search(s) else _DIGITS.sub("N", s) for s in path.split("/")]
+    names = sorted({p.partition("=")[0] for p in (query or "").split("&") if p})
+    return host(url) + "/".join(steps) + (f"?{'&'.join(names)}" if query else "")
+
+
+def sniff(body: bytes) -> str | None:
+    """The image format of a body, as functions/binary.sniff() has it."""
+    head = body[: binary.HEAD_BYTES]
+    for start, name in _HEADS:
+        if head.startswith(start):
+            return name
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+        return "webp"
+    if head[4:8] == b"ftyp":
+        last = min(int.from_bytes(head[:4]), len(head)) - 4
+        brands = {head[8:12], *(head[k : k + 4] for k in range(16, last + 1, 4))}
+        return next((f for f, known in (("avif", binary.AVIF_BRANDS), ("heic", binary.HEIF_BRANDS)) if brands & {b.encode() for b in known}), None)
+    if head[:4] in (b"\0\0\1\0", b"\0\0\2\0") and len(head) >= 6 and head[4:6] != b"\0\0":
+        return "ico"
+    if head[:2] == b"BM" and len(head) >= 14:
+        return "bmp"
+    text = head.decode("utf-8", "replace").lstrip("\ufeff \t\r\n").lower()
+    if text.startswith(("<?xml", "<!--", "<svg", "<!doctype svg")) and "<svg" in text and not 0 <= text.find("<html") < text.find("<svg"):
+        return "svg"
+    return None

@@ -29,7 +29,15 @@ _IMAGE = r"(?i)\.(?:" + "|".join(IMAGE_EXTENSIONS) + ")$"
 _NON_PAGE = r"(?i)\.(?:" + "|".join(IMAGE_EXTENSIONS + OTHER_EXTENSIONS) + ")$"
 #: scheme, authority with slashes, authority, path, query with mark, query
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(?:#.*)?$"
-_TOKEN = r"^[0-9a-f-]{16,}$|^[A-Za-z0-9_-]{24,}$"
+#: Plain ASCII forms that normalize() and resolve() leave as they are: no port, no dot segment, nothing to encode, no empty query.
+_SAFE_CLASS = "A-Za-z0-9" + "".join("\\" + c for c in SAFE_PATH)
+_NO_DOTS = r"(?![^?]*/\.{1,2}(?:/|\?|\z))"
+_NORMAL_PATH = rf"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*{_NO_DOTS}/[{_SAFE_CLASS}]*\z"
+_NORMAL = rf"{_NORMAL_PATH[:-2]}(?:\?[{_SAFE_CLASS}?]+)?\z"
+_PLAIN_PATH = rf"^{_NO_DOTS}/(?!/)[{_SAFE_CLASS}]*\z"
+_PLAIN_REF = rf"{_PLAIN_PATH[:-2]}(?:\?[{_SAFE_CLASS}?]+)?\z"
+#: Path parts that are tokens.
+TOKEN = r"^[0-9a-f-]{16,}$|^[A-Za-z0-9_-]{24,}$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -120,10 +128,11 @@ def normalize(url: Column, strip_params: Iterable[str] = ()) -> Column:
         path = percent_encode(remove_dot_segments(F.when(p.path == "", "/").otherwise(p.path)), SAFE_PATH)
         query = percent_encode(strip_query(p.query, strip_params), SAFE_PATH + "?=&")
         whole = F.concat(p.scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), p.number.cast("string"))), path, let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
-        valid = p.scheme.isin("http", "https") & ~p.host.isin("", "[]") & ((p.port == "") | p.number.between(0, 65535))
+        valid = p.scheme.isin("http", "https") & ~p.host.isin("", "[]") & ~p.host.rlike(r"^[^\[].*[\[\]]|^\[.*[^\]]$|^\[$") & ((p.port == "") | p.number.between(0, 65535))
         return F.when(valid, whole)
 
-    return let(clean(url), lambda u: let(split(u), lambda p: let(site(p), build)))
+    normal = url.rlike(_NORMAL_PATH if strip_params else _NORMAL)
+    return F.when(normal, url).otherwise(let(clean(url), lambda u: let(split(u), lambda p: let(site(p), build))))
 
 
 def _idna(host: Column) -> Column:
@@ -153,7 +162,9 @@ def resolve(base: Column, ref: Column, strip_params: Iterable[str] = ()) -> Colu
         return F.when(~nowhere, joined)
 
     pair = F.struct(clean(ref).alias("r"), base.alias("b"))
-    return normalize(let(pair, lambda x: let(split(x.r, x.b), join)), strip_params)
+    whole = let(let(pair, lambda x: let(split(x.r, x.b), join)), lambda j: normalize(j, strip_params))
+    plain = base.rlike(_NORMAL) & ref.rlike(_PLAIN_PATH if strip_params else _PLAIN_REF)
+    return F.when(plain, F.concat(F.regexp_extract(base, "^[a-z]+://[^/]+", 0), ref)).otherwise(whole)
 
 
 def host_of(url: Column) -> Column:
@@ -189,7 +200,7 @@ def url_filename(url: Column) -> Column:
 
 def url_pattern(url: Column) -> Column:
     """A coarse shape: token-like path parts as X, runs of digits as N, and the sorted names of query parameters."""
-    parts = F.transform(F.split(path_of(url), "/"), lambda s: F.when(s.rlike(_TOKEN), "X").otherwise(F.regexp_replace(s, r"\d+", "N")))
+    parts = F.transform(F.split(path_of(url), "/"), lambda s: F.when(s.rlike(TOKEN), "X").otherwise(F.regexp_replace(s, r"\d+", "N")))
     query = _part(url, 6)
     keys = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
     names = F.array_join(F.array_sort(F.array_distinct(keys)), "&")

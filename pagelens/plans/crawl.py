@@ -146,8 +146,13 @@ class Crawl:
             "tiles": X.browserconfig_refs(F.when(F.col("good") & (F.col("kind") == "browserconfig"), F.col("body"))),
         })
         wants = policy.render_wanted(F.col("final_url"), F.col("html.mount_nodes"), F.col("html.text_chars"), F.col("html.noscript_js"), F.size("html.images"), cfg.render.mode, cfg.render.patterns)
-        f = f.withColumn("rendered", F.col("as_html") & F.col("rendered_html").isNotNull() & F.coalesce(wants, F.lit(False))).drop("body", "text", "rendered_html", "content_length", "headers")
-        f = self._kept(f, "round")
+        f = f.withColumn("rendered", F.col("as_html") & F.col("rendered_html").isNotNull() & F.coalesce(wants, F.lit(False)))
+        unread = F.coalesce(
+            "html.error", F.when(F.col("rendered"), F.col("live.error")), "css.error", "map.error",
+            *[F.when(F.col("good") & (F.col("kind") == kind) & F.col(found).isNull(), "unreadable body") for kind, found in (("manifest", "icons"), ("browserconfig", "tiles"))],
+        )
+        f = f.withColumn("failure", F.coalesce("failure", F.when(F.col("good"), unread))).withColumn("good", F.col("good") & F.col("failure").isNull())
+        f = self._kept(f.drop("body", "text", "rendered_html", "content_length", "headers"), "round")
 
         refs = self._kept(self._image_refs(f), "refs")
         images, occurrences = self._new_images(refs, store.table("image_url"), store.table("occurrence"))
