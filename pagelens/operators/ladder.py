@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.config import Filters, Limits
 from pagelens.functions import binary as B
-from pagelens.operators.ordered import first_by, running_total
+from pagelens.operators.ordered import first_by, rank, running_total
 
 
 def declared_reason(declared: Column, filters: Filters, limits: Limits) -> Column:
@@ -80,5 +80,5 @@ def pattern_limited(pages: DataFrame, prior: DataFrame | None, limit: int, order
 
 
 def first_pages(pages: DataFrame, remaining: int, order: list[str]) -> DataFrame:
-    """The pages that a page budget still allows, in order."""
-    return pages.orderBy(*order).limit(max(0, remaining))
+    """The first `remaining` pages in the order, by their ranks: none goes through one task, however many the budget allows."""
+    return rank(pages, order, "_place").filter(F.col("_place") <= max(0, remaining)).drop("_place")

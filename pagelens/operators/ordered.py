@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 from pagelens.storage import kept
 
 
+def in_ranges(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, Window]:
+    """The rows dealt by ranges of the order, whose numbers (`_range`) ascend with it; and the window over a range and the first column of the order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return dealt, Window.partitionBy("_range", order[0]).orderBy(*order[1:])
+
+
 def running_total(df: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over all rows before this one. `order` must tell all rows apart."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

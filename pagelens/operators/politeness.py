@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.operators.ordered import in_ranges
+from pagelens.storage import kept
+
 #: Statuses that count as a sign of overload, and those that are tried again.
 BAD_STATUSES = (403, 429, 503)
 RETRIED = (429, 500, 502, 503, 504)
@@ -13,25 +16,70 @@ MOST_HOPS = 10
 
 
 def bad_streaks(log: DataFrame, host: str, order: list[str], bad: Column, interval: float, max_streak: int = 15, cap: float = 60.0) -> DataFrame:
-    """Adds `streak` (bad requests in a row), `interval` (doubled at every third of a streak, up to `cap`, never lowered again) and `blocked` (some streak has reached `max_streak`)."""
-    w = Window.partitionBy(host).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = log.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy(host, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    streaked = islands.withColumn("streak", F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(inside))
-    slows = F.sum(F.when(F.col("_bad") & (F.col("streak") % 3 == 0), 1).otherwise(0)).over(w)
-    return (
-        streaked.withColumn("interval", F.least(F.lit(cap), F.lit(float(interval)) * F.pow(F.lit(2.0), F.least(slows, F.lit(60)))))
-        .withColumn("blocked", F.max(F.col("streak") >= max_streak).over(w))
-        .drop("_bad", "_island")
-    )
+    """Adds `streak` (bad requests in a row), `interval` (doubled at every third of a streak, up to `cap`, never lowered again) and `blocked` (some streak has reached `max_streak`).
+
+    Rows are dealt by ranges of (host, order), so a hot host is split. A range hands on how many bad requests it ends with, and
+    what it adds to the doublings and to the longest streak, which depends on the streak that it starts with.
+    """
+    dealt, w = in_ranges(log.withColumn("_bad", F.coalesce(bad, F.lit(False))), [host, *order])
+    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = dealt.withColumns({"_n": F.row_number().over(w), "_good": F.max(F.when(~F.col("_bad"), F.row_number().over(w))).over(before)})
+    # bad requests in a row inside of the range; those before its first good one go on with a streak from before
+    dealt = kept(dealt.withColumn("_run", F.col("_n") - F.coalesce("_good", F.lit(0))), "runs")
+    inside = dealt.groupBy("_range", host).agg(
+        F.count("*").alias("n"), F.max_by("_run", "_n").alias("tail"), F.coalesce(F.min(F.when(~F.col("_bad"), F.col("_n"))) - 1, F.count("*")).alias("lead"),
+        F.count(F.when(F.col("_bad") & F.col("_good").isNotNull() & (F.col("_run") % 3 == 0), 1)).alias("slows"), F.max(F.when(F.col("_bad") & F.col("_good").isNotNull(), F.col("_run"))).alias("longest"),
+    )
+    ranges = Window.partitionBy(host).orderBy("_range")  # a row for each range that a host is in
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum(F.when(F.col("lead") < F.col("n"), 1).otherwise(0)).over(earlier)
+    chained = inside.withColumn("block", F.coalesce(whole, F.lit(0)))
+    # the streak that a range starts with: the tail of the last range with a good request, and all ranges since
+    since = Window.partitionBy(host, "block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last_tail = F.lag(F.when(F.col("lead") < F.col("n"), F.col("tail"))).over(ranges)
+    start = F.coalesce(F.sum("n").over(since), F.lit(0)) + F.coalesce(F.max("_last").over(Window.partitionBy(host, "block")), F.lit(0))
+    chained = chained.withColumn("_last", last_tail).withColumn("_start0", start)
+    thirds = lambda x: F.floor(x / 3)
+    chained = chained.withColumns({
+        "_slows": F.col("slows") + thirds(F.col("_start0") + F.col("lead")) - thirds(F.col("_start0")),
+        "_longest": F.greatest(F.coalesce("longest", F.lit(0)), F.when(F.col("lead") > 0, F.col("_start0") + F.col("lead")).otherwise(0)),
+    })
+    handed = chained.select(F.col("_range").alias("_r"), F.col(host).alias("_host"), "_start0", F.coalesce(F.sum("_slows").over(earlier), F.lit(0)).alias("_slows0"), F.coalesce(F.max("_longest").over(earlier), F.lit(0)).alias("_longest0"))
+    rows = dealt.join(handed, (F.col("_range") == F.col("_r")) & F.col(host).eqNullSafe(F.col("_host")))
+    streak = F.when(F.col("_bad"), F.col("_run") + F.when(F.col("_good").isNull(), F.col("_start0")).otherwise(0)).otherwise(0)
+    rows = rows.withColumn("streak", streak.cast("long"))
+    slows = F.col("_slows0") + F.sum(F.when(F.col("_bad") & (F.col("streak") % 3 == 0), 1).otherwise(0)).over(before)
+    longest = F.greatest(F.col("_longest0"), F.max("streak").over(before))
+    return rows.select(
+        *log.columns, "streak", F.least(F.lit(cap), F.lit(float(interval)) * F.pow(F.lit(2.0), F.least(slows, F.lit(60)))).alias("interval"), (longest >= max_streak).alias("blocked")
+    )
 
 
 def spaced(arrivals: DataFrame, host: str, at: str, order: list[str], interval: float) -> DataFrame:
-    """Adds `start`: each request of a host starts at its arrival, but at least `interval` after the start before it."""
-    w = Window.partitionBy(host).orderBy(*order)
-    numbered = arrivals.withColumn("_k", F.row_number().over(w) - 1)
-    slack = F.max(F.col(at) - F.col("_k") * interval).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return numbered.withColumn("start", slack + F.col("_k") * interval).drop("_k")
+    """Adds `start`: each request of a host starts at its arrival, but at least `interval` after the start before it.
+
+    With k requests of the host before it, a request starts at k * interval plus the greatest slack (arrival - k * interval)
+    so far; both the count and the maximum are carried over ranges of (host, order).
+    """
+    dealt, w = in_ranges(arrivals, [host, *order])
+    dealt = dealt.withColumn("_k", F.row_number().over(w).cast("long") - 1)
+    sizes = dealt.groupBy("_range", host).agg(F.count("*").alias("n"), F.max(F.col(at) - F.col("_k") * interval).alias("slack"))
+    earlier = Window.partitionBy(host).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a host is in
+    sizes = sizes.withColumn("_k0", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    handed = sizes.withColumn("_slack0", F.max(F.col("slack") - F.col("_k0") * interval).over(earlier)).select(F.col("_range").alias("_r"), F.col(host).alias("_host"), "_k0", "_slack0")
+    rows = dealt.join(handed, (F.col("_range") == F.col("_r")) & F.col(host).eqNullSafe(F.col("_host"))).withColumn("_k", F.col("_k") + F.col("_k0"))
+    slack = F.greatest("_slack0", F.max(F.col(at) - F.col("_k") * interval).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.select(*arrivals.columns, (slack + F.col("_k") * interval).alias("start"))
+
+
+def numbered(log: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """Adds `out`: how many rows of the same key stand before each, counted by ranges of (key, order)."""
+    dealt, w = in_ranges(log, [key, *order])
+    sizes = dealt.groupBy("_range", key).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = sizes.select(F.col("_range").alias("_r"), F.col(key).alias("_key"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_k0"))
+    rows = dealt.withColumn("_k", F.row_number().over(w).cast("long") - 1).join(handed, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")))
+    return rows.select(*log.columns, (F.col("_k") + F.col("_k0")).alias(out))
 
 
 def final_attempts(attempts: DataFrame, retries: int = 3) -> DataFrame:
@@ -47,30 +95,31 @@ def final_attempts(attempts: DataFrame, retries: int = 3) -> DataFrame:
 def follow_redirects(wanted: DataFrame, responses: DataFrame, reason, most: int = MOST_HOPS) -> DataFrame:
     """Where each `url` of `wanted` ends: adds `final_url, status, chain, denied, error`.
 
-    `reason(column)` is the scope check of every hop. All redirects are one table, joined once for each hop that any
-    row still needs; the loop ends when none does.
+    `reason(column)` is the scope check of every hop. Each round takes the rows that are still under way, as files, and joins
+    them with all answers once; rows that have come to their end leave the loop. What many rows lead to is one row of answers.
     """
     from pagelens.functions.url import resolve
 
     hop = responses.select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.when(F.col("status").isin(*REDIRECTS), resolve(F.col("url"), F.col("location"))).alias("_next"))
-    at = wanted.select("*", F.col("url").alias("final_url"), F.lit(None).cast("int").alias("status"), F.array().cast("array<string>").alias("chain"), F.lit(None).cast("string").alias("denied"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("_open"))
+    text = F.lit(None).cast("string")
+    under_way = wanted.select("*", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("chain"))
+    ended: DataFrame | None = None
     for n in range(most + 1):
-        j = at.join(hop, (F.col("final_url") == F.col("_at")) & F.col("_open"), "left")
-        moves = F.col("_open") & F.col("_next").isNotNull()
+        moves = F.col("_next").isNotNull()
         why = F.when(moves, reason(F.col("_next")))
         goes = moves & why.isNull() & (F.lit(n) < most)
-        at = j.select(
-            *[F.col(c) for c in wanted.columns],
-            F.when(goes, F.col("_next")).otherwise(F.col("final_url")).alias("final_url"),
-            F.when(F.col("_open"), F.col("_status")).otherwise(F.col("status")).alias("status"),
-            F.when(goes, F.array_append("chain", F.col("_next"))).otherwise(F.col("chain")).alias("chain"),
-            F.coalesce("denied", F.concat(why, F.lit(":redirect"))).alias("denied"),
-            F.coalesce("error", F.when(moves & why.isNull() & (F.lit(n) >= most), "too many redirects"), F.when(F.col("_open") & F.col("_at").isNull(), "no response")).alias("error"),
-            goes.alias("_open"),
+        step = under_way.join(hop, F.col("final_url") == F.col("_at"), "left").select(
+            *[F.col(c) for c in wanted.columns], F.when(goes, F.col("_next")).otherwise(F.col("final_url")).alias("final_url"), F.col("_status").cast("int").alias("status"),
+            F.when(goes, F.array_append("chain", F.col("_next"))).otherwise(F.col("chain")).alias("chain"), F.coalesce(F.concat(why, F.lit(":redirect")), text).alias("denied"),
+            F.when(moves & why.isNull() & (F.lit(n) >= most), "too many redirects").when(F.col("_at").isNull(), "no response").alias("error"), goes.alias("_open"),
         )
-        if n >= 2 and at.filter("_open").isEmpty():
+        step = kept(step, "hops")
+        done = step.filter("not _open").drop("_open")
+        ended = done if ended is None else ended.unionByName(done)
+        under_way = step.filter("_open").drop("_open", "status", "denied", "error")
+        if under_way.isEmpty():
             break
-    return at.drop("_open")
+    return ended
 
 
 def failure_ratio(done: Column, failed: Column) -> Column:

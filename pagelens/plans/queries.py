@@ -22,6 +22,7 @@ from pagelens.functions import url as U
 from pagelens.functions.glob import matches_any
 from pagelens.operators import ladder, ordered, policy, politeness
 from pagelens.sources import readers
+from pagelens.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,16 +97,21 @@ _LINKS_SQL = rf"""
 """
 
 
+def _links(spark, sf_dir, *columns) -> DataFrame:
+    """Where pages' anchors lead, by the document reader."""
+    p = spread(table(spark, sf_dir, "pages"), "page_id").withColumn("url", U.normalize(F.col("url")))
+    return p.select(*columns, X.html_links(F.col("html"), F.col("url")).alias("links")).select("*", F.explode_outer("links").alias("link")).drop("links").filter("link is not null")
+
+
 @query(f"SELECT page_id, origin || {_encoded('href')} AS link FROM ({_LINKS_SQL}) WHERE starts_with(href, '/')")
 def link_resolve(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", X.image_links(F.col("html"), U.normalize(F.col("url"))).alias("links"))
-    return p.select("page_id", F.explode("links").alias("link"))
+    return _links(spark, sf_dir, "page_id").select("page_id", "link")
 
 
 @query(f"SELECT page_id, origin || {_encoded('href')} AS link FROM ({_LINKS_SQL}) WHERE starts_with(href, '/')")
 def html_links(spark, sf_dir):
     """The same links by the full document reader."""
-    p = table(spark, sf_dir, "pages").select("page_id", X.html_refs(F.col("html"), U.normalize(F.col("url"))).alias("h"))
+    p = spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", X.html_refs(F.col("html"), U.normalize(F.col("url"))).alias("h"))
     return p.select("page_id", F.explode_outer("h.links").alias("link")).filter("link is not null")
 
 
@@ -123,9 +129,8 @@ def link_classify(spark, sf_dir):
     SELECT host, {_pattern_sql('link')} AS pattern, count(*) AS links, count(DISTINCT link) AS targets FROM l GROUP BY 1, 2
 """)
 def flagship(spark, sf_dir):
-    """Pages' links by host and shape: normalise, extract, resolve, classify, aggregate, all in the JVM."""
-    p = table(spark, sf_dir, "pages").select(U.normalize(F.col("url")).alias("url"), "html")
-    links = p.select(U.host_of(F.col("url")).alias("host"), F.explode(X.image_links(F.col("html"), F.col("url"))).alias("link"))
+    """Pages' links by host and shape: normalise, extract, resolve, classify, aggregate."""
+    links = _links(spark, sf_dir, U.host_of(F.col("url")).alias("host"))
     return links.groupBy("host", U.url_pattern(F.col("link")).alias("pattern")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("targets"))
 
 
@@ -267,7 +272,7 @@ def data_uri(spark, sf_dir):
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("s"), "p_name", "p_size")
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("s"), "p_name", "p_size")
 
 
 def _text(*parts) -> Column:
@@ -444,7 +449,7 @@ def _state(spark, sf_dir) -> dict[str, DataFrame]:
     size = (F.col("p_size") * 1000).cast("long")
     brand = F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
     file = part.filter("p_partkey % 10 < 7").groupBy(sha.alias("sha256")).agg(F.first(size).alias("bytes"), F.first(brand).alias("_b")).select("sha256", F.concat(F.lit("images/"), "_b", F.lit(".e.com/"), "sha256", F.lit(".png")).alias("path"), "bytes", F.lit("png").alias("format"))
-    n_pages = F.lit(max(1, table(spark, sf_dir, "pages").count()))
+    n_pages = F.greatest(table(spark, sf_dir, "pages").agg(F.count("*")).scalar(), F.lit(1))
     occ = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("image_id"), F.when(F.col("l_orderkey") % 11 > 0, F.col("l_orderkey") % n_pages).cast("long").alias("page_id"),
         F.when(F.col("l_linenumber") % 2 == 0, "html:img@src").otherwise("html:a@href").alias("kind"), F.lit("c").alias("context"), "l_orderkey", "l_linenumber",
@@ -590,10 +595,8 @@ def host_spacing(spark, sf_dir):
     SELECT url, arg_min(event_id, CASE WHEN status = 200 THEN attempt ELSE 100 - attempt END) AS event_id FROM t GROUP BY 1
 """)
 def retry_choice(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), (F.row_number().over(w) - 1).alias("attempt"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), "event_id")
+    e = politeness.numbered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "attempt")
+    a = e.select(F.col("user_id").alias("url"), "attempt", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), "event_id")
     return politeness.final_attempts(a).select("url", "event_id")
 
 

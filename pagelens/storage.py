@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (as in tests) under a folder of our own."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset on a single machine under a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pagelens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -22,3 +24,12 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """The rows of a scanned table, dealt by `by` to all cores where the table lies in fewer files than there are cores
+    and is small enough for two rounds of tasks; all other tables stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > 2 * cores or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores, *by)
