@@ -115,7 +115,7 @@ def is_no_page(url: str) -> bool:
 def host(url: str) -> str:
     where = (parts(url)[1] or "").rpartition("@")[2]
     m = _WHERE.fullmatch(where)
-    return ((m["six"] if m["six"] is not None else m["name"]) if m else where).lower()
+    return ((m["six"] if m["six"] is not None else m["name"].removeprefix("[")) if m else where).lower()
 
 
 def pattern(url: str) -> str:

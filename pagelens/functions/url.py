@@ -119,7 +119,7 @@ def normalize(url: Column, strip_params: Iterable[str] = ()) -> Column:
     def site(p: Column) -> Column:
         """The parts with host and port apart; an IPv6 host keeps its brackets."""
         host = F.lower(F.regexp_extract(p.where, r"^(\[[^\]]*\]|[^:]*)", 1))
-        port = F.regexp_extract(p.where, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+        port = F.regexp_extract(p.where, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
         return F.struct(p.scheme.alias("scheme"), host.alias("host"), port.alias("port"), F.when(port.rlike(r"^[0-9]{1,9}$"), port.cast("int")).alias("number"), p.path.alias("path"), p.query.alias("query"))
 
     def build(p: Column) -> Column:

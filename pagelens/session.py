@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens import export, reports
-from pagelens.config import Config
+from pagelens.config import Config, check_runnable
+from pagelens.operators.ladder import first_pages
 from pagelens.plans.crawl import Crawl
 from pagelens.sources import readers
 from pagelens.state import Store, requeue_failed
@@ -14,7 +15,7 @@ from pagelens.state import Store, requeue_failed
 
 class Session:
     def __init__(self, spark: SparkSession, cfg: Config):
-        cfg.require_runnable()
+        check_runnable(cfg)
         self.spark, self.cfg, self.store = spark, cfg, Store(spark, cfg.out)
 
     def crawl(self, responses: DataFrame, *, dry_run: bool = False, overwrite: bool = False, images_only: DataFrame | None = None, max_rounds: int | None = None, friendly: bool = False) -> tuple[str, int]:
@@ -48,7 +49,7 @@ class Session:
     def queue_archive(self, cdx: DataFrame, domain: str) -> tuple[int, int]:
         """Queues the rows of an archive index; gives how many are new and how many are not."""
         self.store.open(self.cfg)
-        rows = readers.queue_archive(cdx.limit(self.cfg.wayback.limit), self.cfg, domain).cache()
+        rows = readers.queue_archive(first_pages(cdx, self.cfg.wayback.limit, ["pos"]), self.cfg, domain).cache()
         images, occurrences = self.store.table("image_url"), self.store.table("occurrence")
         old = images.select("url")
         added = rows.filter("outcome = 'added'").join(old, "url", "left_anti").count()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens import __version__
-from pagelens.config import Config, ConfigError
+from pagelens.config import Config, ConfigError, identity, plain
 from pagelens.schema import STATE
 
 #: Internal columns beside those of the schema: the bytes of data URIs until they are stored.
@@ -93,7 +93,7 @@ class Store:
         meta = self.meta()
         fs, out = self._fs(self.out)
         if meta and not overwrite:
-            if meta["scope_key"] != cfg.scope_key():
+            if meta["scope_key"] != identity(cfg):
                 raise ConfigError(f"{self.out} was made with other seeds or another scope")
             if not resume:
                 raise ConfigError(f"{self.out} holds a run already")
@@ -102,7 +102,7 @@ class Store:
             self.purge()
         elif fs.exists(out) and len(fs.listStatus(out)):
             raise ConfigError(f"{self.out} is not empty and holds no run")
-        self.set_meta(schema_version="1", created_at=now(), config=cfg.snapshot(), scope_key=cfg.scope_key(), status="new", generation=0, tables={}, runs=[])
+        self.set_meta(schema_version="1", created_at=now(), config=plain(cfg), scope_key=identity(cfg), status="new", generation=0, tables={}, runs=[])
         return False
 
     def begin(self) -> int:
