@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import signal
 import sys
 
+from pagelens import logs
 from pagelens.config import Config, ConfigError, build, load, starter
 
 
@@ -37,6 +40,20 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _stops():
+    """Says whether the run should end. The first interrupt asks for it after the round that is under way, the second breaks off at once."""
+    asked: list[int] = []
+
+    def on_signal(number, frame) -> None:
+        if asked:
+            raise KeyboardInterrupt
+        asked.append(number)
+        print("stopping after this round; once more to break off", file=sys.stderr)
+
+    signal.signal(signal.SIGINT, on_signal)
+    return lambda: bool(asked)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "init":
@@ -55,9 +72,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pagelens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.command == "crawl":
+            logs.setup(None if sys.stderr.isatty() else os.devnull)
             over = {k: json.loads(v) for k, _, v in (x.partition("=") for x in args.set)} | {"seeds": args.seed, "out": args.out}
             images = readers.url_list(spark, args.images_only) if args.images_only else None
-            status, code = Session(spark, load(args.config, over)).crawl(readers.responses(spark, args.snapshot), dry_run=args.dry_run, overwrite=args.overwrite, images_only=images, friendly=args.friendly)
+            status, code = Session(spark, load(args.config, over)).crawl(readers.responses(spark, args.snapshot), dry_run=args.dry_run, overwrite=args.overwrite, images_only=images, friendly=args.friendly, stop=_stops())
             print(status)
             return code
         meta = Store(spark, args.out).meta()
@@ -79,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
     except ConfigError as e:
         print(e, file=sys.stderr)
         return 1
+    except KeyboardInterrupt:
+        return 130
     return 0
 
 

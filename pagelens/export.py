@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import url as U
+from pagelens.operators.ordered import in_ranges
 from pagelens.state import Store
 
 #: The columns of the exported tables, in their order.
@@ -51,6 +53,36 @@ def nested(rows: DataFrame) -> DataFrame:
     return by_url.groupBy("file", "sha256", "bytes", "format").agg(F.array_sort(F.collect_list(url)).alias("urls"))
 
 
+def document_lines(rows: DataFrame, target: list[str], status: str | None) -> DataFrame:
+    """`place, file, image_url, page_url, kind, line`: in this order the lines make one JSON document with `target`, `status` and
+    the `files`, each with its `urls`, each with its `referenced_by`.
+
+    No file is ever gathered: a line belongs to one reference and opens or closes what differs from the line before. Lines are
+    made by ranges of the order, and each range gets the last file and URL of those before it.
+    """
+    order = ["file", "image_url", "page_url", "kind", "context"]
+    dealt, _ = in_ranges(rows, order)
+    ends = dealt.groupBy("_range").agg(F.max(F.struct("file", "image_url")).alias("end"))
+    ranges = Window.orderBy("_range")  # a row for each range
+    ends = ends.select(F.col("_range").alias("_r"), F.lag("end").over(ranges).alias("end"))
+    w = Window.partitionBy("_range").orderBy(*order)
+    before = F.coalesce(F.lag(F.struct("file", "image_url")).over(w), F.col("end"))
+    at = dealt.join(F.broadcast(ends), F.col("_range") == F.col("_r")).withColumn("before", before)
+    first, same_file = F.col("before").isNull(), F.coalesce(F.col("before.file") == F.col("file"), F.lit(False))
+    same_url = same_file & (F.col("before.image_url") == F.col("image_url"))
+    opened = lambda *names: F.expr(f"left(to_json(struct({', '.join(names)}), map('ignoreNullFields', 'false')), length(to_json(struct({', '.join(names)}), map('ignoreNullFields', 'false'))) - 1)")
+    file = F.concat(opened("file", "sha256", "bytes", "format"), F.lit(',"urls":['))
+    url = F.concat(opened("image_url AS url", "final_url", "url_filename", "status", "content_type", "date_format(fetched_at, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\") AS fetched_at"), F.lit(',"referenced_by":['))
+    ref = F.when(F.col("kind").isNotNull(), F.expr("to_json(struct(page_url AS page, kind, context), map('ignoreNullFields', 'false'))")).otherwise("")
+    begin = F.when(first, F.concat(file, url)).when(~same_file, F.concat(F.lit("]}]},"), file, url)).when(~same_url, F.concat(F.lit("]},"), url)).otherwise(",")
+    keys = ["place", "file", "image_url", "page_url", "kind"]
+    lines = at.select(F.lit(1).alias("place"), "file", "image_url", "page_url", "kind", F.concat(begin, ref).alias("line"))
+    none = [F.lit(None).cast("string").alias(k) for k in keys[1:]]
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("place"), *none, F.lit(json.dumps({"target": target, "status": status})[:-1] + ', "files": [').alias("line"))
+    foot = rows.agg(F.count("*").alias("n")).select(F.lit(2).alias("place"), *none, F.when(F.col("n") > 0, "]}]}]}").otherwise("]}").alias("line"))
+    return head.unionByName(lines).unionByName(foot).orderBy(*keys)
+
+
 def mirror_paths(image_url: DataFrame, file: DataFrame) -> DataFrame:
     """`path, target` of a tree that follows the URLs' paths. A name gets the stored file's extension; different files that
     want one name get `~1`, `~2` ... in the order of their images, equal files share it. Data URIs have no place in it."""
@@ -69,15 +101,16 @@ def mirror_paths(image_url: DataFrame, file: DataFrame) -> DataFrame:
 
 
 def export_all(store: Store, friendly: bool = False) -> dict[str, str]:
-    """Writes `manifest.csv`, `manifest.json` and `urls.csv` into the output folder, each as a folder of parts of Spark's own commit protocol, and on request the mirror tree."""
+    """Writes `manifest.csv`, `manifest.json` and `urls.csv` into the output folder, each as a folder of parts of Spark's own commit
+    protocol, and on request the mirror tree. The parts of `manifest.json` one after another are one JSON document."""
     t = store.tables()
     rows = manifest(t["page"], t["image_url"], t["file"], t["occurrence"])
     out = store.out
     flat = manifest_ordered(rows).withColumn("fetched_at", stamp(F.col("fetched_at"))).select(*MANIFEST_COLUMNS)
     flat.write.mode("overwrite").csv(f"{out}/manifest.csv", header=True, escape='"')
-    nested(rows).orderBy("file").write.mode("overwrite").json(f"{out}/manifest.json")
+    meta = store.meta()
+    document_lines(rows, meta.get("config", {}).get("seeds", []), meta.get("status")).select("line").write.mode("overwrite").text(f"{out}/manifest.json")
     url_audit(t["image_url"], t["file"]).orderBy("image_id").select(*URL_COLUMNS).write.mode("overwrite").csv(f"{out}/urls.csv", header=True, escape='"')
-    store.set_meta(export={"target": store.meta().get("config", {}).get("seeds", []), "status": store.meta().get("status")})
     if friendly:
         link_tree(mirror_paths(t["image_url"], t["file"]), out)
     return {n: f"{out}/{n}" for n in ("manifest.csv", "manifest.json", "urls.csv")}

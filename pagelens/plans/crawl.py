@@ -8,9 +8,13 @@ Rows grow by anti-joins, and each round is committed as one generation.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens import reports
 from pagelens.config import Config
 from pagelens.extract import columns as X
 from pagelens.extract import html, rewrite
@@ -294,7 +298,7 @@ class Crawl:
         failure = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("http") != 200, F.concat(F.lit("HTTP "), F.col("http").cast("string")))
         port = F.regexp_extract(F.col("final_url"), r"^[a-z]+://[^/]*:([0-9]+)(?:/|$)", 1)
         web = web.select(
-            "image_id", "url", "final_url", F.col("http").alias("status"), F.col("ctype").alias("content_type"), "headers", "fetched_at", "body", F.col("content_length").alias("declared"),
+            "image_id", "url", "final_url", F.col("http").alias("status"), F.col("ctype").alias("content_type"), F.to_json("headers").alias("headers"), "fetched_at", "body", F.col("content_length").alias("declared"),
             gate.alias("gate"), F.when(gate.isNull(), failure).alias("failure"), U.host_dir(U.host_of(F.col("final_url")), F.when(port != "", port)).alias("host_folder"),
             F.coalesce(F.nullif(F.substring(U.disposition_filename(F.element_at("headers", "content-disposition")), 1, 255), F.lit("")), U.url_filename(F.col("final_url"))).alias("url_filename"),
         )
@@ -342,8 +346,16 @@ class Crawl:
 
         saved.join(bodies, "image_id").select("path", "body").mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
-    def run(self, max_rounds: int | None = None) -> str:
-        """Rounds until nothing is queued or a limit is met, then the images. `max_rounds` breaks off early, as an interruption would."""
+    def report(self, event: str, **more) -> dict:
+        """Logs how far the crawl is, and gives it."""
+        t = self.store.tables()
+        stats = reports.statistics(t["page"], t["image_url"], t["file"]).first().asDict()
+        logging.getLogger("pagelens").info(event, extra={"data": more | stats})
+        return stats
+
+    def run(self, max_rounds: int | None = None, stop: Callable[[], bool] = lambda: False) -> str:
+        """Rounds until nothing is queued or a limit is met, then the images. `stop` is asked after every round: once it says so,
+        the run ends as interrupted with all that is committed, and the next run goes on from there. So does `max_rounds`."""
         store = self.store
         run_id = store.begin()
         if not store.meta().get("seeded"):
@@ -352,14 +364,17 @@ class Crawl:
             store.commit({n: recover(store.table(n)) for n in ("page", "image_url")})
         n = 0
         while max_rounds is None or n < max_rounds:
+            if stop():
+                break
             if not self.round():
                 break
             n += 1
-        else:
-            store.end(run_id, "interrupted")
+            self.report("round", round=n)
+        if stop() or n == max_rounds:
+            store.end(run_id, "interrupted", self.report("interrupted"))
             return "interrupted"
         over_budget = self.save_images()
         waiting = not store.table("page").filter("state = 'queued'").isEmpty()
         status = "dry_run" if self.dry_run else "limit" if over_budget or waiting else "finished"
-        store.end(run_id, status)
+        store.end(run_id, status, self.report(status))
         return status

@@ -73,6 +73,23 @@ def lineage(page: DataFrame) -> DataFrame:
     return page.join(parent, F.col("discovered_from") == F.col("_id"), "left").drop("_id")
 
 
+def statistics(page: DataFrame, image_url: DataFrame, file: DataFrame) -> DataFrame:
+    """One row of what a crawl has done so far: pages and how many of them failed or were rendered, assets, and images by their fate."""
+
+    def n(condition: str, name: str):
+        return F.count_if(F.expr(condition)).alias(name)
+
+    pages = page.agg(
+        n("kind = 'page' and state in ('done', 'failed')", "pages"), n("kind = 'page' and state = 'failed'", "pages_failed"), n("kind <> 'page' and state = 'done'", "assets"),
+        n("rendered", "rendered"), n("kind = 'page' and state = 'queued'", "pages_queued"),
+    )
+    images = image_url.agg(n("state = 'done'", "_done"), n("state = 'skipped'", "images_skipped"), n("state = 'failed'", "images_failed"), n("state = 'queued'", "images_queued"))
+    stored = file.agg(F.count("*").alias("images_saved"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_saved"))
+    one = F.lit(1)  # three tables of one row
+    joined = pages.withColumn("_k", one).join(images.withColumn("_k", one), "_k").join(stored.withColumn("_k", one), "_k")
+    return joined.withColumn("images_duplicate", F.col("_done") - F.col("images_saved")).drop("_k", "_done")
+
+
 def exit_code(page: DataFrame, image_url: DataFrame, status: str) -> int:
     """0; 130 if interrupted; 2 if more than a fifth of all requests failed."""
     if status == "interrupted":

@@ -12,7 +12,7 @@ PAGE = (
 )
 IMAGE_URL = (
     "image_id long, url string, state string, skip_reason string, sha256 string, final_url string, status int, content_type string, "
-    "headers map<string,string>, url_filename string, source string, fetched_at timestamp, error string"
+    "headers string, url_filename string, source string, fetched_at timestamp, error string"
 )
 FILE = "sha256 string, path string, bytes long, format string, first_seen timestamp"
 OCCURRENCE = "image_id long, page_id long, kind string, context string"

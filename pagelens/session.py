@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +20,24 @@ class Session:
         check_runnable(cfg)
         self.spark, self.cfg, self.store = spark, cfg, Store(spark, cfg.out)
 
-    def crawl(self, responses: DataFrame, *, dry_run: bool = False, overwrite: bool = False, images_only: DataFrame | None = None, max_rounds: int | None = None, friendly: bool = False) -> tuple[str, int]:
+    def crawl(self, responses: DataFrame, *, dry_run: bool = False, overwrite: bool = False, images_only: DataFrame | None = None, max_rounds: int | None = None, friendly: bool = False, stop: Callable[[], bool] = lambda: False) -> tuple[str, int]:
         """Runs or resumes a crawl over a snapshot; gives its status and exit code. `images_only(url)` replaces the pages by a list of images."""
         resumed = self.store.open(self.cfg, overwrite)
         c = Crawl(self.spark, responses, self.cfg, dry_run)
         if images_only is not None and not resumed:
             c.seed_images(images_only)
-        status = c.run(max_rounds)
+        status = c.run(max_rounds, stop)
         export.export_all(self.store, friendly)
         t = self.store.tables()
         return status, reports.exit_code(t["page"], t["image_url"], status)
 
     def status(self) -> dict:
         t = self.store.tables()
-        out: dict = {"status": self.store.meta().get("status")}
-        for r in reports.counts(t["page"], t["image_url"], t["file"]).collect():
+        meta = self.store.meta()
+        out: dict = {"status": meta.get("status"), "statistics": (meta.get("runs") or [{}])[-1].get("statistics")}
+        for r in sorted(reports.counts(t["page"], t["image_url"], t["file"]).collect(), key=lambda r: (r.section, r.key or "")):
             out.setdefault(r.section, {})[r.key] = r.n
+        out["skipped"] = dict(sorted(out.get("skipped", {}).items(), key=lambda kv: (-kv[1], kv[0] or "")))
         out["top_hosts"] = [tuple(r) for r in reports.top_hosts(t["file"]).collect()]
         out["errors"] = [tuple(r) for r in reports.recent_errors(t["page"], t["image_url"]).collect()]
         return out

@@ -1,6 +1,6 @@
 """Live acquisition: fetches URLs into rows of a snapshot. Off unless called; everything else works on captured data.
 
-All URLs of a host go to one task, one after another, at the configured rate; hosts run side by side. Nothing outside the
+All URLs of a host go to one task, one after another, at the configured rate; at most `concurrency.global` hosts run side by side. Nothing outside the
 scope is asked for. Redirects are not followed here: they become rows with a `location`, which the crawl follows hop by hop.
 """
 
@@ -141,5 +141,5 @@ def fetch(urls: DataFrame, cfg: Config, kind: str = "page", most_bytes: int | No
                 yield pd.DataFrame({n: pd.Series([row.get(n)], dtype=object if n != "fetched_at" else None) for n in names})
 
     inside = urls.select(U.normalize(F.col("url")).alias("url")).filter(F.col("url").isNotNull() & policy.asset_reason(F.col("url"), cfg.scope).isNull()).distinct()
-    by_host = inside.withColumn("host", U.host_of(F.col("url"))).repartition("host").sortWithinPartitions("host", "url")
+    by_host = inside.withColumn("host", U.host_of(F.col("url"))).repartition(cfg.concurrency.global_, "host").sortWithinPartitions("host", "url")
     return by_host.mapInPandas(run, RESPONSE)

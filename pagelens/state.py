@@ -50,10 +50,11 @@ class Store:
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        _, p = self._fs(path)
-        fs.delete(p, False)
-        if not fs.rename(tmp, p):
-            raise OSError(f"cannot replace {path}")
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        files = context.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(context.Options.Rename, 1)
+        how[0] = context.Options.Rename.OVERWRITE  # the old file is there until the new one is
+        files.rename(tmp, self._fs(path)[1], how)
 
     def meta(self) -> dict:
         return json.loads(self._read(f"{self.root}/meta.json") or self._read(f"{self.root}/meta.json.tmp") or "{}")
@@ -111,9 +112,9 @@ class Store:
         self.set_meta(runs=runs, status="running")
         return len(runs)
 
-    def end(self, run_id: int, status: str) -> None:
+    def end(self, run_id: int, status: str, statistics: dict | None = None) -> None:
         runs = self.meta()["runs"]
-        runs[run_id - 1] |= {"ended_at": now(), "status": status}
+        runs[run_id - 1] |= {"ended_at": now(), "status": status, "statistics": statistics}
         self.set_meta(runs=runs, status=status)
 
     def purge(self) -> list[str]:

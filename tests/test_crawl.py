@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens import export
 from pagelens.config import Config, ConfigError, build
 from pagelens.schema import RESPONSE
 from pagelens.session import Session
@@ -93,16 +94,24 @@ def test_exports_and_status(spark, finished):
     s, _, out = finished
     rows = spark.read.csv(f"file://{out}/manifest.csv", header=True).collect()
     assert {(r.image_url, r.page_url) for r in rows} >= {("https://site.test/a.png", "https://site.test/"), ("https://site.test/a.png", "https://site.test/two")}
-    docs = [json.loads(x) for p in (out / "manifest.json").glob("part-*") for x in p.read_text().splitlines()]
-    assert len(docs) == 6 and sum(len(d["urls"]) for d in docs) == 7
+    document = json.loads("".join(p.read_text() for p in sorted((out / "manifest.json").glob("part-*"))))
+    docs = document["files"]
+    assert document["target"] == ["https://site.test/"] and document["status"] == "finished" and len(docs) == 6 and sum(len(d["urls"]) for d in docs) == 7
+    t = s.store.tables()
+    want = {r.file: r.asDict(recursive=True) for r in export.nested(export.manifest(t["page"], t["image_url"], t["file"], t["occurrence"])).collect()}
+    assert {d["file"]: sorted((u["url"], sorted(map(str, u["referenced_by"]))) for u in d["urls"]) for d in docs} == {f: sorted((u["url"], sorted(map(str, u["referenced_by"]))) for u in d["urls"]) for f, d in want.items()}
     assert spark.read.csv(f"file://{out}/urls.csv", header=True).count() == s.store.table("image_url").count()
     st = s.status()
+    n = st["statistics"]
+    assert (n["pages_failed"], n["images_saved"], n["images_duplicate"], n["images_failed"], n["pages_queued"]) == (0, 6, 1, 1, 0) and n["bytes_saved"] == 18000
     assert st["images"]["done"] == 7 and st["files"]["files"] == 6 and st["top_hosts"][0][0] == "site.test" and ("https://site.test/gone.png", "no response") in st["errors"]
     assert (out / "friendly/site.test/a.png").exists() and (out / "friendly/site.test/direct.png").exists()
 
 
 def test_broken_off_and_resumed_is_the_same(spark, finished, tmp_path):
     s = Session(spark, config(tmp_path / "r"))
+    asked = iter([False, True, True])
+    assert s.crawl(snapshot(spark), stop=lambda: next(asked)) == ("interrupted", 130) and s.status()["statistics"]["pages"] == 0
     assert s.crawl(snapshot(spark), max_rounds=2)[0] == "interrupted"
     assert s.crawl(snapshot(spark))[0] == "finished"
     assert outcome(s.store) == outcome(finished[0].store)
