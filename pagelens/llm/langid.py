@@ -42,7 +42,7 @@ UNKNOWN, PER_CHAR = 1e-4, 20.0
 PRIOR, FLOOR = 200.0, 1e-7
 #: Word characters that are neither letters nor decimal digits, such as fractions and Roman numerals.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+WORDS, LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 class Pieces:
@@ -125,6 +125,8 @@ def pieces(path: str) -> Pieces:
 
 def words_of(text: str) -> list[str]:
     found = WORDS.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # seldom, and the pattern of letters alone is slow
+        found = [x for w in found for x in ([w] if w.isalpha() else LETTERS.findall(w))]
     if any(len(w) > LONGEST for w in found):
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs: int =
     return with_language(rows, train, vocabulary, max_docs).drop("text")
 
 
-def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.7, least_fit: float = -4.0, max_docs: int = 2000) -> DataFrame:
+def accepted_documents(docs: DataFrame, vocabulary: str, least: float = 0.5, least_fit: float = -4.0, max_docs: int = 2000) -> DataFrame:
     """The accepted rows of `docs`, with all its columns."""
     pred, score, fit = names = free_names(docs, "lang_pred", "score", "fit")
     found = with_language(docs, training_rows(docs), vocabulary, max_docs, names)
