@@ -95,31 +95,32 @@ def final_attempts(attempts: DataFrame, retries: int = 3) -> DataFrame:
 def follow_redirects(wanted: DataFrame, responses: DataFrame, reason, most: int = MOST_HOPS) -> DataFrame:
     """Where each `url` of `wanted` ends: adds `final_url, status, chain, denied, error`.
 
-    `reason(column)` is the scope check of every hop. Each round takes the rows that are still under way, as files, and joins
-    them with all answers once; rows that have come to their end leave the loop. What many rows lead to is one row of answers.
+    `reason(column)` is the scope check of every hop. Redirects alone are a table, written once with where they lead; each round
+    joins the rows that are still under way with it, and rows that lead no further leave the loop. The answers at the ends are
+    joined once, after it.
     """
     from pagelens.functions.url import resolve
 
-    hop = responses.select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.when(F.col("status").isin(*REDIRECTS), resolve(F.col("url"), F.col("location"))).alias("_next"))
-    text = F.lit(None).cast("string")
+    moved = responses.filter(F.col("status").isin(*REDIRECTS)).select(F.col("url").alias("_at"), resolve(F.col("url"), F.col("location")).alias("_next")).filter("_next is not null")
+    moved = kept(moved, "redirects")
+    why = F.when(F.col("_next").isNotNull(), reason(F.col("_next")))
     under_way = wanted.select("*", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("chain"))
     ended: DataFrame | None = None
     for n in range(most + 1):
-        moves = F.col("_next").isNotNull()
-        why = F.when(moves, reason(F.col("_next")))
-        goes = moves & why.isNull() & (F.lit(n) < most)
-        step = under_way.join(hop, F.col("final_url") == F.col("_at"), "left").select(
-            *[F.col(c) for c in wanted.columns], F.when(goes, F.col("_next")).otherwise(F.col("final_url")).alias("final_url"), F.col("_status").cast("int").alias("status"),
-            F.when(goes, F.array_append("chain", F.col("_next"))).otherwise(F.col("chain")).alias("chain"), F.coalesce(F.concat(why, F.lit(":redirect")), text).alias("denied"),
-            F.when(moves & why.isNull() & (F.lit(n) >= most), "too many redirects").when(F.col("_at").isNull(), "no response").alias("error"), goes.alias("_open"),
+        goes = F.col("_next").isNotNull() & F.col("_why").isNull() & (F.lit(n) < most)
+        step = under_way.join(moved, F.col("final_url") == F.col("_at"), "left").withColumn("_why", why).select(
+            *[F.col(c) for c in wanted.columns], F.when(goes, F.col("_next")).otherwise(F.col("final_url")).alias("final_url"), F.when(goes, F.array_append("chain", F.col("_next"))).otherwise(F.col("chain")).alias("chain"),
+            F.concat("_why", F.lit(":redirect")).alias("denied"), F.when(F.col("_next").isNotNull() & F.col("_why").isNull() & (F.lit(n) >= most), "too many redirects").alias("error"), goes.alias("_open"),
         )
         step = kept(step, "hops")
         done = step.filter("not _open").drop("_open")
         ended = done if ended is None else ended.unionByName(done)
-        under_way = step.filter("_open").drop("_open", "status", "denied", "error")
+        under_way = step.filter("_open").drop("_open", "denied", "error")
         if under_way.isEmpty():
             break
-    return ended
+    answers = responses.select(F.col("url").alias("_at"), F.col("status").cast("int").alias("status"))
+    out = ended.join(answers, F.col("final_url") == F.col("_at"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_at").isNull(), "no response")))
+    return out.select(*wanted.columns, "final_url", "status", "chain", "denied", "error")
 
 
 def failure_ratio(done: Column, failed: Column) -> Column:

@@ -88,7 +88,7 @@ class Crawl:
         listed = urls.select(U.normalize(F.col("url")).alias("url"), F.lit("list").alias("kind"), F.lit("").alias("context")).filter("url is not null")
         refs = listed.withColumns({"parent": F.lit(None).cast("long"), "section": F.lit(0), "pos": F.lit(0), "source": F.lit("list"), "page_id": F.lit(None).cast("long")})
         images, occurrences = self._new_images(refs, self.store.table("image_url"), self.store.table("occurrence"))
-        self.store.commit({"image_url": images, "occurrence": occurrences}, seeded=True)
+        self.store.commit({}, {"image_url": images, "occurrence": occurrences}, seeded=True)
 
     def _numbered(self, rows: DataFrame, start: int, order: list[str]) -> DataFrame:
         """New page rows with ids that follow their order."""
@@ -173,7 +173,7 @@ class Crawl:
         )
         new = self._kept(self._new_pages(f, pages), "pages")
         top = pages.agg(F.max("page_id")).first()[0] or 0
-        store.commit({"page": finished.unionByName(self._numbered(new, top, [*_ORDER, "url"])), "image_url": images, "occurrence": occurrences})
+        store.commit({"page": finished.unionByName(self._numbered(new, top, [*_ORDER, "url"]))}, {"image_url": images, "occurrence": occurrences})
         return True
 
     def _new_pages(self, f: DataFrame, pages: DataFrame) -> DataFrame:
@@ -221,8 +221,8 @@ class Crawl:
             rows = f.filter(where).select("page_id", "final_url", F.posexplode_outer(items).alias("pos", "r")).filter("r is not null")
             plain = kind is not None
             return rows.select(
-                F.when((F.col("r") if plain else F.col("r.url")).startswith("data:"), F.trim(F.col("r") if plain else F.col("r.url"))).otherwise(U.resolve(F.col("final_url"), F.col("r") if plain else F.col("r.url"))).alias("url"),
-                (kind if plain else F.col("r.kind")).alias("kind"), none.alias("context"), F.col("page_id").alias("parent"), F.lit(section).alias("section"), "pos", "page_id",
+                F.col("final_url").alias("base"), F.trim(F.col("r") if plain else F.col("r.url")).alias("url"), (kind if plain else F.col("r.kind")).alias("kind"), none.alias("context"),
+                F.col("page_id").alias("parent"), F.lit(section).alias("section"), "pos", "page_id",
             )
 
         def refs(items: Column, section: int, where: Column) -> DataFrame:
@@ -230,17 +230,17 @@ class Crawl:
             return rows.select("r.url", "r.kind", "r.context", F.col("page_id").alias("parent"), F.lit(section).alias("section"), "pos", "page_id")
 
         yes = F.lit(True)
-        out = refs(F.col("live.images"), 0, F.col("rendered"))
+        relative = raw(F.col("network_images"), 1, F.lit("render:network"), F.col("rendered"))
         for more in (
-            raw(F.col("network_images"), 1, F.lit("render:network"), F.col("rendered")),
             raw(F.col("json_images"), 2, F.lit("render:json"), F.col("rendered")),
-            refs(F.col("html.images"), 3, yes),
             raw(F.col("map.images"), 4, F.lit("sitemap:image")),
             raw(F.col("css.images"), 5, None),
             raw(F.col("icons"), 6, None),
             raw(F.col("tiles"), 7, F.lit("browserconfig:tile")),
         ):
-            out = out.unionByName(more)
+            relative = relative.unionByName(more)
+        absolute = F.when(F.col("url").startswith("data:"), F.col("url")).otherwise(U.resolve(F.col("base"), F.col("url")))
+        out = refs(F.col("live.images"), 0, F.col("rendered")).unionByName(refs(F.col("html.images"), 3, yes)).unionByName(relative.withColumn("url", absolute).drop("base"))
         direct = f.filter("direct").select(F.col("final_url").alias("url"), F.lit("page:direct").alias("kind"), F.col("url").alias("context"), F.col("page_id").alias("parent"), F.lit(8).alias("section"), F.lit(0).alias("pos"), F.col("discovered_from").alias("page_id"))
         out = out.unionByName(direct).filter("url is not null")
         if not self.cfg.filters.data_uris:
@@ -248,7 +248,7 @@ class Crawl:
         return out.withColumn("source", F.lit("live"))
 
     def _new_images(self, refs: DataFrame, images: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Image and occurrence tables with what the references add."""
+        """The rows that the references add to the image and the occurrence tables."""
         scope = self.cfg.scope
         if self.rules:
             better = refs.filter(~F.col("url").startswith("data:")).withColumn("_v", F.explode_outer(rewrite.variants(F.col("url"), self.rules))).filter("_v is not null")
@@ -275,7 +275,7 @@ class Crawl:
         first = first_by(seen.select("image_id", "_page", "kind", "page_id", "context", "section", "pos", "parent"), ["image_id", "_page", "kind"], _ORDER)
         known = occurrences.select("image_id", F.coalesce("page_id", F.lit(0)).alias("_page"), "kind")
         added = first.join(known, ["image_id", "_page", "kind"], "left_anti").select("image_id", "page_id", "kind", "context")
-        return all_images, occurrences.unionByName(added)
+        return typed, added
 
     def save_images(self) -> bool:
         """Fetches and stores all queued images; true if the byte budget left some queued."""

@@ -764,3 +764,85 @@ def crawl_pages(spark, sf_dir):
     c.store.open(cfg)
     c.run()
     return c.store.table("page").select("url", "state")
+
+
+# Faults, charsets, and a site with images, style sheets and robots.txt
+
+_FAULTS = ("<![foo[ y>", "<![%>", "</ >", "<>", "<p <b>>", "&#x110000;", "<a b=c/>", "<a href>", "<table><li></td>", "<!doctype <>", "<?php x ?>", "")
+_FAULTY_MAPS = (
+    ("<urlset><url><loc>https://e.com/?a=1&b=", "</loc></url></urlset>"), ("<?xml version='1.0' encoding='nope'?><urlset><url><loc>https://e.com/?a=1&amp;b=", "</loc></url></urlset>"), ("<urlset><x></y><url><loc>https://e.com/?a=1&amp;b=", "</loc></url>"),
+    ("<urlset><url><loc>https://e.com/?a=1&amp;b=", ""), ("https://e.com/?a=1&b=", "\nnot one\n"),
+)
+
+
+@query(f"""
+    SELECT page_id, 'https://e.com/k' || page_id || '?h=' || length(html) AS link, CASE WHEN page_id % 7 <> 6 THEN 'https://e.com/?a=1&b=' || page_id END AS listed, page_id % 7 = 6 AS map_failed, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS icons
+    FROM pages
+""")
+def faulty_bodies(spark, sf_dir):
+    """Pages, sitemaps and manifests with faults: what is sound in them is found, and what cannot be read fails alone."""
+    k, s = F.col("page_id"), F.col("page_id").cast("string")
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
+    fault = F.element_at(F.array(*map(F.lit, _FAULTS)), (k % len(_FAULTS) + 1).cast("int"))
+    doc = _text(fault, '<a href="/k', s, "?h=", F.length("html").cast("string"), '">x</a>')
+    form = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in _FAULTY_MAPS]), (k % len(_FAULTY_MAPS) + 1).cast("int"))
+    site_map = F.when(k % 7 == 6, F.lit(b"\x1f\x8b\xff\xff")).otherwise(_text(form(0), s, form(1)).cast("binary"))
+    icons = F.when(k % 3 == 0, F.lit(b'{"icons":[{"src":"a.png"}],"shortcuts":3}')).when(k % 3 == 1, F.lit(b'{"icons":3}')).otherwise(F.lit(b"[["))
+    p = p.select("page_id", X.html_refs(doc, F.lit("https://e.com/")).alias("h"), X.sitemap_refs(site_map).alias("m"), X.manifest_refs(icons).alias("i"))
+    return p.select("page_id", F.try_element_at("h.links", F.lit(-1)).alias("link"), F.try_element_at("m.pages", F.lit(1)).alias("listed"), F.col("m.error").isNotNull().alias("map_failed"), F.size("i").alias("icons"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 3 THEN '<meta charset = utf-16le>' ELSE '' END || coalesce(text, '')) AS decoded FROM documents")
+def charset_bodies(spark, sf_dir):
+    """Bodies in several charsets, named by the header or by their markup."""
+    k = F.col("doc_id") % 4
+    text = F.coalesce("text", F.lit(""))
+    narrow = text.rlike(r"^[\x00-\xFF]*\z")
+    mark = F.lit("<meta charset = utf-16le>")
+    body = F.when(k == 1, F.encode(text, "UTF-16LE")).when((k == 2) & narrow, F.encode(F.when(narrow, text), "ISO-8859-1")).when(k == 3, F.concat(mark, text).cast("binary")).otherwise(text.cast("binary"))
+    kind = F.when(k == 1, "text/html; charset=UTF-16LE").when((k == 2) & narrow, 'text/html; charset = "iso-8859-1"').when(k == 3, "text/html;charset=utf-8").otherwise(F.lit(None).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.decode(body, kind).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("decoded"))
+
+
+@query("""
+    WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS k, html, strlen(html) + 8 AS bytes FROM pages),
+    reached AS (SELECT 0::BIGINT AS k UNION SELECT p.k FROM p JOIN reached r ON (p.k - 1) // 8 = r.k WHERE p.k > 0 AND r.k % 10 <> 7),
+    done AS (SELECT p.* FROM p JOIN reached USING (k) WHERE k % 10 <> 7)
+    SELECT 'https://site.test/p' || k AS url, 'page' AS kind, CASE WHEN k % 10 = 7 THEN 'skipped' ELSE 'done' END AS state, CASE WHEN k % 10 = 7 THEN 'robots' END AS skip_reason FROM reached
+    UNION ALL SELECT DISTINCT 'https://site.test/s' || (k % 3) || '.css', 'css', 'done', NULL FROM done
+    UNION ALL SELECT 'https://site.test/sitemap.xml', 'sitemap', 'skipped', 'not_found'
+    UNION ALL SELECT DISTINCT 'https://site.test/bg' || (k % 3) || '.png', 'image', 'skipped', 'filter_size' FROM done
+    UNION ALL SELECT 'https://evil.test/x.png', 'image', 'skipped', 'scope' FROM done WHERE k = 0
+    UNION ALL SELECT 'https://site.test/i' || k || '.png', 'image', CASE WHEN bytes < 1500 THEN 'skipped' ELSE 'done' END, CASE WHEN bytes < 1500 THEN 'filter_size' END FROM done
+""")
+def crawl_images(spark, sf_dir):
+    """A crawl over a site with one page for each row of `pages`: eight links a page, style sheets with images of their own, an
+    image a page (its bytes are the page's), one image out of scope, and a robots.txt that closes every tenth page."""
+    from pagelens.config import Config, build
+    from pagelens.plans.crawl import Crawl
+    from pagelens.schema import RESPONSE
+    from pagelens.storage import kept, shared_folder
+
+    rows = kept(ordered.rank(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "k").select((F.col("k") - 1).alias("k"), "html"), "site")
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "url string, kind string, state string, skip_reason string")
+    k, s = F.col("k"), F.col("k").cast("string")
+    site = "https://site.test/"
+    children = F.filter(F.sequence(8 * k + 1, 8 * k + 8), lambda c: c < n)
+    tags = F.concat_ws("", F.transform(children, lambda c: F.concat(F.lit('<a href="/p'), c.cast("string"), F.lit('">x</a>'))))
+    doc = _text('<link rel="stylesheet" href="/s', (k % 3).cast("string"), '.css"><img src="/i', s, '.png" alt="a', s, '"><img src="https://evil.test/x.png">', tags)
+    html_rows = rows.select(_text(site, "p", s).alias("url"), F.lit("text/html").alias("content_type"), doc.cast("binary").alias("body"))
+    images = rows.select(_text(site, "i", s, ".png").alias("url"), F.lit("image/png").alias("content_type"), F.concat(F.lit(bytes.fromhex("89504E470D0A1A0A")), F.col("html").cast("binary")).alias("body"))
+    few = [("robots.txt", "text/plain", b"User-agent: *\nDisallow: /p*7$\n")]
+    few += [(f"s{j}.css", "text/css", f".a{{background:url(bg{j}.png)}}".encode()) for j in range(3)] + [(f"bg{j}.png", "image/png", bytes.fromhex("89504E470D0A1A0A")) for j in range(3)]
+    others = spark.createDataFrame([(site + u, c, bytearray(b)) for u, c, b in few], "url string, content_type string, body binary")
+    snapshot = html_rows.unionByName(images).unionByName(others).withColumn("status", F.lit(200))
+    schema = spark.createDataFrame([], RESPONSE).schema
+    snapshot = kept(snapshot.select(*[(F.col(f.name) if f.name in snapshot.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), "snapshot")
+    cfg = build(Config, {"seeds": [site + "p0"], "out": shared_folder(spark, "crawl"), "limits": {"max_pages": n + 1, "max_pages_per_pattern": n + 1, "max_depth": n + 1, "max_file_bytes": 1 << 40, "max_total_bytes": 1 << 60}, "filters": {"min_file_bytes": 1500}, "render": {"mode": "never"}}).settle()
+    c = Crawl(spark, snapshot, cfg)
+    c.store.open(cfg)
+    c.run()
+    return c.store.table("page").select("url", "kind", "state", "skip_reason").unionByName(c.store.table("image_url").select("url", F.lit("image").alias("kind"), "state", "skip_reason"))

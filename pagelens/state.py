@@ -17,6 +17,8 @@ from pagelens.schema import STATE
 
 #: Internal columns beside those of the schema: the bytes of data URIs until they are stored.
 EXTRA = {"image_url": ", inline binary"}
+#: Parts of a table beyond which it is written as one.
+MOST_PARTS = 16
 
 
 def now() -> str:
@@ -66,23 +68,27 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         schema = STATE[name] + EXTRA.get(name, "")
-        at = self.meta().get("tables", {}).get(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], schema)
+        parts = self.meta().get("tables", {}).get(name)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in STATE}
 
-    def commit(self, changed: dict[str, DataFrame], **meta) -> None:
-        """Writes the changed tables as a new generation, then makes it current; unchanged tables stay where they are."""
+    def commit(self, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, **meta) -> None:
+        """Writes the changed tables, and the rows added to others, as a new generation, then makes it current. What is neither
+        changed nor added to stays where it is; a table of more than MOST_PARTS parts is written anew."""
         old = self.meta()
         gen = old.get("generation", 0) + 1
         at = dict(old.get("tables", {}))
-        for name, df in changed.items():
-            at[name] = f"gen-{gen:06d}/{name}.parquet"
+        for name, df in (changed | (added or {})).items():
+            parts = [] if name in changed else at.get(name, [])
+            if len(parts) >= MOST_PARTS:
+                parts, df = [], self.table(name).unionByName(df)
+            at[name] = [*parts, f"gen-{gen:06d}/{name}.parquet"]
             schema = self.table(name).schema
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(f"{self.root}/{at[name]}")
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(f"{self.root}/{at[name][-1]}")
         self.set_meta(generation=gen, tables=at, **meta)
-        used = {p.split("/")[0] for p in at.values()}
+        used = {p.split("/")[0] for parts in at.values() for p in parts}
         fs, root = self._fs(self.root)
         for s in fs.listStatus(root):
             name = s.getPath().getName()
