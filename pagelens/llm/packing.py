@@ -206,7 +206,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """The pieces of `docs(doc_id, text)` with `sequence_id` and `offset`; with_ids adds the ids of each piece, and the `row` of its document, which tells copies apart."""
+    """The pieces of `docs(doc_id, text)` with `sequence_id` and `offset`, and the `row` of their document, which tells copies apart; with_ids adds the ids of each piece."""
     cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
     spark = cut.sparkSession
     totals = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, wit
             cols = {n: b.column(b.schema.get_field_index(n)) for n in names}
             yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(seq + k // each), "offset": pa.array(at + k % each * length)})
 
-    names = [f.name for f in cut.schema if f.name not in (("salt",) if with_ids else ("row", "salt"))]
+    names = [f.name for f in cut.schema if f.name != "salt"]
     w = Window.partitionBy("length", "salt").orderBy("row", "piece")
     ranked = cut.withColumn("local_rank", F.row_number().over(w).cast("long") - 1)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
