@@ -7,7 +7,7 @@ Each stage takes all rows that the stage before it kept, with the columns of `do
 2. exact dedup keeps of equal texts the row with the largest doc_id,
 3. near dedup keeps of each group of near duplicates the row with the smallest doc_id,
 4. mixing repeats or leaves out documents so that sources come near their target weights,
-5. packing cuts and packs the tokens of what is left; its rows are pieces with their ids and places, and `row` tells copies apart.
+5. packing cuts and packs the tokens of what is left; its rows are pieces with their places, and `row` tells copies apart.
 
 Rows: null, empty and letterless texts go in stage 1; repeated rows are one row after stage 2; extra columns, whatever their
 names, stay until stage 5, which has columns of its own. An empty table gives an empty result.
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048, with_ids=True)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
 STAGES = [
