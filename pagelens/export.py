@@ -12,6 +12,7 @@ from pagelens.functions import text as T
 from pagelens.functions import url as U
 from pagelens.operators.ordered import in_ranges
 from pagelens.state import Store
+from pagelens.storage import file_system
 
 #: The columns of the exported tables, in their order.
 MANIFEST_COLUMNS = "file sha256 bytes format image_url final_url url_filename page_url kind context status content_type fetched_at".split()
@@ -117,27 +118,28 @@ def export_all(store: Store, friendly: bool = False) -> dict[str, str]:
 
 
 def link_tree(paths: DataFrame, out: str) -> int:
-    """Hard-links the stored files into `friendly/`; copies where links are not possible. Links that are there already stay."""
-    root = out.removeprefix("file://")
+    """Hard-links the stored files into `friendly/`; copies them where a store has no links. What is there already stays."""
 
     def link(batches):
-        import shutil
-
         import pandas as pd
+        from pyarrow.fs import FileType
 
+        fs, root = file_system(out)
         for t in batches:
             made = 0
             for path, target in zip(t.path, t.target):
-                src, dst = os.path.join(root, path), os.path.join(root, "friendly", target)
-                if os.path.exists(dst) and os.path.samefile(src, dst):
+                src, dst = f"{root}/{path}", f"{root}/friendly/{target}"
+                if fs.get_file_info(dst).type != FileType.NotFound:
                     continue
-                os.makedirs(os.path.dirname(dst), exist_ok=True)
+                fs.create_dir(dst.rpartition("/")[0], recursive=True)
                 try:
+                    if fs.type_name != "local":
+                        raise OSError("no links here")
                     os.link(src, dst)
                 except FileExistsError:
                     continue
                 except OSError:
-                    shutil.copy2(src, dst)
+                    fs.copy_file(src, dst)
                 made += 1
             yield pd.DataFrame({"n": [made]})
 

@@ -24,6 +24,7 @@ from pagelens.functions import url as U
 from pagelens.operators import ladder, policy, politeness
 from pagelens.operators.ordered import first_by, rank, running_total
 from pagelens.state import Store, recover
+from pagelens.storage import file_system, put_once
 
 AGENT = "pagelens"
 MOST_SITEMAPS = 1000
@@ -325,23 +326,15 @@ class Crawl:
 
     def _write_files(self, saved: DataFrame, bodies: DataFrame) -> None:
         """Content-addressed files. A name depends on the content alone, so repeated attempts write the same file."""
-        out = self.cfg.out
+        out = self.cfg.out.rstrip("/")
 
         def write(batches):
-            import os
-            import uuid
-
             import pandas as pd
 
+            fs, root = file_system(out)
             for t in batches:
                 for path, body in zip(t.path, t.body):
-                    final = os.path.join(out.removeprefix("file://"), path)
-                    if not os.path.exists(final):
-                        os.makedirs(os.path.dirname(final), exist_ok=True)
-                        tmp = f"{final}.{uuid.uuid4().hex}.part"
-                        with open(tmp, "wb") as f:
-                            f.write(body)
-                        os.replace(tmp, final)
+                    put_once(fs, f"{root}/{path}", bytes(body))
                 yield pd.DataFrame({"n": [len(t)]})
 
         saved.join(bodies, "image_id").select("path", "body").mapInPandas(write, "n long").agg(F.sum("n")).collect()

@@ -26,6 +26,32 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Schemes of Hadoop's connectors, and what Arrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def file_system(path: str):
+    """Arrow's file system for a path of a Hadoop file system, and the path there: for tasks that write files themselves."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def put_once(fs, path: str, data: bytes) -> None:
+    """Writes a file under a name that depends on its content; one that is there already stays, and none is ever seen half."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(path).type == FileType.NotFound:
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(part) as f:
+            f.write(data)
+        fs.move(part, path)
+
+
 def spread(scan: DataFrame, *by: str) -> DataFrame:
     """The rows of a scanned table, dealt by `by` to all cores where the table lies in fewer files than there are cores
     and is small enough for two rounds of tasks; all other tables stay as they are read."""
