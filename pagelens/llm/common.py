@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.storage import spread  # noqa: F401 - entries and the pipeline take it from here
+
 #: The characters that separate words, as a class of regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,15 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame, *by: str) -> DataFrame:
-    """The rows of a scanned table, dealt by `by` to all cores where the table lies in fewer files than there are cores
-    and is small enough for two rounds of tasks; all other tables stay as they are read."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() > 2 * cores or len(scan.inputFiles()) >= cores:
-        return scan
-    return scan.repartition(cores, *(F.xxhash64(c) for c in by))
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted that no column of `df` has in any case, in which Spark compares names."""
     taken, out = {c.lower() for c in df.columns}, []

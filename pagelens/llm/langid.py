@@ -42,7 +42,7 @@ UNKNOWN, PER_CHAR = 1e-4, 20.0
 PRIOR, FLOOR = 200.0, 1e-7
 #: Word characters that are neither letters nor decimal digits, such as fractions and Roman numerals.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS, LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
+WORDS, LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 class Pieces:
@@ -124,12 +124,12 @@ def pieces(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    found = WORDS.findall(text.lower())
-    if not all(map(str.isalpha, found)):  # seldom, and the pattern of letters alone is slow
-        found = [x for w in found for x in ([w] if w.isalpha() else LETTERS.findall(w))]
-    if any(len(w) > LONGEST for w in found):
-        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
-    return found
+    return _letters(WORDS.findall(text.lower()))
+
+
+def _letters(words: list[str]) -> list[str]:
+    """The words without number signs; they are seldom, and the pattern of letters alone is slow."""
+    return words if all(map(str.isalpha, words)) else [x for w in words for x in ([w] if w.isalpha() else LETTERS.findall(w))]
 
 
 def probabilities(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -182,17 +182,21 @@ def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs:
         langs, probs = model.value
         v = pieces(vocabulary)
         known: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
+        table, chars = np.zeros((0, len(langs))), np.zeros(0)
         for b in slices(batches):
             preds, scores, fits = [], [], []
             texts = ["" if t is None else t for t in b.column(text_at).to_pylist()]
             for group in _groups(texts, 1_000_000):
-                words = [words_of(t) if langs else [] for t in group]
+                words = [WORDS.findall(t.lower()) if langs else [] for t in group]
                 if len(known) > 300_000:
-                    known, table = {}, table[:0]
+                    known, table, chars = {}, table[:0], chars[:0]
                 new = list(set().union(*words) - known.keys())
+                if not all(map(str.isalpha, new)):  # what is known is letters
+                    words = [_letters(ws) for ws in words]
+                    new = list(set().union(*words) - known.keys())
                 if new:
                     known.update((w, len(table) + k) for k, w in enumerate(new))
+                    chars = np.concatenate([chars, [len(w) + 1 for w in new]])
                     table = np.concatenate([table, *(v.forward(new[k : k + 2000], probs) for k in range(0, len(new), 2000))])
                 for ws in words:
                     if not ws:
@@ -200,11 +204,12 @@ def with_language(docs: DataFrame, train: DataFrame, vocabulary: str, max_docs:
                         scores.append(0.0)
                         fits.append(None)
                         continue
-                    mean = table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].mean(0)
+                    at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+                    mean = table[at].mean(0)
                     k = int(mean.argmax())
                     preds.append(langs[k])
                     scores.append(float(1 / np.exp(mean - mean[k]).sum()))
-                    fits.append(float(mean[k] * len(ws) / (len(ws) + sum(map(len, ws)))))
+                    fits.append(float(mean[k] * len(ws) / chars[at].sum()))
             found = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *names])
 

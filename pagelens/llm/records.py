@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import n_partitions, new_dir, slices, texts_of, word_encoder
+from pagelens.storage import file_system
 
 _MASK, _HEAD, _ENTRY = 0xA282EAD8, struct.Struct("<BqB"), np.dtype([("offset", "<u8"), ("n", "<u4")])
 
@@ -64,18 +65,6 @@ def unpack_record(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if has else None), np.frombuffer(payload, f"<u{width}", offset=_HEAD.size)
 
 
-#: Schemes of Hadoop's connectors, and what Arrow calls the same stores.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
-
-
-def _open(path: str):
-    """Arrow's file system for a path of a Hadoop file system, and the path there."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest if colon else path)
-
-
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> list[tuple[int, int, int]]:
     """Encodes `docs(doc_id, text)` into shards under `out`, in ascending doc_id order over all shards.
 
@@ -84,10 +73,10 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> lis
     repeated and speculative attempts agree.
     """
     spark = docs.sparkSession
-    _, path = _open(out)
+    _, path = file_system(out)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _open(out)
+        fs, _ = file_system(out)
         shard, enc = TaskContext.get().partitionId(), word_encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         final, tmp = f"{path}/shard-{shard:05d}", f"{path}/_tmp-{shard}-{uuid.uuid4().hex}"
@@ -124,14 +113,14 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> lis
 
 def scan_shard(out: str, shard: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """All records of a shard in order, with their checksums verified."""
-    fs, path = _open(out)
+    fs, path = file_system(out)
     with fs.open_input_stream(f"{path}/shard-{shard:05d}.rec", buffer_size=1 << 20) as f:
         yield from map(unpack_record, unframe(f.read))
 
 
 def read_shuffled(out: str, shard: int, order: Iterable[int]) -> Iterator[tuple[int | None, np.ndarray]]:
     """The records of a shard at the given places of its index, in the order asked for."""
-    fs, path = _open(out)
+    fs, path = file_system(out)
     with fs.open_input_stream(f"{path}/shard-{shard:05d}.idx") as f:
         entries = np.frombuffer(f.read(), _ENTRY)
     with fs.open_input_file(f"{path}/shard-{shard:05d}.rec") as f:
