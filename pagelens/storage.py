@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,14 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset on a single machine under a folder of our own."""
+    """A fresh folder under spark.checkpoint.dir, which goes when the driver ends; where that is unset on a single machine under a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pagelens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends, if the session is still there."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended first
+        pass
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
