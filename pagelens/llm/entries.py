@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, tokencount
+from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, search, tokencount
 from pagelens.llm.common import spread, table, tokenizer_path
 
 
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_inverted_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(_documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,9 +89,10 @@ def queries() -> dict:
         "op8_cross_polytope_neighbours": op8_cross_polytope_neighbours,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
+        "op11_inverted_treap_search": op11_inverted_treap_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_license_scan": licences.scan_sql()}
+    return {"op6_exact_dedup": OP6_SQL, "op7_license_scan": licences.scan_sql(), "op11_inverted_treap_search": search.SQL}
