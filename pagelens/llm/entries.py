@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, search, tokencount
+from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, search, tokencount, windows
 from pagelens.llm.common import spread, table, tokenizer_path
 
 
@@ -64,6 +64,11 @@ def op11_inverted_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(_documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = windows.pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +95,7 @@ def queries() -> dict:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
         "op11_inverted_treap_search": op11_inverted_treap_search,
+        "op12_least_squares_packing": op12_least_squares_packing,
         "pipeline": pipeline,
     }
 
