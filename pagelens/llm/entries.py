@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, search, tokencount, windows
+from pagelens.llm import alignment, blocknames, crosspoly, langid, licences, mixing, neardup, packing, quality, records, search, tokencount, windows
 from pagelens.llm.common import spread, table, tokenizer_path
 
 
@@ -69,6 +69,10 @@ def op12_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row")
 
 
+def op13_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op10_language_id": op10_language_id,
         "op11_inverted_treap_search": op11_inverted_treap_search,
         "op12_least_squares_packing": op12_least_squares_packing,
+        "op13_interval_alignment": op13_interval_alignment,
         "pipeline": pipeline,
     }
 
