@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import quote
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,8 @@ class Rule(NamedTuple):
     allow: bool
     pattern: str  # a regular expression, anchored at the start of path and query
     length: int
+    prefix: str  # what stands before the first wildcard
+    plain: bool  # whether the prefix is all there is
 
 
 class Robots(NamedTuple):
@@ -24,7 +26,7 @@ class Robots(NamedTuple):
 
 
 ALLOW_ALL = Robots([], None, [])
-DENY_ALL = Robots([Rule(False, "^/", 1)], None, [])
+DENY_ALL = Robots([Rule(False, "^/", 1, "/", True)], None, [])
 
 
 def path_regex(path: str) -> str:
@@ -63,7 +65,9 @@ def parse(text: str, agent: str) -> Robots:
                         groups[n][1].append(float(value))
                 elif value:
                     path = quote(value, safe="/%*$?=&;:@!+,'()~")
-                    groups[n][0].append(Rule(key == "allow", path_regex(path), len(path)))
+                    prefix = path.partition("*")[0]
+                    prefix = prefix[:-1] if prefix == path and path.endswith("$") else prefix
+                    groups[n][0].append(Rule(key == "allow", path_regex(path), len(path), prefix, prefix == path))
     named = [n for n in groups if n != "*" and n and agent.lower().startswith(n)]
     own = [max(named, key=len)] if named else ["*"] if "*" in groups else []
     return Robots([r for n in own for r in groups[n][0]], next((d for n in own for d in groups[n][1]), None), sitemaps)
@@ -76,8 +80,21 @@ def for_response(status: int | None, body: str | None, agent: str) -> Robots:
     return ALLOW_ALL if status is not None and 400 <= status < 500 else DENY_ALL
 
 
-def allowed(path_and_query: Column, rules: Column) -> Column:
-    """Whether an array of rules (`allow, pattern, length`) lets a path pass; without a matching rule it does."""
-    hits = F.filter(rules, lambda r: F.rlike(path_and_query, r["pattern"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))
-    return F.coalesce(best["allow"], F.lit(True)) | (path_and_query == "/robots.txt")
+def rule_index(robots: DataFrame) -> DataFrame:
+    """`origin, prefix, allow, length, pattern` from `robots(origin, rules)`: a row for each rule, under what it has before its
+    first wildcard; `pattern` is null where that decides."""
+    rules = robots.select("origin", F.explode("rules").alias("r"))
+    return rules.select("origin", "r.prefix", "r.allow", "r.length", F.when(~F.col("r.plain"), F.col("r.pattern")).alias("pattern")).distinct()
+
+
+def verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """`origin, path, allow` for those of the distinct `paths(origin, path)` that some rule of a rule index matches.
+
+    A path is looked up by its own prefixes, of just the lengths that its origin's rules have, so it meets only rules whose
+    literal part it shares; wildcards are tried on those alone. The longest rule decides, and allow on ties.
+    """
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    cut = paths.join(lengths, "origin").select("origin", "path", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
+    cut = cut.select("origin", "path", F.substring("path", F.lit(1), F.col("_n")).alias("prefix"))
+    hits = cut.join(rules, ["origin", "prefix"]).filter(F.col("pattern").isNull() | F.rlike("path", F.coalesce("pattern", F.lit(""))))
+    return hits.groupBy("origin", "path").agg(F.max(F.struct("length", "allow")).alias("_best")).select("origin", "path", F.col("_best.allow").alias("allow"))

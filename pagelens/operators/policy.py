@@ -81,7 +81,7 @@ def enqueueable(url: Column, depth: Column, scope: ScopeConfig, max_depth: int)
 
 def robots_table(files: DataFrame, agent: str) -> DataFrame:
     """`origin, rules, delay, sitemaps` from `files(origin, status, body)`: one row an origin."""
-    rule = "struct<allow:boolean,pattern:string,length:int>"
+    rule = "struct<allow:boolean,pattern:string,length:int,prefix:string,plain:boolean>"
 
     def parse(batches):
         import pandas as pd
@@ -93,14 +93,17 @@ def robots_table(files: DataFrame, agent: str) -> DataFrame:
     return files.select("origin", F.col("status").cast("int"), F.col("body").cast("string")).mapInPandas(parse, f"origin string, rules array<{rule}>, delay double, sitemaps array<string>")
 
 
-def with_robots(df: DataFrame, url: str, robots: DataFrame | None, respect: bool = True) -> DataFrame:
-    """Adds `robots_ok`. An origin without a robots row counts as unreachable: nothing is allowed there."""
+def with_robots(df: DataFrame, url: str, robots: DataFrame | None, respect: bool = True, unknown: bool = False) -> DataFrame:
+    """Adds `robots_ok`. An origin without a robots row counts as unreachable, so that nothing is allowed there, unless `unknown` says otherwise."""
     if not respect or robots is None:
         return df.withColumn("robots_ok", F.lit(True))
-    known = robots.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules"))
-    joined = df.withColumn("_o", U.origin_of(F.col(url))).join(known, F.col("_o") == F.col("_origin"), "left")
-    ok = F.col("_origin").isNotNull() & rfc.allowed(U.path_and_query(F.col(url)), F.col("_rules"))
-    return joined.withColumn("robots_ok", ok).drop("_o", "_origin", "_rules")
+    named = df.withColumns({"_o": U.origin_of(F.col(url)), "_path": U.path_and_query(F.col(url))})
+    paths = named.select(F.col("_o").alias("origin"), F.col("_path").alias("path")).filter("origin is not null").distinct()
+    known = paths.join(robots.select("origin").distinct(), "origin", "left_semi")
+    found = known.join(rfc.verdicts(known, rfc.rule_index(robots)), ["origin", "path"], "left")
+    found = found.select(F.col("origin").alias("_origin"), F.col("path").alias("_p"), (F.coalesce("allow", F.lit(True)) | (F.col("path") == "/robots.txt")).alias("_ok"))
+    joined = named.join(found, (F.col("_o") == F.col("_origin")) & (F.col("_path") == F.col("_p")), "left")
+    return joined.withColumn("robots_ok", F.coalesce("_ok", F.lit(unknown))).drop("_o", "_path", "_origin", "_p", "_ok")
 
 
 def sitemap_urls(origins: DataFrame, robots: DataFrame, scope: ScopeConfig) -> DataFrame:

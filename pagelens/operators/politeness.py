@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,35 +94,63 @@ def final_attempts(attempts: DataFrame, retries: int = 3) -> DataFrame:
     return best.select("url", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def follow_redirects(wanted: DataFrame, responses: DataFrame, reason, most: int = MOST_HOPS) -> DataFrame:
-    """Where each `url` of `wanted` ends: adds `final_url, status, chain, denied, error`.
+def redirect_steps(responses: DataFrame, reasons: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """`class, at, to, hops, why`: for every redirect of `responses(url, status, location)` and every class of scope check where it
+    leads (`hops` 1), or that it leads nowhere because of `why` (`hops` 0)."""
+    from pagelens.functions.url import resolve
+
+    moved = responses.filter(F.col("status").isin(*REDIRECTS)).select(F.col("url").alias("at"), resolve(F.col("url"), F.col("location")).alias("next")).filter("next is not null")
+    steps = None
+    for name, reason in reasons.items():
+        own = moved.select(F.lit(name).alias("class"), "at", "next", reason(F.col("next")).alias("why"))
+        steps = own if steps is None else steps.unionByName(own)
+    goes = F.col("why").isNull()
+    return steps.select("class", "at", F.when(goes, F.col("next")).otherwise(F.col("at")).alias("to"), goes.cast("int").alias("hops"), "why")
+
+
+def redirect_ends(steps: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """`class, at, final_url, hops, denied, error` of every redirect, by pointer doubling over the table of redirects alone.
 
-    `reason(column)` is the scope check of every hop. Redirects alone are a table, written once with where they lead; each round
-    joins the rows that are still under way with it, and rows that lead no further leave the loop. The answers at the ends are
-    joined once, after it.
+    Steps of 1, 2, 4 ... hops are made by joining the table with itself, and those that make up `most` are put together, so a
+    chain or a loop of any length takes log2(most) rounds and no row carries a chain. Where a hop is denied, it stands still.
     """
-    from pagelens.functions.url import resolve
+    steps = kept(steps, "redirects")
+
+    def after(f: DataFrame, g: DataFrame) -> DataFrame:
+        """The hops of f, then those of g."""
+        g = g.select(F.col("class").alias("_class"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
+        both = f.join(g, (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
+        return kept(both.select("class", "at", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "hops")
+
+    power, whole, left = steps.select("class", "at", "to", "hops"), None, most
+    while left:
+        if left & 1:
+            whole = power if whole is None else after(whole, power)
+        left >>= 1
+        if left:
+            power = after(power, power)
+    if whole is None:
+        whole = steps.select("class", "at", F.col("at").alias("to"), F.lit(0).alias("hops"))
+    there = steps.select(F.col("class").alias("_class"), F.col("at").alias("_at"), "why", F.lit(True).alias("_more"))
+    ends = whole.join(there, (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
+    return ends.select(
+        "class", "at", F.col("to").alias("final_url"), "hops", F.concat("why", F.lit(":redirect")).alias("denied"), F.when(F.col("_more") & F.col("why").isNull(), "too many redirects").alias("error")
+    )
+
 
-    moved = responses.filter(F.col("status").isin(*REDIRECTS)).select(F.col("url").alias("_at"), resolve(F.col("url"), F.col("location")).alias("_next")).filter("_next is not null")
-    moved = kept(moved, "redirects")
-    why = F.when(F.col("_next").isNotNull(), reason(F.col("_next")))
-    under_way = wanted.select("*", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("chain"))
-    ended: DataFrame | None = None
-    for n in range(most + 1):
-        goes = F.col("_next").isNotNull() & F.col("_why").isNull() & (F.lit(n) < most)
-        step = under_way.join(moved, F.col("final_url") == F.col("_at"), "left").withColumn("_why", why).select(
-            *[F.col(c) for c in wanted.columns], F.when(goes, F.col("_next")).otherwise(F.col("final_url")).alias("final_url"), F.when(goes, F.array_append("chain", F.col("_next"))).otherwise(F.col("chain")).alias("chain"),
-            F.concat("_why", F.lit(":redirect")).alias("denied"), F.when(F.col("_next").isNotNull() & F.col("_why").isNull() & (F.lit(n) >= most), "too many redirects").alias("error"), goes.alias("_open"),
-        )
-        step = kept(step, "hops")
-        done = step.filter("not _open").drop("_open")
-        ended = done if ended is None else ended.unionByName(done)
-        under_way = step.filter("_open").drop("_open", "denied", "error")
-        if under_way.isEmpty():
-            break
+def follow_redirects(wanted: DataFrame, responses: DataFrame, reasons: dict[str, Callable[[Column], Column]], by: Column | None = None, most: int = MOST_HOPS) -> DataFrame:
+    """Where each `url` of `wanted` ends: adds `final_url, status, hops, denied, error`.
+
+    `reasons` has a scope check of every hop for each class of rows, and `by` says which class a row is of; where there is but
+    one, it may be left out.
+    """
+    ends = redirect_ends(redirect_steps(responses, reasons), most).withColumnsRenamed({"class": "_class", "at": "_from"})
+    by = F.lit(next(iter(reasons))) if by is None else by
+    at = wanted.withColumn("_by", by).join(ends, (F.col("url") == F.col("_from")) & (F.col("_by") == F.col("_class")), "left")
+    at = at.select(*wanted.columns, F.coalesce("final_url", "url").alias("final_url"), F.coalesce("hops", F.lit(0)).alias("hops"), "denied", "error")
     answers = responses.select(F.col("url").alias("_at"), F.col("status").cast("int").alias("status"))
-    out = ended.join(answers, F.col("final_url") == F.col("_at"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_at").isNull(), "no response")))
-    return out.select(*wanted.columns, "final_url", "status", "chain", "denied", "error")
+    out = at.join(answers, F.col("final_url") == F.col("_at"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_at").isNull(), "no response")))
+    return out.select(*wanted.columns, "final_url", "status", "hops", "denied", "error")
 
 
 def failure_ratio(done: Column, failed: Column) -> Column:

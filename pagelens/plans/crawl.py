@@ -1,35 +1,206 @@
 """A crawl over a snapshot of responses, as rounds of joins until nothing is queued.
 
-A round takes all queued assets, or if there are none the queued pages that the page budget allows, joins them with the
-responses, extracts references, and appends what is new. Where several rows want the same URL the first one wins, in the
-order of (parent, place in the parent). Images lead to no further pages, so all of them are handled once, at the end.
-Rows grow by anti-joins, and each round is committed as one generation.
+The snapshot is read once into a link index (`linkindex`). A round takes all queued assets, or if there are none the queued
+pages that the page budget allows, looks up what becomes of them, follows their links by number, and appends what is new.
+Where several rows want the same URL the first one wins, in the order of (parent, place in the parent). Rows are kept as
+changes in buckets (`changes`), so a round deals and writes what is new in it, and each round is committed as one generation.
+Images lead to no further pages, so all of them are found and handled once, at the end.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens import reports
+from pagelens.changes import Changes, undeclare
 from pagelens.config import Config
-from pagelens.extract import columns as X
 from pagelens.extract import html, rewrite
 from pagelens.functions import binary as B
 from pagelens.functions import text as T
 from pagelens.functions import url as U
 from pagelens.operators import ladder, policy, politeness
 from pagelens.operators.ordered import first_by, rank, running_total
-from pagelens.state import Store, recover
-from pagelens.storage import file_system, put_once
+from pagelens.plans.linkindex import AGENT, MOST_ROBOTS_BYTES, LinkIndex
+from pagelens.state import FIXED, VARYING, Store, recover
+from pagelens.storage import file_system, kept, put_once
 
-AGENT = "pagelens"
 MOST_SITEMAPS = 1000
-MOST_ROBOTS_BYTES = 512 * 1024
 _ORDER = ["parent", "section", "pos"]
+_FOUND = ["round", *_ORDER]
+#: Generations after which the changes of a run are written as one.
+MOST_GENERATIONS = 32
+_OPEN = "u page_id url kind depth discovered_from".split()
+
+
+class _Rounds:
+    """The pages of a run while it is under way: their changes, and what is still queued."""
+
+    def __init__(self, crawl: Crawl, index: LinkIndex, pages: DataFrame):
+        self.crawl, self.index, self.cfg, self.spark, self.store = crawl, index, crawl.cfg, crawl.spark, crawl.store
+        self.root = index.root
+        base = self._kept(pages.join(index.urls.select("u", "url"), "url"), "base")
+        n = base.agg(
+            F.coalesce(F.max("page_id"), F.lit(0)).alias("top"), F.count_if(F.expr("kind = 'page' and state in ('in_progress', 'done', 'failed')")).alias("started"), F.count_if(F.col("kind") == "sitemap").alias("sitemaps"),
+            F.count_if(F.expr("state = 'queued' and kind <> 'page'")).alias("assets"), F.count_if(F.expr("state = 'queued' and kind = 'page'")).alias("pages"), F.count_if(F.expr("state <> 'skipped'")).alias("live"),
+        ).first()
+        self.top, self.started, self.sitemaps, self.live = n.top, n.started, n.sitemaps, n.live
+        queued = base.filter("state = 'queued'").select(*_OPEN)
+        self.assets = [queued.filter("kind <> 'page'")] if n.assets else []
+        self.pages = [queued.filter("kind = 'page'")] if n.pages else []
+        self.n_pages = n.pages
+        self.patterns = [base.filter("pattern is not null and state <> 'skipped'").groupBy("pattern").agg(F.count("*").alias("n"))]
+        self.gen = self.n = 0
+        self.totals = Counter()
+        self.steps: list[DataFrame] = []
+        self.changes = Changes(self.spark, f"{self.root}/changes", FIXED, VARYING, index.buckets)
+        self.changes.append(base, 0, born=True)
+        self._commit(seeded=True)
+
+    def _kept(self, df: DataFrame, name: str, counts: dict[str, Column] | None = None) -> DataFrame:
+        """The rows as files of this run; counts are taken on the way."""
+        path = f"{self.root}/{name}"
+        seen = Observation(uuid.uuid4().hex) if counts else None
+        (df.observe(seen, *[v.alias(k) for k, v in counts.items()]) if counts else df).write.mode("overwrite").parquet(path)
+        self.seen = seen.get if seen else {}
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _commit(self, **meta) -> None:
+        self.store.set_meta(open_run={"path": self.changes.path, "buckets": self.index.buckets, "gen": self.gen}, **meta)
+
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _frontier(self) -> DataFrame | None:
+        """All queued assets, else the queued pages that the budget allows; they are queued no more."""
+        if self.assets:
+            out, self.assets = self._all(self.assets), []
+            return out
+        left = self.cfg.limits.max_pages - self.started
+        if not self.pages or left <= 0:
+            return None
+        out = self._all(self.pages)
+        if self.n_pages <= left:
+            self.pages, self.n_pages = [], 0
+            return out
+        first = self._kept(ladder.first_pages(out, left, ["depth", "page_id"]), f"first-{self.n}")
+        self.pages = [self._kept(out.join(first.select("u"), "u", "left_anti"), f"rest-{self.n}")]
+        self.n_pages -= left
+        return first
+
+    def round(self) -> bool:
+        """One round; false if there was nothing to do."""
+        frontier = self._frontier()
+        if frontier is None:
+            return False
+        self.n += 1
+        index = self.index
+        answers = index.answers.withColumnsRenamed({"u": "_u", "kind": "_kind"})
+        done = frontier.join(answers, (F.col("u") == F.col("_u")) & (F.col("kind") == F.col("_kind"))).drop("_u", "_kind")
+        page, state = F.col("kind") == "page", F.col("state")
+        step = self._kept(done.withColumn("round", F.lit(self.n)), f"step-{self.n}", {
+            "started": F.count_if(page & state.isin("done", "failed")), "pages": F.count_if(page & state.isin("done", "failed")), "pages_failed": F.count_if(page & (state == "failed")),
+            "assets": F.count_if(~page & (state == "done")), "rendered": F.count_if("rendered"), "good": F.count_if("good"), "dropped": F.count_if(state == "skipped"),
+        })
+        seen = self.seen
+        self.steps.append(step)
+        self.changes.append(step, self.gen + 1, born=False)
+        self.started += seen["started"]
+        self.live -= seen["dropped"]
+        self.totals.update({k: seen[k] for k in ("pages", "pages_failed", "assets", "rendered")})
+        if seen["good"]:
+            self._grow(step.filter("good"))
+        self.gen += 1
+        if self.gen % MOST_GENERATIONS == 0:
+            old, self.changes = self.changes, self.changes.compact(f"{self.root}/changes-{self.gen}", self.gen)
+            self._commit()
+            undeclare(self.spark, old.path)
+            self.store.delete(old.path)
+        self._commit()
+        return True
+
+    def _grow(self, good: DataFrame) -> None:
+        """Appends the pages and assets that this round finds and no row has yet."""
+        index, cfg = self.index, self.cfg
+        deepest = cfg.limits.max_depth
+        links = index.links.withColumnsRenamed({"u": "to", "kind": "to_kind"})
+        found = good.select("page_id", "depth", "fu", F.col("kind").alias("skind0")).join(links, (F.col("fu") == F.col("src")) & (F.col("skind0") == F.col("skind")))
+        section = F.col("section")
+        depth = F.when(section == 0, F.col("depth") + 1).when(section == 1, F.lit(1)).otherwise(F.col("depth"))
+        rows = found.select(F.col("to").alias("u"), F.col("to_kind").alias("kind"), depth.alias("depth"), F.col("page_id").alias("parent"), "section", "pos").filter((section > 1) | (F.col("depth") <= deepest))
+        moved = good.filter("moved").select(F.col("fu").alias("u"), F.lit("page").alias("kind"), "depth", F.col("page_id").alias("parent"), F.lit(6).alias("section"), F.lit(0).alias("pos"))
+        fresh = first_by(rows.unionByName(moved), ["u"], _ORDER).join(self.changes.keys(self.gen), "u", "left_anti")
+        fresh = fresh.join(index.urls, "u").withColumns({"pattern": F.when(section < 2, F.col("pattern")), "skip_reason": F.when(section == 6, "duplicate:redirect")})
+        fresh = self._kept(fresh, f"fresh-{self.n}", {"n": F.count(F.lit(1)), "patterned": F.count("pattern"), "sitemaps": F.count_if(F.col("kind") == "sitemap")})
+        n, patterned, sitemaps = (self.seen[k] for k in ("n", "patterned", "sitemaps"))
+        if not n:
+            return
+        if self.live + patterned > cfg.limits.max_pages_per_pattern:  # else no pattern can have too many
+            own = fresh.filter("pattern is not null").drop("skip_reason")
+            prior = self._all(self.patterns).join(own.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("n"))
+            fresh = fresh.filter("pattern is null").unionByName(ladder.pattern_limited(own, prior, cfg.limits.max_pages_per_pattern, _ORDER))
+        if self.sitemaps + sitemaps > MOST_SITEMAPS:
+            few = ladder.first_pages(fresh.filter("kind = 'sitemap'"), MOST_SITEMAPS - self.sitemaps, _ORDER)
+            fresh = fresh.filter("kind <> 'sitemap'").unionByName(few)
+        named = rank(fresh, [*_ORDER, "u"], "_n").select(
+            "u", (F.col("_n") + self.top).alias("page_id"), "url", "kind", "depth", F.when(F.col("parent") > 0, F.col("parent")).alias("discovered_from"), "pattern",
+            F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("queued").alias("state"), "skip_reason",
+            *[F.lit(None).alias(c) for c in ("status", "final_url", "content_type", "fetched_at", "error")], F.lit(False).alias("rendered"),
+        )
+        queued = F.col("state") == "queued"
+        new = self._kept(self._typed(named), f"new-{self.n}", {
+            "n": F.count(F.lit(1)), "assets": F.count_if(queued & (F.col("kind") != "page")), "pages": F.count_if(queued & (F.col("kind") == "page")), "sitemaps": F.count_if(F.col("kind") == "sitemap"), "live": F.count_if(queued),
+            "top": F.max("page_id"),
+        })
+        seen = self.seen
+        if not seen["n"]:
+            return
+        self.changes.append(new, self.gen + 1, born=True)
+        self.top, self.live, self.sitemaps = seen["top"], self.live + seen["live"], self.sitemaps + seen["sitemaps"]
+        opened = new.filter(queued).select(*_OPEN)
+        if seen["assets"]:
+            self.assets.append(opened.filter("kind <> 'page'"))
+        if seen["pages"]:
+            self.pages.append(opened.filter("kind = 'page'"))
+            self.n_pages += seen["pages"]
+        if patterned:
+            self.patterns.append(new.filter(queued & F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("n")))
+
+    def _typed(self, df: DataFrame) -> DataFrame:
+        kinds = {f.name: f.dataType for f in self.changes.schema}
+        return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in df.columns])
+
+    def progress(self) -> dict[str, int]:
+        """Counts of this run, taken while its rows were written."""
+        return {**self.totals, "pages_queued": self.n_pages, "rows": self.top}
+
+    def found_images(self) -> DataFrame | None:
+        """The references to images of all bodies that were read in this run, in the order in which they were found."""
+        if not self.steps:
+            return None
+        good = self._all(self.steps).filter("good").select("page_id", F.col("kind").alias("_kind"), F.col("final_url").alias("_final"), F.col("url").alias("_asked"), "discovered_from", "direct", "round")
+        refs = self.index.images().join(good.filter("not direct"), (F.col("final_url") == F.col("_final")) & (F.col("skind") == F.col("_kind")))
+        out = refs.select("url", "kind", "context", "round", F.col("page_id").alias("parent"), "section", "pos", "page_id")
+        direct = good.filter("direct").select(F.col("_final").alias("url"), F.lit("page:direct").alias("kind"), F.col("_asked").alias("context"), "round", F.col("page_id").alias("parent"), F.lit(8).alias("section"), F.lit(0).alias("pos"), F.col("discovered_from").alias("page_id"))
+        out = out.unionByName(direct)
+        if not self.cfg.filters.data_uris:
+            out = out.filter(~F.col("url").startswith("data:"))
+        return out.withColumn("source", F.lit("live"))
+
+    def close(self) -> None:
+        """Writes the pages of the run as the table of pages; its changes are needed no more."""
+        self.store.commit({"page": self.changes.current(self.gen)}, open_run=None)
+        undeclare(self.spark, self.changes.path)
+        self.index.close()
 
 
 class Crawl:
@@ -38,42 +209,32 @@ class Crawl:
         self.responses = responses
         self.options = html.Options(frozenset(cfg.discovery.lazy_attrs), cfg.filters.srcset, cfg.filters.data_uris, cfg.discovery.css, cfg.discovery.jsonld, cfg.discovery.manifest)
         self.rules = rewrite.rules(cfg.upgrade, cfg.upgrade_rules)
-        self.robots = self._robots().cache()  # a row for each origin of a robots.txt
+        self.robots: DataFrame | None = None
         self.store = Store(spark, cfg.out)
+        self.rounds: _Rounds | None = None
 
     def _robots(self) -> DataFrame:
+        """A row for each origin of a captured robots.txt."""
         at = self.responses.filter(F.col("url").endswith("/robots.txt")).select("url", "status", "body")
         files = at.filter(U.path_and_query(F.col("url")) == "/robots.txt").select(
-            U.origin_of(F.col("url")).alias("origin"),
-            F.when(F.length("body") <= MOST_ROBOTS_BYTES, F.col("status")).alias("status"),
-            F.make_valid_utf8("body").alias("body"),
+            U.origin_of(F.col("url")).alias("origin"), F.when(F.length("body") <= MOST_ROBOTS_BYTES, F.col("status")).alias("status"), F.make_valid_utf8("body").alias("body")
         )
-        known = policy.robots_table(files, AGENT)
-        # an origin whose robots.txt was asked for and not there is in no table: outside a live run that means "not found"
-        return known
-
-    # What the network would answer.
-
-    def _allowed(self, df: DataFrame) -> DataFrame:
-        """Adds `robots_ok`. Origins without a captured robots.txt count as having none."""
-        if self.cfg.robots == "ignore":
-            return df.withColumn("robots_ok", F.lit(True))
-        r = self.robots.select(F.col("origin").alias("_o"), F.col("rules").alias("_rules"))
-        joined = df.withColumn("_origin", U.origin_of(F.col("url"))).join(r, F.col("_origin") == F.col("_o"), "left")
-        from pagelens.extract.robots import allowed
-
-        return joined.withColumn("robots_ok", F.col("_o").isNull() | allowed(U.path_and_query(F.col("url")), F.col("_rules"))).drop("_origin", "_o", "_rules")
+        return kept(policy.robots_table(files, AGENT), "robots")
 
-    def _fetched(self, wanted: DataFrame, reason) -> DataFrame:
-        """Rows with what their URL answers in the end."""
+    def _fetched(self, wanted: DataFrame, reasons: dict, by: Column) -> DataFrame:
+        """Rows with what their URL answers in the end. Origins without a captured robots.txt count as having none."""
+        if self.robots is None:
+            self.robots = self._robots()
         hops = self.responses.select("url", "status", "location")
-        ends = politeness.follow_redirects(self._allowed(wanted), hops, reason)
-        body = self.responses.select(F.col("url").alias("_u"), F.lower(F.coalesce("content_type", F.lit(""))).alias("ctype"), "content_length", "headers", "body", "fetched_at", "rendered_html", "network_images", "json_images")
+        allowed = policy.with_robots(wanted, "url", self.robots, self.cfg.robots != "ignore", unknown=True)
+        ends = politeness.follow_redirects(allowed, hops, reasons, by)
+        body = self.responses.select(F.col("url").alias("_u"), F.lower(F.coalesce("content_type", F.lit(""))).alias("ctype"), "content_length", "headers", "body", "fetched_at")
         return ends.withColumnRenamed("status", "http").join(body, (F.col("final_url") == F.col("_u")) & F.col("robots_ok"), "left").drop("_u")
 
-    # Rounds.
+    # Pages.
 
-    def seed(self) -> None:
+    def seeds(self) -> DataFrame:
+        """The rows that a new crawl starts with."""
         cfg, spark = self.cfg, self.spark
         seeds = spark.createDataFrame([(s, i) for i, s in enumerate(cfg.seeds)], "raw string, pos int")
         pages = seeds.select(U.normalize(F.col("raw"), cfg.http.strip_page_params).alias("url"), "pos").filter("url is not null").withColumns({"kind": F.lit("page"), "pattern": U.url_pattern(F.col("url"))})
@@ -81,172 +242,44 @@ class Crawl:
             origins = pages.select(U.origin_of(F.col("url")).alias("origin")).distinct()
             maps = policy.sitemap_urls(origins, self.robots, cfg.scope).select("url", F.lit(1 << 20).alias("pos"), F.lit("sitemap").alias("kind"), F.lit(None).cast("string").alias("pattern"))
             pages = pages.unionByName(maps)
-        rows = first_by(pages.withColumns({"parent": F.lit(0).cast("long"), "section": F.lit(0), "depth": F.lit(0)}), ["url"], ["pos", "url"])
-        self.store.commit({"page": self._numbered(rows.withColumn("skip_reason", F.lit(None).cast("string")), 0, ["pos", "url"])}, seeded=True)
+        rows = rank(first_by(pages, ["url"], ["pos", "url"]), ["pos", "url"], "page_id")
+        own = rows.withColumns({"depth": F.lit(0), "state": F.lit("queued"), "rendered": F.lit(False)})
+        have = set(own.columns)
+        return own.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.store.schema("page")])
+
+    def start(self) -> _Rounds | None:
+        """Reads the snapshot and readies the rounds; none if no page is queued."""
+        store = self.store
+        seeded = store.meta().get("seeded")
+        if seeded and store.table("page").filter("state = 'queued'").isEmpty():
+            return None
+        index = LinkIndex(self.spark, f"{store.root}/run-{uuid.uuid4().hex[:12]}", self.cfg, self.options).read(self.responses)
+        self.robots = index.robots
+        pages = index._kept(store.table("page") if seeded else self.seeds(), "known")
+        index.finish(pages)
+        return _Rounds(self, index, pages)
+
+    # Images.
 
     def seed_images(self, urls: DataFrame) -> None:
         """Starts from a list of image URLs (`url`) instead of pages."""
         listed = urls.select(U.normalize(F.col("url")).alias("url"), F.lit("list").alias("kind"), F.lit("").alias("context")).filter("url is not null")
-        refs = listed.withColumns({"parent": F.lit(None).cast("long"), "section": F.lit(0), "pos": F.lit(0), "source": F.lit("list"), "page_id": F.lit(None).cast("long")})
+        refs = listed.withColumns({"round": F.lit(0), "parent": F.lit(None).cast("long"), "section": F.lit(0), "pos": F.lit(0), "source": F.lit("list"), "page_id": F.lit(None).cast("long")})
         images, occurrences = self._new_images(refs, self.store.table("image_url"), self.store.table("occurrence"))
         self.store.commit({}, {"image_url": images, "occurrence": occurrences}, seeded=True)
 
-    def _numbered(self, rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-        """New page rows with ids that follow their order."""
-        skipped = F.col("skip_reason").isNotNull()
-        return rank(rows, order, "_n").select(
-            (F.col("_n") + start).alias("page_id"), "url", "kind", "depth", F.when(F.col("parent") > 0, F.col("parent")).alias("discovered_from"), "pattern",
-            F.when(skipped, "skipped").otherwise("queued").alias("state"), "skip_reason", F.lit(None).alias("status"), F.lit(None).alias("final_url"),
-            F.lit(None).alias("content_type"), F.lit(False).alias("rendered"), F.lit(None).alias("fetched_at"), F.lit(None).alias("error"),
-        )
-
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows as files of this round: what several later steps read is worked out once, and their plans stay small."""
+        """The rows as files: what several later steps read is worked out once, and their plans stay small."""
         path = f"{self.store.root}/work/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _frontier(self, pages: DataFrame) -> DataFrame:
-        queued = pages.filter("state = 'queued'")
-        assets = queued.filter("kind <> 'page'")
-        if not assets.isEmpty():
-            return assets
-        started = pages.filter("kind = 'page' and state in ('in_progress', 'done', 'failed')").count()
-        return ladder.first_pages(queued, self.cfg.limits.max_pages - started, ["depth", "page_id"])
-
-    def round(self) -> bool:
-        """One round; false if there was nothing to do."""
-        cfg, store = self.cfg, self.store
-        pages = store.table("page")
-        frontier = self._frontier(pages).select("page_id", "url", "kind", "depth", "discovered_from")
-        if frontier.isEmpty():
-            return False
-        scope = cfg.scope
-
-        def reason(u: Column) -> Column:
-            return F.when(F.col("kind").isin("page", "sitemap"), policy.page_reason(u, scope)).otherwise(policy.asset_reason(u, scope))
-
-        f = self._fetched(frontier, reason)
-        is_page = F.col("kind") == "page"
-        big = F.length("body") > cfg.limits.max_page_bytes
-        direct = is_page & F.col("ctype").startswith("image/")
-        failure = (
-            F.when(F.col("error").isNotNull(), F.col("error"))
-            .when((F.col("http") != 200), F.concat(F.lit("HTTP "), F.col("http").cast("string")))
-            .when(~direct & big, "BodyTooLarge")
-        )
-        skip = F.when(~F.col("robots_ok"), "robots").when(F.col("denied").isNotNull(), F.col("denied")).when(~is_page & (F.col("http").isin(404, 410) | (F.col("error") == "no response")), "not_found")
-        f = f.withColumn("skip_reason", skip).withColumn("failure", F.when(F.col("skip_reason").isNull(), failure))
-        good = F.col("skip_reason").isNull() & F.col("failure").isNull()
-        as_html = good & is_page & ~direct & policy.is_html(F.when(F.col("ctype") != "", F.col("ctype")), F.col("body"))
-        text = X.decode(F.when(good & ~direct & F.col("kind").isin("page", "css"), F.col("body")), F.col("ctype"))
-        read = X.html_refs(F.when(as_html, F.col("text")), F.col("final_url"), self.options)
-        rendered = X.html_refs(F.col("rendered_html"), F.col("final_url"), self.options)
-        f = f.withColumns({"good": good, "direct": good & direct, "as_html": as_html}).withColumn("text", text)
-        f = f.withColumns({
-            "html": read, "live": rendered,
-            "css": X.css_refs(F.when(F.col("good") & (F.col("kind") == "css"), F.col("text")), cfg.filters.srcset),
-            "map": X.sitemap_refs(F.when(F.col("good") & (F.col("kind") == "sitemap"), F.col("body"))),
-            "icons": X.manifest_refs(F.when(F.col("good") & (F.col("kind") == "manifest"), F.col("body"))),
-            "tiles": X.browserconfig_refs(F.when(F.col("good") & (F.col("kind") == "browserconfig"), F.col("body"))),
-        })
-        wants = policy.render_wanted(F.col("final_url"), F.col("html.mount_nodes"), F.col("html.text_chars"), F.col("html.noscript_js"), F.size("html.images"), cfg.render.mode, cfg.render.patterns)
-        f = f.withColumn("rendered", F.col("as_html") & F.col("rendered_html").isNotNull() & F.coalesce(wants, F.lit(False)))
-        unread = F.coalesce(
-            "html.error", F.when(F.col("rendered"), F.col("live.error")), "css.error", "map.error",
-            *[F.when(F.col("good") & (F.col("kind") == kind) & F.col(found).isNull(), "unreadable body") for kind, found in (("manifest", "icons"), ("browserconfig", "tiles"))],
-        )
-        f = f.withColumn("failure", F.coalesce("failure", F.when(F.col("good"), unread))).withColumn("good", F.col("good") & F.col("failure").isNull())
-        f = self._kept(f.drop("body", "text", "rendered_html", "content_length", "headers"), "round")
-
-        refs = self._kept(self._image_refs(f), "refs")
-        images, occurrences = self._new_images(refs, store.table("image_url"), store.table("occurrence"))
-        done = f.select(
-            "page_id",
-            F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("failure").isNotNull(), "failed").otherwise("done").alias("_state"),
-            F.col("skip_reason").alias("_skip"), F.col("http").alias("_status"), F.col("final_url").alias("_final"), F.substring("ctype", 1, 100).alias("_ctype"),
-            F.col("rendered").alias("_rendered"), F.col("fetched_at").alias("_at"), F.substring("failure", 1, 500).alias("_error"),
-        )
-        finished = pages.join(done, "page_id", "left").select(
-            "page_id", "url", "kind", "depth", "discovered_from", "pattern", F.coalesce("_state", "state").alias("state"), F.coalesce("_skip", "skip_reason").alias("skip_reason"),
-            F.coalesce("_status", "status").alias("status"), F.coalesce("_final", "final_url").alias("final_url"), F.coalesce("_ctype", "content_type").alias("content_type"),
-            F.coalesce("_rendered", "rendered").alias("rendered"), F.coalesce("_at", "fetched_at").alias("fetched_at"), F.coalesce("_error", "error").alias("error"),
-        )
-        new = self._kept(self._new_pages(f, pages), "pages")
-        top = pages.agg(F.max("page_id")).first()[0] or 0
-        store.commit({"page": finished.unionByName(self._numbered(new, top, [*_ORDER, "url"]))}, {"image_url": images, "occurrence": occurrences})
-        return True
-
-    def _new_pages(self, f: DataFrame, pages: DataFrame) -> DataFrame:
-        """Pages and assets found in this round that no row has yet."""
-        cfg, scope = self.cfg, self.cfg.scope
-        h = F.when(F.col("rendered"), F.col("live")).otherwise(F.col("html"))
-        strip = cfg.http.strip_page_params
-
-        def found(urls: Column, kind: str, section: int, depth: Column, where: Column) -> DataFrame:
-            rows = f.filter(where).select("final_url", F.col("page_id").alias("parent"), depth.alias("depth"), F.posexplode_outer(urls).alias("pos", "raw"))
-            return rows.filter("raw is not null").withColumns({"kind": F.lit(kind), "section": F.lit(section)})
-
-        level = F.col("depth")
-        links = found(h["links"], "page", 0, level + 1, level < cfg.limits.max_depth)
-        listed = found(F.col("map.pages"), "page", 1, F.lit(1), F.lit(cfg.limits.max_depth >= 1))
-        to_pages = links.unionByName(listed).withColumn("url", U.normalize(F.col("raw"), strip))
-        to_pages = to_pages.filter(policy.enqueueable(F.col("url"), F.col("depth"), scope, cfg.limits.max_depth)).withColumn("pattern", U.url_pattern(F.col("url")))
-        maps = found(F.col("map.sitemaps"), "sitemap", 2, level, F.lit(True)).withColumn("url", U.resolve(F.col("final_url"), F.col("raw"))).filter(F.col("url").isNotNull() & policy.page_reason(F.col("url"), scope).isNull())
-        sheets = found(h["stylesheets"], "css", 3, level, F.lit(True)).unionByName(found(F.col("css.imports"), "css", 3, level, F.lit(True)))
-        others = sheets.unionByName(found(h["manifests"], "manifest", 4, level, F.lit(True))).unionByName(found(h["browserconfigs"], "browserconfig", 5, level, F.lit(True)))
-        others = others.withColumn("url", U.resolve(F.col("final_url"), F.col("raw"))).filter(F.col("url").isNotNull() & policy.asset_reason(F.col("url"), scope).isNull())
-        moved = f.filter((F.col("kind") == "page") & F.col("good") & (F.col("final_url") != F.col("url"))).select(F.col("final_url").alias("url"), F.col("page_id").alias("parent"), "depth", F.lit(0).alias("pos"), F.lit("page").alias("kind"), F.lit(6).alias("section"))
-
-        cols = ["url", "kind", "depth", "parent", "section", "pos", "pattern", "fixed"]
-        none = F.lit(None).cast("string")
-        rows = to_pages.withColumn("fixed", none).select(*cols)
-        for df, why in ((maps, None), (others, None), (moved, "duplicate:redirect")):
-            rows = rows.unionByName(df.withColumns({"pattern": none, "fixed": F.lit(why).cast("string")}).select(*cols))
-        fresh = first_by(rows, ["url"], _ORDER).join(pages.select("url"), "url", "left_anti")
-        counted = pages.filter("pattern is not null and state <> 'skipped'").groupBy("pattern").agg(F.count("*").alias("n"))
-        plain = fresh.filter("pattern is null").withColumn("skip_reason", F.col("fixed"))
-        limited = ladder.pattern_limited(fresh.filter("pattern is not null"), counted, cfg.limits.max_pages_per_pattern, _ORDER)
-        have = pages.filter("kind = 'sitemap'").count()
-        capped = ladder.first_pages(plain.filter("kind = 'sitemap'"), MOST_SITEMAPS - have, _ORDER)
-        out = [*cols[:-1], "skip_reason"]
-        return plain.filter("kind <> 'sitemap'").select(*out).unionByName(capped.select(*out)).unionByName(limited.select(*out))
-
-    # Images.
-
-    def _image_refs(self, f: DataFrame) -> DataFrame:
-        """All references of a round: `url, kind, context, parent, section, pos, page_id, source`, not yet made unique."""
-        none = F.lit("")
-
-        def raw(items: Column, section: int, kind: Column | None, where: Column = F.lit(True)) -> DataFrame:
-            rows = f.filter(where).select("page_id", "final_url", F.posexplode_outer(items).alias("pos", "r")).filter("r is not null")
-            plain = kind is not None
-            return rows.select(
-                F.col("final_url").alias("base"), F.trim(F.col("r") if plain else F.col("r.url")).alias("url"), (kind if plain else F.col("r.kind")).alias("kind"), none.alias("context"),
-                F.col("page_id").alias("parent"), F.lit(section).alias("section"), "pos", "page_id",
-            )
-
-        def refs(items: Column, section: int, where: Column) -> DataFrame:
-            rows = f.filter(where).select("page_id", F.posexplode_outer(items).alias("pos", "r")).filter("r is not null")
-            return rows.select("r.url", "r.kind", "r.context", F.col("page_id").alias("parent"), F.lit(section).alias("section"), "pos", "page_id")
-
-        yes = F.lit(True)
-        relative = raw(F.col("network_images"), 1, F.lit("render:network"), F.col("rendered"))
-        for more in (
-            raw(F.col("json_images"), 2, F.lit("render:json"), F.col("rendered")),
-            raw(F.col("map.images"), 4, F.lit("sitemap:image")),
-            raw(F.col("css.images"), 5, None),
-            raw(F.col("icons"), 6, None),
-            raw(F.col("tiles"), 7, F.lit("browserconfig:tile")),
-        ):
-            relative = relative.unionByName(more)
-        absolute = F.when(F.col("url").startswith("data:"), F.col("url")).otherwise(U.resolve(F.col("base"), F.col("url")))
-        out = refs(F.col("live.images"), 0, F.col("rendered")).unionByName(refs(F.col("html.images"), 3, yes)).unionByName(relative.withColumn("url", absolute).drop("base"))
-        direct = f.filter("direct").select(F.col("final_url").alias("url"), F.lit("page:direct").alias("kind"), F.col("url").alias("context"), F.col("page_id").alias("parent"), F.lit(8).alias("section"), F.lit(0).alias("pos"), F.col("discovered_from").alias("page_id"))
-        out = out.unionByName(direct).filter("url is not null")
-        if not self.cfg.filters.data_uris:
-            out = out.filter(~F.col("url").startswith("data:"))
-        return out.withColumn("source", F.lit("live"))
+    def add_images(self) -> None:
+        """Adds what the pages of this run refer to to the images and their occurrences."""
+        found = self.rounds.found_images() if self.rounds else None
+        if found is not None:
+            images, occurrences = self._new_images(found, self.store.table("image_url"), self.store.table("occurrence"))
+            self.store.commit({}, {"image_url": images, "occurrence": occurrences})
 
     def _new_images(self, refs: DataFrame, images: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows that the references add to the image and the occurrence tables."""
@@ -264,16 +297,16 @@ class Crawl:
             "inline": F.col("_d.data"), "context": T.collapse(F.col("context")),
         }).drop("_d")
         refs = self._kept(refs, "made")
-        fresh = first_by(refs.select("url", "source", "inline", "parent", "section", "pos", "kind"), ["url"], [*_ORDER, "kind"]).join(images.select("url"), "url", "left_anti")
+        fresh = first_by(refs.select("url", "source", "inline", *_FOUND, "kind"), ["url"], [*_FOUND, "kind"]).join(images.select("url"), "url", "left_anti")
         top = images.agg(F.max("image_id")).first()[0] or 0
         reason = F.when(F.col("source") != "data-uri", policy.image_reason(F.col("url"), scope))
         blank = {c: F.lit(None) for c in ("sha256", "final_url", "status", "content_type", "headers", "url_filename", "fetched_at", "error")}
-        rows = rank(fresh, [*_ORDER, "kind", "url"], "_n").withColumn("image_id", F.col("_n") + top).withColumns(blank).withColumn("skip_reason", reason)
+        rows = rank(fresh, [*_FOUND, "kind", "url"], "_n").withColumn("image_id", F.col("_n") + top).withColumns(blank).withColumn("skip_reason", reason)
         rows = rows.withColumn("state", F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("queued"))
         typed = self._kept(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in images.schema]), "images")
         all_images = images.unionByName(typed)
         seen = refs.join(all_images.select("url", "image_id"), "url").withColumn("_page", F.coalesce("page_id", F.lit(0)))
-        first = first_by(seen.select("image_id", "_page", "kind", "page_id", "context", "section", "pos", "parent"), ["image_id", "_page", "kind"], _ORDER)
+        first = first_by(seen.select("image_id", "_page", "kind", "page_id", "context", *_FOUND), ["image_id", "_page", "kind"], _FOUND)
         known = occurrences.select("image_id", F.coalesce("page_id", F.lit(0)).alias("_page"), "kind")
         added = first.join(known, ["image_id", "_page", "kind"], "left_anti").select("image_id", "page_id", "kind", "context")
         return typed, added
@@ -290,10 +323,8 @@ class Crawl:
         scope = cfg.scope
         have = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
 
-        def reason(u: Column) -> Column:
-            return F.when(F.col("source") == "wayback-archive", policy.archive_only(u)).otherwise(policy.image_reason(u, scope))
-
-        web = self._fetched(queued.filter("source <> 'data-uri'").select("image_id", "url", "source"), reason)
+        reasons = {"image": lambda u: policy.image_reason(u, scope), "archive": policy.archive_only}
+        web = self._fetched(queued.filter("source <> 'data-uri'").select("image_id", "url", "source"), reasons, F.when(F.col("source") == "wayback-archive", "archive").otherwise("image"))
         own = queued.filter("source = 'data-uri'").select("image_id", "url", F.col("inline").alias("body"))
         gate = F.when(~F.col("robots_ok"), "robots").when(F.col("denied").isNotNull(), F.col("denied"))
         failure = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("http") != 200, F.concat(F.lit("HTTP "), F.col("http").cast("string")))
@@ -347,27 +378,33 @@ class Crawl:
         return stats
 
     def run(self, max_rounds: int | None = None, stop: Callable[[], bool] = lambda: False) -> str:
-        """Rounds until nothing is queued or a limit is met, then the images. `stop` is asked after every round: once it says so,
+        """Rounds until nothing is queued or a limit is met, then the images. `stop` is asked before every round: once it says so,
         the run ends as interrupted with all that is committed, and the next run goes on from there. So does `max_rounds`."""
         store = self.store
         run_id = store.begin()
-        if not store.meta().get("seeded"):
-            self.seed()
-        else:
-            store.commit({n: recover(store.table(n)) for n in ("page", "image_url")})
-        n = 0
-        while max_rounds is None or n < max_rounds:
-            if stop():
+        if store.meta().get("seeded"):  # rows of a run that broke off go back into the table of pages
+            store.commit({n: recover(store.table(n)) for n in ("page", "image_url")}, open_run=None)
+        store.clear()
+        n, stopped = 0, stop()
+        if not stopped:
+            self.rounds = self.start()
+        while self.rounds and (max_rounds is None or n < max_rounds):
+            if n and (stopped := stop()):
                 break
-            if not self.round():
+            if not self.rounds.round():
                 break
             n += 1
-            self.report("round", round=n)
-        if stop() or n == max_rounds:
+            logging.getLogger("pagelens").info("round", extra={"data": {"round": n} | self.rounds.progress()})
+        if self.rounds:
+            self.add_images()
+            self.rounds.close()
+        if stopped or stop() or n == max_rounds:
             store.end(run_id, "interrupted", self.report("interrupted"))
+            store.clear()
             return "interrupted"
         over_budget = self.save_images()
         waiting = not store.table("page").filter("state = 'queued'").isEmpty()
         status = "dry_run" if self.dry_run else "limit" if over_budget or waiting else "finished"
         store.end(run_id, status, self.report(status))
+        store.clear()
         return status

@@ -401,29 +401,36 @@ def upgrade_variants(spark, sf_dir):
     return _parts(spark, sf_dir).select("k", F.explode(rewrite.variants(url, rewrite.rules(["all"]))).alias("url"))
 
 
-@query("SELECT p_partkey AS k, NOT (p_partkey % 10 IN (1, 3)) AS allowed FROM part")
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 14 = 5 THEN true WHEN p_partkey % 7 = 5 OR p_partkey % 200 BETWEEN 100 AND 103 THEN false ELSE NOT p_partkey % 10 IN (1, 3) END AS allowed FROM part")
 def robots_match(spark, sf_dir):
-    body = "User-agent: *\nDisallow: /a1\nDisallow: /a2\nAllow: /a2x\nDisallow: /*3.html$\nAllow: /ok\n\nUser-agent: other\nDisallow: /\n"
+    """Rules with and without wildcards, the longest of them decides; and an origin of its own with ten thousand rules for others."""
+    body = "User-agent: *\nDisallow: /a1\nDisallow: /a2\nAllow: /a2x\nDisallow: /*3.html$\nAllow: /ok\nDisallow: /*?bad=1\nAllow: /*?bad=1&good$\n"
+    body += "".join(f"Disallow: /far/{i}/\n" for i in range(10_000)) + "Disallow: /*/id10?\n\nUser-agent: other\nDisallow: /\n"
     files = spark.createDataFrame([("https://e.com", 200, body)], "origin string, status int, body string")
-    n = F.col("k") % 10
-    url = _text("https://e.com/a", n.cast("string"), F.when(n == 2, "x").when(n == 3, ".html").otherwise(""))
-    p = _parts(spark, sf_dir).withColumn("url", url)
+    k, n = F.col("k"), F.col("k") % 10
+    end = F.when(k % 14 == 5, "?bad=1&good").when(k % 7 == 5, "?bad=1").otherwise("")
+    at = F.when((k % 200 >= 100) & (k % 200 <= 103), _text("/far/", (k % 10_000).cast("string"), "/x")).otherwise(_text("/a", n.cast("string"), F.when(n == 2, "x").when(n == 3, ".html").otherwise("")))
+    p = _parts(spark, sf_dir).withColumn("url", _text("https://e.com", at, end))
     return policy.with_robots(p, "url", policy.robots_table(files, "pagelens")).select("k", F.col("robots_ok").alias("allowed"))
 
 
-@query("SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'finds it' WHEN 1 THEN NULL WHEN 2 THEN 'too many redirects' ELSE NULL END AS how, CASE WHEN p_partkey % 4 = 3 THEN 'scope:redirect' END AS denied, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 10 ELSE 0 END AS hops FROM part")
+@query("""
+    SELECT k, chain, CASE WHEN kind = 2 THEN 'too many redirects' WHEN kind = 0 AND chain > 10 THEN 'too many redirects' END AS error, CASE WHEN kind = 1 AND chain // 2 <= 10 THEN 'scope:redirect' END AS denied,
+        CASE WHEN kind = 2 THEN 10 WHEN kind = 1 THEN least(chain // 2, 10) ELSE least(chain, 10) END AS hops
+    FROM (SELECT p_partkey AS k, p_partkey % 13 AS chain, p_partkey % 3 AS kind FROM part)
+""")
 def redirect_follow(spark, sf_dir):
-    """Four kinds of addresses: two hops, none, a loop, and one that leads out of scope."""
+    """Chains of 0 to 12 hops that end, that are denied in the middle, or that end in a loop."""
     p = _parts(spark, sf_dir)
-    n, s = F.col("k") % 4, F.col("s")
-    start = _text("https://e.com/", s)
-    rows = p.select("k", start.alias("url"), F.when(n == 0, _text("/", s, "/a")).when(n == 2, _text("/", s, "/loop")).when(n == 3, F.lit("https://evil.com/x")).alias("location"))
-    more = p.filter("k % 4 = 0").select("k", _text(start, "/a").alias("url"), _text("/", s, "/b").alias("location")).unionByName(p.filter("k % 4 = 0").select("k", _text(start, "/b").alias("url"), F.lit(None).cast("string").alias("location")))
-    loops = p.filter("k % 4 = 2").select("k", _text(start, "/loop").alias("url"), _text("/", s, "/loop2").alias("location")).unionByName(p.filter("k % 4 = 2").select("k", _text(start, "/loop2").alias("url"), _text("/", s, "/loop").alias("location")))
-    hops = rows.unionByName(more).unionByName(loops).select("url", F.when(F.col("location").isNotNull(), 302).otherwise(200).alias("status"), "location")
-    ends = politeness.follow_redirects(rows.select("k", "url"), hops, lambda u: F.when(U.host_of(u) != "e.com", "scope"))
-    how = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("final_url") == _text(F.col("url"), "/b"), "finds it")
-    return ends.select("k", how.alias("how"), "denied", F.size("chain").alias("hops"))
+    chain, kind, s = F.col("k") % 13, F.col("k") % 3, F.col("s")
+    place = lambda i: _text("https://e.com/", s, "/", i.cast("string"))
+    i = F.col("i")
+    last = F.when(kind == 2, place(F.lit(0)))  # a loop leads back to its start
+    inside = F.when((kind == 1) & (i == F.floor(chain / 2)), F.lit("https://evil.com/x")).when(i < chain, place(i + 1)).otherwise(last)
+    hops = p.select("k", "s", F.explode(F.sequence(F.lit(0).cast("long"), chain)).alias("i")).select(place(i).alias("url"), inside.alias("location"))
+    hops = hops.select("url", F.when(F.col("location").isNotNull(), 302).otherwise(200).alias("status"), "location")
+    ends = politeness.follow_redirects(p.select("k", chain.alias("chain"), place(F.lit(0)).alias("url")), hops, {"page": lambda u: F.when(U.host_of(u) != "e.com", "scope")})
+    return ends.select("k", "chain", "error", "denied", "hops")
 
 
 # Relational core on a state made of the driver's tables

@@ -10,13 +10,18 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens import __version__
+from pagelens.changes import Changes
 from pagelens.config import Config, ConfigError, identity, plain
 from pagelens.schema import STATE
 
 #: Internal columns beside those of the schema: the bytes of data URIs until they are stored.
 EXTRA = {"image_url": ", inline binary"}
+#: What a page row has from its birth, and what changes: the columns of the changes that a run under way keeps.
+FIXED = "page_id long, url string, kind string, depth int, discovered_from long, pattern string"
+VARYING = "state string, skip_reason string, status int, final_url string, content_type string, rendered boolean, fetched_at timestamp, error string"
 #: Parts of a table beyond which it is written as one.
 MOST_PARTS = 16
 
@@ -66,9 +71,16 @@ class Store:
         self._put(f"{self.root}/meta.json", json.dumps(meta, sort_keys=True))
         return meta
 
+    def schema(self, name: str) -> StructType:
+        return StructType.fromDDL(STATE[name] + EXTRA.get(name, ""))
+
     def table(self, name: str) -> DataFrame:
-        schema = STATE[name] + EXTRA.get(name, "")
-        parts = self.meta().get("tables", {}).get(name)
+        """A table as it stands; while a run is under way, its changes are the pages."""
+        schema, meta = self.schema(name), self.meta()
+        if name == "page" and (run := meta.get("open_run")):
+            pages = Changes(self.spark, run["path"], FIXED, VARYING, run["buckets"]).current(run["gen"])
+            return pages.select(*schema.names)
+        parts = meta.get("tables", {}).get(name)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
 
     def tables(self) -> dict[str, DataFrame]:
@@ -85,8 +97,7 @@ class Store:
             if len(parts) >= MOST_PARTS:
                 parts, df = [], self.table(name).unionByName(df)
             at[name] = [*parts, f"gen-{gen:06d}/{name}.parquet"]
-            schema = self.table(name).schema
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(f"{self.root}/{at[name][-1]}")
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(name)]).write.mode("overwrite").parquet(f"{self.root}/{at[name][-1]}")
         self.set_meta(generation=gen, tables=at, **meta)
         used = {p.split("/")[0] for parts in at.values() for p in parts}
         fs, root = self._fs(self.root)
@@ -95,6 +106,19 @@ class Store:
             if name.startswith("gen-") and name not in used and name < f"gen-{gen:06d}":
                 fs.delete(s.getPath(), True)
 
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def clear(self) -> None:
+        """Deletes what runs that broke off have left."""
+        fs, root = self._fs(self.root)
+        used = (self.meta().get("open_run") or {}).get("path", "")
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("run-") and f"/{name}/" not in used:
+                fs.delete(s.getPath(), True)
+
     def open(self, cfg: Config, overwrite: bool = False, resume: bool = True) -> bool:
         """Readies the output folder and says whether it goes on from an earlier run. Another run's folder is refused, as is one with files that are not ours."""
         meta = self.meta()

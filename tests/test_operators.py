@@ -2,9 +2,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelens.config import ImageScope, PageScope, ScopeConfig
+from pagelens.extract import robots
 from pagelens.operators import ladder, ordered, policy, politeness
 
-SCOPE = ScopeConfig(PageScope(["www.e.com", "e.com"], False, ["/*"], ["/logout*", "/search*"]), ImageScope(["cdn.e.net"]))
+SCOPE = ScopeConfig(PageScope(["shop.example.org", "news.test"], False, ["/*"], ["/cart*", "/*/print"]), ImageScope(["img.pics.test"]))
 
 
 def reasons(spark, urls, check):
@@ -13,16 +14,21 @@ def reasons(spark, urls, check):
 
 
 def test_scope(spark):
-    pages = ["https://www.e.com/a", "https://sub.e.com/a", "https://www.e.com/logout?x", "https://www.e.com/search?q=1", "https://cdn.e.net/a.html", "http://e.com./"]
-    assert reasons(spark, pages, lambda u: policy.page_reason(u, SCOPE)) == [None, "scope", "exclude", "exclude", "scope", "scope"]
-    images = ["https://cdn.e.net/a.png", "https://www.e.com/a.png", "https://evil.com/a.png", "https://cdn.e.net.evil.com/a.png", "https://xe.com/a.png"]
-    assert reasons(spark, images, lambda u: policy.image_reason(u, SCOPE)) == [None, None, "scope", "scope", "scope"]
-    wide = ScopeConfig(PageScope(["e.com"], True), ImageScope(["cdn.e.net"], False, False))
-    assert reasons(spark, ["https://deep.sub.e.com/", "https://notreallye.com/"], lambda u: policy.page_reason(u, wide)) == [None, "scope"]
-    assert reasons(spark, ["https://www.e.com/a.png", "https://cdn.e.net/a.png"], lambda u: policy.image_reason(u, wide)) == ["scope", None]
-    hosts = spark.createDataFrame([("e.com",)], "host string")
-    got = policy.join_hosts(spark.createDataFrame([("a.e.com",), ("e.com",), ("xe.com",)], "h string"), "h", hosts, True).collect()
-    assert {r.h: r.in_scope for r in got} == {"a.e.com": True, "e.com": True, "xe.com": False}
+    """Each check over a table of addresses of our own: (address, page, image)."""
+    table = [
+        ("https://shop.example.org/item/7", None, None), ("http://NEWS.test./today", None, None), ("https://shop.example.org/cart?id=4", "exclude", None), ("https://news.test/a/print", "exclude", None),
+        ("https://m.news.test/", "scope", "scope"), ("https://img.pics.test/7.webp", "scope", None), ("https://img.pics.test.bad.test/7.webp", "scope", "scope"), ("https://badnews.test/", "scope", "scope"),
+    ]
+    urls = [u for u, _, _ in table]
+    normal = [u.replace("NEWS.test.", "news.test") for u in urls]
+    assert reasons(spark, normal, lambda u: policy.page_reason(u, SCOPE)) == [p for _, p, _ in table]
+    assert reasons(spark, normal, lambda u: policy.image_reason(u, SCOPE)) == [i for _, _, i in table]
+    below = ScopeConfig(PageScope(["news.test"], True), ImageScope(["img.pics.test"], False, False))
+    assert reasons(spark, ["https://m.news.test/", "https://badnews.test/", "https://news.test/"], lambda u: policy.page_reason(u, below)) == [None, "scope", None]
+    assert reasons(spark, ["https://news.test/1.png", "https://img.pics.test/1.png", "https://x.img.pics.test/1.png"], lambda u: policy.image_reason(u, below)) == ["scope", None, "scope"]
+    hosts = spark.createDataFrame([("News.test",)], "host string")
+    got = policy.join_hosts(spark.createDataFrame([(h,) for h in ("m.news.test", "news.test", "badnews.test", "test")], "h string"), "h", hosts, True).collect()
+    assert {r.h: r.in_scope for r in got} == {"m.news.test": True, "news.test": True, "badnews.test": False, "test": False}
 
 
 def test_robots_join(spark):
@@ -34,6 +40,51 @@ def test_robots_join(spark):
     assert all(r.robots_ok for r in policy.with_robots(df, "u", table, respect=False).collect())
 
 
+def test_robots_index_equals_all_rules_tried(spark):
+    """Random rules and paths: the index against every rule on every path, as regular expressions."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    piece = lambda: "".join(rng.choice("ab/*$?%é") for _ in range(rng.randrange(1, 6)))
+    body = "User-agent: *\n" + "".join(f"{rng.choice(('Allow', 'Disallow'))}: /{piece()}\n" for _ in range(400))
+    paths = sorted({"/" + "".join(rng.choice("ab/$?") for _ in range(rng.randrange(0, 7))).rstrip("?") for _ in range(500)})
+    rules = robots.parse(body, "x").rules
+    want = {}
+    for p in paths:
+        hits = [(r.length, r.allow) for r in rules if re.search(r.pattern, p)]
+        want[p] = max(hits)[1] if hits else True
+    table = policy.robots_table(spark.createDataFrame([("https://a.test", 200, body)], "origin string, status int, body string"), "x")
+    df = spark.createDataFrame([(p, f"https://a.test{p}") for p in paths], "p string, u string")
+    assert {r.p: r.robots_ok for r in policy.with_robots(df, "u", table).collect()} == want
+
+
+def test_redirects_by_doubling_equal_one_hop_at_a_time(spark):
+    import random
+
+    rng = random.Random(3)
+    names = [f"https://a.test/{i}" for i in range(60)]
+    to = {u: rng.choice([*names, "https://b.test/x"]) for u in names[:50]} | {f"https://a.test/c{i}": f"https://a.test/c{i + 1}" for i in range(14)}
+    rows = [(u, 302, v) for u, v in to.items()] + [(u, 200, None) for u in names[50:]]
+    responses = spark.createDataFrame(rows, "url string, status int, location string")
+    denied = {"page": lambda v: v.startswith("https://b.") or v.endswith("7"), "asset": lambda v: v.endswith("c9")}
+    reasons = {"page": lambda c: F.when(c.startswith("https://b.") | c.endswith("7"), "scope"), "asset": lambda c: F.when(c.endswith("c9"), "scope")}
+    asked = [(u, k) for u in (*to, *names[50:], "https://a.test/none") for k in denied]
+    got = {(r.url, r.k): (r.final_url, r.hops, r.denied, r.error) for r in politeness.follow_redirects(spark.createDataFrame(asked, "url string, k string"), responses, reasons, F.col("k")).collect()}
+    answers = {u for u, _, _ in rows}
+    for u, k in asked:
+        at, hops, stop, error = u, 0, None, None
+        while at in to:
+            if denied[k](to[at]):
+                stop = "scope:redirect"
+                break
+            if hops == 10:
+                error = "too many redirects"
+                break
+            at, hops = to[at], hops + 1
+        assert got[u, k] == (at, hops, stop, error or (None if at in answers else "no response"))
+
+
 def test_spacing_and_streaks(spark):
     log = spark.createDataFrame([("h", i, 0.0, 429) for i in range(6)] + [("h", 6, 0.0, 200), ("h", 7, 0.0, 503)], "host string, seq int, at double, status int")
     got = sorted(politeness.bad_streaks(log, "host", ["seq"], F.col("status").isin(*politeness.BAD_STATUSES), 0.5, 6).collect(), key=lambda r: r.seq)
