@@ -79,6 +79,6 @@ def pattern_limited(pages: DataFrame, prior: DataFrame | None, limit: int, order
     return counted.withColumn("skip_reason", F.when(over, "pattern_limit")).drop("_part_rank", "_rank", "_prior")
 
 
-def first_pages(pages: DataFrame, remaining: int, order: list[str]) -> DataFrame:
+def first_pages(pages: DataFrame, remaining: int, order: list[str], n: int | None = None) -> DataFrame:
     """The first `remaining` pages in the order, by their ranks: none goes through one task, however many the budget allows."""
-    return rank(pages, order, "_place").filter(F.col("_place") <= max(0, remaining)).drop("_place")
+    return rank(pages, order, "_place", n).filter(F.col("_place") <= max(0, remaining)).drop("_place")

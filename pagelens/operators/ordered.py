@@ -33,8 +33,14 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, out: str)
     return joined.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
 
 
-def rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Adds `out`: the place of each row in the order, from 1."""
+#: Rows that are ranked in one task where their number is known.
+FEW = 100_000
+
+
+def rank(df: DataFrame, order: Sequence[str], out: str, n: int | None = None) -> DataFrame:
+    """Adds `out`: the place of each row in the order, from 1. Where the caller has counted the rows, few of them take the short way."""
+    if n is not None and n <= FEW:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     return running_total(df, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1)
 
 

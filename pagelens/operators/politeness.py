@@ -115,6 +115,9 @@ def redirect_ends(steps: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     chain or a loop of any length takes log2(most) rounds and no row carries a chain. Where a hop is denied, it stands still.
     """
     steps = kept(steps, "redirects")
+    if steps.isEmpty():
+        none = F.lit(None).cast("string")
+        return steps.select("class", "at", F.col("to").alias("final_url"), "hops", none.alias("denied"), none.alias("error"))
 
     def after(f: DataFrame, g: DataFrame) -> DataFrame:
         """The hops of f, then those of g."""

@@ -92,7 +92,7 @@ class _Rounds:
         if self.n_pages <= left:
             self.pages, self.n_pages = [], 0
             return out
-        first = self._kept(ladder.first_pages(out, left, ["depth", "page_id"]), f"first-{self.n}")
+        first = self._kept(ladder.first_pages(out, left, ["depth", "page_id"], self.n_pages), f"first-{self.n}")
         self.pages = [self._kept(out.join(first.select("u"), "u", "left_anti"), f"rest-{self.n}")]
         self.n_pages -= left
         return first
@@ -149,9 +149,9 @@ class _Rounds:
             prior = self._all(self.patterns).join(own.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("n"))
             fresh = fresh.filter("pattern is null").unionByName(ladder.pattern_limited(own, prior, cfg.limits.max_pages_per_pattern, _ORDER))
         if self.sitemaps + sitemaps > MOST_SITEMAPS:
-            few = ladder.first_pages(fresh.filter("kind = 'sitemap'"), MOST_SITEMAPS - self.sitemaps, _ORDER)
+            few = ladder.first_pages(fresh.filter("kind = 'sitemap'"), MOST_SITEMAPS - self.sitemaps, _ORDER, sitemaps)
             fresh = fresh.filter("kind <> 'sitemap'").unionByName(few)
-        named = rank(fresh, [*_ORDER, "u"], "_n").select(
+        named = rank(fresh, [*_ORDER, "u"], "_n", n).select(
             "u", (F.col("_n") + self.top).alias("page_id"), "url", "kind", "depth", F.when(F.col("parent") > 0, F.col("parent")).alias("discovered_from"), "pattern",
             F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("queued").alias("state"), "skip_reason",
             *[F.lit(None).alias(c) for c in ("status", "final_url", "content_type", "fetched_at", "error")], F.lit(False).alias("rendered"),
@@ -226,8 +226,9 @@ class Crawl:
         if self.robots is None:
             self.robots = self._robots()
         hops = self.responses.select("url", "status", "location")
-        allowed = policy.with_robots(wanted, "url", self.robots, self.cfg.robots != "ignore", unknown=True)
-        ends = politeness.follow_redirects(allowed, hops, reasons, by)
+        respect = self.cfg.robots != "ignore" and not self.robots.isEmpty()
+        allowed = policy.with_robots(wanted, "url", self.robots, respect, unknown=True)
+        ends = self._kept(politeness.follow_redirects(allowed, hops, reasons, by), "fetched")
         body = self.responses.select(F.col("url").alias("_u"), F.lower(F.coalesce("content_type", F.lit(""))).alias("ctype"), "content_length", "headers", "body", "fetched_at")
         return ends.withColumnRenamed("status", "http").join(body, (F.col("final_url") == F.col("_u")) & F.col("robots_ok"), "left").drop("_u")
 
@@ -298,10 +299,11 @@ class Crawl:
         }).drop("_d")
         refs = self._kept(refs, "made")
         fresh = first_by(refs.select("url", "source", "inline", *_FOUND, "kind"), ["url"], [*_FOUND, "kind"]).join(images.select("url"), "url", "left_anti")
+        fresh = self._kept(fresh, "fresh")
         top = images.agg(F.max("image_id")).first()[0] or 0
         reason = F.when(F.col("source") != "data-uri", policy.image_reason(F.col("url"), scope))
         blank = {c: F.lit(None) for c in ("sha256", "final_url", "status", "content_type", "headers", "url_filename", "fetched_at", "error")}
-        rows = rank(fresh, [*_FOUND, "kind", "url"], "_n").withColumn("image_id", F.col("_n") + top).withColumns(blank).withColumn("skip_reason", reason)
+        rows = rank(fresh, [*_FOUND, "kind", "url"], "_n", fresh.count()).withColumn("image_id", F.col("_n") + top).withColumns(blank).withColumn("skip_reason", reason)
         rows = rows.withColumn("state", F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("queued"))
         typed = self._kept(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in images.schema]), "images")
         all_images = images.unionByName(typed)
@@ -339,9 +341,12 @@ class Crawl:
         climbed = ladder.climb(rows.withColumn("body", F.when(F.col("gate").isNull() & F.col("failure").isNull(), F.coalesce("body", F.lit(b""))).otherwise(F.lit(b""))), cfg.filters, cfg.limits)
         stops = F.coalesce("gate", F.when(F.col("failure").isNull(), F.col("skip_reason")))
         climbed = climbed.withColumn("skip_reason", stops).withColumn("sha256", F.when(F.col("skip_reason").isNull() & F.col("failure").isNull(), F.col("sha256")))
-        stored = self._kept(ladder.store(climbed, "image_id", files), "stored")
         spent = F.when(F.col("outcome") == "saved", F.col("bytes")).otherwise(F.lit(0)).cast("long")
-        claimed = running_total(stored, ["image_id"], spent, "_before").filter(F.col("_before") + have < cfg.limits.max_total_bytes).drop("_before")
+        seen = Observation(uuid.uuid4().hex)
+        climbed = self._kept(climbed, "climbed")
+        claimed = self._kept(ladder.store(climbed, "image_id", files).observe(seen, F.sum(spent).alias("bytes")), "stored")
+        if have + (seen.get["bytes"] or 0) >= cfg.limits.max_total_bytes:  # else the budget holds for all
+            claimed = running_total(claimed, ["image_id"], spent, "_before").filter(F.col("_before") + have < cfg.limits.max_total_bytes).drop("_before")
         ends = claimed.select(
             "image_id", F.when(F.col("failure").isNotNull(), "failed").when(F.col("skip_reason").isNotNull(), "skipped").otherwise("done").alias("_state"), F.col("skip_reason").alias("_skip"),
             F.col("sha256").alias("_sha"), F.col("final_url").alias("_final"), F.col("status").alias("_status"), F.substring("content_type", 1, 100).alias("_ctype"), F.col("headers").alias("_headers"),

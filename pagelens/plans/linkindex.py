@@ -90,6 +90,7 @@ class LinkIndex:
         self.parts = [self._kept(self._parsed(responses), "parsed")]
         files = self.parts[0].filter("robots is not null").select(U.origin_of(F.col("url")).alias("origin"), "robots.status", "robots.body")
         self.robots = self._kept(policy.robots_table(files, AGENT), "robots")
+        self.with_robots = self.cfg.robots != "ignore" and not self.robots.isEmpty()
         return self
 
     def _of(self, kind: str, *columns: Column | str) -> DataFrame:
@@ -109,41 +110,46 @@ class LinkIndex:
 
         def found(skind: str, urls: Column, kind: str, section: int) -> DataFrame:
             rows = self._of(skind, F.col("url").alias("src"), F.posexplode_outer(urls).alias("pos", "raw")).filter("raw is not null")
-            made = U.normalize(F.col("raw"), cfg.http.strip_page_params) if kind == "page" else U.resolve(F.col("src"), F.col("raw"))
-            return rows.select("src", F.lit(skind).alias("skind"), made.alias("url"), F.lit(kind).alias("kind"), F.lit(section).alias("section"), "pos")
-
-        pages = found("page", live["links"], "page", 0).unionByName(found("sitemap", F.col("map.pages"), "page", 1)).filter(policy.enqueueable(F.col("url"), F.lit(0), scope, 0))
-        maps = found("sitemap", F.col("map.sitemaps"), "sitemap", 2).filter(F.col("url").isNotNull() & policy.page_reason(F.col("url"), scope).isNull())
-        others = found("page", live["stylesheets"], "css", 3).unionByName(found("css", F.col("css.imports"), "css", 3))
-        others = others.unionByName(found("page", live["manifests"], "manifest", 4)).unionByName(found("page", live["browserconfigs"], "browserconfig", 5))
-        others = others.filter(F.col("url").isNotNull() & policy.asset_reason(F.col("url"), scope).isNull())
+            return rows.select("src", F.lit(skind).alias("skind"), "raw", F.lit(kind).alias("kind"), F.lit(section).alias("section"), "pos")
+
+        rows = found("page", live["links"], "page", 0)
+        for more in (
+            found("sitemap", F.col("map.pages"), "page", 1), found("sitemap", F.col("map.sitemaps"), "sitemap", 2), found("page", live["stylesheets"], "css", 3), found("css", F.col("css.imports"), "css", 3),
+            found("page", live["manifests"], "manifest", 4), found("page", live["browserconfigs"], "browserconfig", 5),
+        ):
+            rows = rows.unionByName(more)
+        is_page = F.col("kind") == "page"
+        made = F.when(is_page, U.normalize(F.col("raw"), cfg.http.strip_page_params)).otherwise(U.resolve(F.col("src"), F.col("raw")))
+        rows = self._kept(rows.withColumn("url", made).filter("url is not null").drop("raw"), f"made-{len(self.parts)}")
+        url = F.col("url")
+        allowed = F.when(is_page, policy.enqueueable(url, F.lit(0), scope, 0)).when(F.col("kind") == "sitemap", policy.page_reason(url, scope).isNull()).otherwise(policy.asset_reason(url, scope).isNull())
         # links to pages depend on the depth of their page, so they are told apart from the rest
-        rows = pages.unionByName(maps).unionByName(others).withColumn("deep", F.col("section") < 2)
+        rows = rows.filter(allowed).withColumn("deep", F.col("section") < 2)
         return first_by(rows, ["src", "skind", "url", "deep"], ["section", "pos"]).drop("deep")
 
     def images(self) -> DataFrame:
-        """`final_url, skind, base, url, kind, context, section, pos, rendered_only, direct`: what bodies refer to as images."""
+        """`final_url, skind, url, kind, context, section, pos`: what bodies refer to as images."""
         none = F.lit("")
 
-        def plain(skind: str, items: Column, section: int, kind: Column | None, only: Column = F.lit(True)) -> DataFrame:
+        def found(skind: str, items: Column, section: int, kind: Column | None, only: Column = F.lit(True)) -> DataFrame:
+            """Items are URLs where their kind is given, else structs that have it, and those of documents are absolute."""
             rows = self._of(skind, "url", F.posexplode_outer(F.when(only, items)).alias("pos", "r")).filter("r is not null")
-            bare = kind is not None
-            made = F.trim(F.col("r") if bare else F.col("r.url"))
-            made = F.when(made.startswith("data:"), made).otherwise(U.resolve(F.col("base"), made))
-            return rows.withColumn("base", F.col("url")).select(F.col("base").alias("final_url"), F.lit(skind).alias("skind"), made.alias("url"), (kind if bare else F.col("r.kind")).alias("kind"), none.alias("context"), F.lit(section).alias("section"), "pos")
-
-        def refs(items: Column, section: int, only: Column = F.lit(True)) -> DataFrame:
-            rows = self._of("page", F.col("url").alias("final_url"), F.posexplode_outer(F.when(only, items)).alias("pos", "r")).filter("r is not null")
-            return rows.select("final_url", F.lit("page").alias("skind"), "r.url", "r.kind", "r.context", F.lit(section).alias("section"), "pos")
+            bare, whole = kind is not None, section in (0, 3)
+            return rows.select(
+                F.col("url").alias("final_url"), F.lit(skind).alias("skind"), (F.col("r") if bare else F.col("r.url")).alias("raw"), (kind if bare else F.col("r.kind")).alias("kind"),
+                (F.col("r.context") if whole else none).alias("context"), F.lit(section).alias("section"), "pos",
+            )
 
         rendered = F.col("rendered")
-        out = refs(F.col("live.images"), 0, rendered).unionByName(refs(F.col("html.images"), 3))
+        out = found("page", F.col("live.images"), 0, None, rendered)
         for more in (
-            plain("page", F.col("network_images"), 1, F.lit("render:network"), rendered), plain("page", F.col("json_images"), 2, F.lit("render:json"), rendered), plain("sitemap", F.col("map.images"), 4, F.lit("sitemap:image")),
-            plain("css", F.col("css.images"), 5, None), plain("manifest", F.col("icons"), 6, None), plain("browserconfig", F.col("tiles"), 7, F.lit("browserconfig:tile")),
+            found("page", F.col("network_images"), 1, F.lit("render:network"), rendered), found("page", F.col("json_images"), 2, F.lit("render:json"), rendered), found("page", F.col("html.images"), 3, None),
+            found("sitemap", F.col("map.images"), 4, F.lit("sitemap:image")), found("css", F.col("css.images"), 5, None), found("manifest", F.col("icons"), 6, None), found("browserconfig", F.col("tiles"), 7, F.lit("browserconfig:tile")),
         ):
             out = out.unionByName(more)
-        return out.filter("url is not null")
+        raw = F.trim("raw")
+        made = F.when(F.col("section").isin(0, 3), F.col("raw")).when(raw.startswith("data:"), raw).otherwise(U.resolve(F.col("final_url"), raw))
+        return out.withColumn("url", made).filter("url is not null").drop("raw")
 
     # Tables of numbers.
 
@@ -161,7 +167,8 @@ class LinkIndex:
         asked = links.select("url", "kind").unionByName(queued).distinct()
         every = self.parts[0].select("url").unionByName(links.select("url")).unionByName(ends.select(F.col("final_url").alias("url"))).unionByName(known.select("url")).distinct()
         buckets = self.buckets = n_buckets(self.spark)
-        numbers = rank(every, ["url"], "u").select("u", "url", U.url_pattern(F.col("url")).alias("pattern"))
+        every = self._kept(every, "every")
+        numbers = rank(every, ["url"], "u", every.count()).select("u", "url", U.url_pattern(F.col("url")).alias("pattern"))
         self.urls = bucketed(numbers, f"{self.root}/urls", "u", buckets)
         by_url = self.urls.select("u", "url")
         there = by_url.select(F.col("u").alias("src"), F.col("url").alias("src_url"))
@@ -190,7 +197,7 @@ class LinkIndex:
 
     def _answers(self, asked: DataFrame, ends: DataFrame, by_url: DataFrame) -> DataFrame:
         cfg = self.cfg
-        f = policy.with_robots(self._ends(asked, ends), "url", self.robots, cfg.robots != "ignore", unknown=True)
+        f = policy.with_robots(self._ends(asked, ends), "url", self.robots, self.with_robots, unknown=True)
         read = None
         for kind in KINDS:
             own = self._of(kind, F.col("url").alias("_u"), F.lit(kind).alias("_kind"), F.col(f"faults.{kind}").alias("unread"), "rendered")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelens import export, reports
 from pagelens.config import Filters, ImageScope, Limits, PageScope, ScopeConfig
 from pagelens.extract import columns as X
-from pagelens.extract import css, html, rewrite, site_files, srcset
+from pagelens.extract import html, rewrite, site_files, srcset
 from pagelens.extract import robots as rfc
 from pagelens.functions import binary as B
 from pagelens.functions import text as T
@@ -318,7 +318,9 @@ def css_imports(spark, sf_dir):
 
 @query("SELECT p_partkey AS k, 'one' || p_partkey || '.png' AS url FROM part")
 def css_plain_urls(spark, sf_dir):
-    return _css(spark, sf_dir).select("k", F.explode(css.plain_urls(F.col("css"))).alias("url"))
+    """The addresses of `url()` alone, without those of image sets."""
+    c = _css(spark, sf_dir).select("k", X.css_refs(F.col("css")).alias("c"))
+    return c.select("k", F.explode_outer("c.images").alias("r")).filter("r.kind = 'css:url'").select("k", "r.url")
 
 
 def _srcset() -> Column:
