@@ -662,12 +662,6 @@ def page_kinds(spark, sf_dir):
     return _parts(spark, sf_dir).select("k", policy.is_html(kind, body).alias("html"), wants.alias("render"))
 
 
-@query("SELECT doc_id, strlen(text) AS bytes FROM documents WHERE doc_id % 2 = 0")
-def gunzip_bodies(spark, sf_dir):
-    """The bodies of even documents of gunzip_all_bodies."""
-    return gunzip_all_bodies(spark, sf_dir).filter("doc_id % 2 = 0")
-
-
 @query("SELECT doc_id, strlen(text) AS bytes FROM documents")
 def gunzip_all_bodies(spark, sf_dir):
     """Sitemap bodies, plain or compressed, unfolded under a cap; every third document comes compressed."""
@@ -697,12 +691,12 @@ def stored_orphans(spark, sf_dir):
     return orphans(s["file"].select("path").unionByName(extra), s["file"])
 
 
-# Whole crawl over a small site
+# Crawls
 
 
 @query("""
     WITH RECURSIVE links AS (SELECT page_id AS src, 2 * page_id + 1 AS dst FROM pages UNION ALL SELECT page_id, 2 * page_id + 2 FROM pages UNION ALL SELECT page_id, page_id // 2 FROM pages),
-    walk AS (SELECT 0::BIGINT AS page_id, 0 AS depth UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.page_id WHERE w.depth < 12 AND l.dst IN (SELECT page_id FROM pages) AND l.dst > l.src)
+    walk AS (SELECT 0::BIGINT AS page_id, 0 AS depth UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.page_id WHERE l.dst IN (SELECT page_id FROM pages) AND l.dst > l.src)
     SELECT page_id, min(depth) AS depth FROM walk GROUP BY 1
 """)
 def frontier_bfs(spark, sf_dir):
@@ -712,30 +706,7 @@ def frontier_bfs(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id")
     k = F.col("page_id")
     links = p.select(k.alias("src"), F.explode(F.array(2 * k + 1, 2 * k + 2, F.floor(k / 2).cast("long"))).alias("dst"))
-    return breadth_first(links.join(p.select(k.alias("dst")), "dst", "left_semi"), p.filter("page_id = 0"), 12)
-
-
-@query("""
-    SELECT 'https://e.com/' || r.n AS url, CASE WHEN r.n > 7 THEN 'pattern_limit' END AS skip_reason FROM range(1, 9) AS r(n) UNION ALL SELECT 'https://e.com/', NULL UNION ALL SELECT 'https://e.com/sitemap.xml', 'not_found'
-""")
-def crawl_site(spark, sf_dir):
-    """A crawl to its fix-point over a made-up site: a start page with eight links, each page linking back, under a pattern limit."""
-    from pagelens.config import Config, build
-    from pagelens.plans.crawl import Crawl
-    from pagelens.schema import RESPONSE
-    from pagelens.storage import shared_folder
-
-    cfg = build(Config, {"seeds": ["https://e.com/"], "out": shared_folder(spark, "crawl"), "limits": {"max_pages_per_pattern": 7, "max_depth": 20}}).settle()
-    pages = spark.range(0, 9).select(F.col("id").alias("n")).select(
-        F.when(F.col("n") == 0, "https://e.com/").otherwise(F.concat(F.lit("https://e.com/"), F.col("n").cast("string"))).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
-        F.when(F.col("n") == 0, "".join(f'<a href="/{i}">{i}</a>' for i in range(1, 9))).otherwise('<a href="/">back</a>').cast("binary").alias("body"),
-    )
-    schema = spark.createDataFrame([], RESPONSE).schema
-    snapshot = pages.select(*[(F.col(f.name) if f.name in pages.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-    c = Crawl(spark, snapshot, cfg)
-    c.store.open(cfg)
-    c.run()
-    return c.store.table("page").select("url", "skip_reason")
+    return breadth_first(links.join(p.select(k.alias("dst")), "dst", "left_semi"), p.filter("page_id = 0"))
 
 
 @query(f"""
