@@ -1,7 +1,9 @@
 """Licence scans by canonical digests, with DataFrame functions only.
 
-A unit of text is made canonical: lower-cased, copyright notices dropped, licences spelled one way, everything but letters
-and digits turned into single spaces. The digest of the whole canonical unit meets the digests of known licence texts and
+A unit of text is made canonical: lower-cased and made one line, copyright notices dropped, licences spelled one way, and
+everything but letters and digits turned into single spaces. A notice may stand anywhere; it reaches to the words with which
+a known text opens, or to the end of the unit, and where neither is near it stays, so that nothing else goes with it.
+The digest of the whole canonical unit meets the digests of known licence texts and
 notices in a hash join: the notices of KNOWN and the whole texts in the folder licence_texts, each with and without its
 title and appendix. Units are the whole document, each of its lines, and its blocks: what stands between lines that hold
 nothing but a rule (three or more of one of - = * _ # ~). Nothing is matched in part. In a document or block it does not
@@ -61,8 +63,18 @@ SPELLINGS = (
 
 _YEAR = r"[<\[{]?(?:[0-9]{4}|year|yyyy)"
 
-#: A line that is a copyright notice: a sign or a year follows, so that wrapped sentences and list items `(c)` stay.
-COPYRIGHT_NOTICE = rf"^[\x20\x09]*(?:copyright[\x20\x09:]*(?:\(c\)|©|{_YEAR})|\(c\)[\x20\x09]*(?:copyright|{_YEAR})|©|all rights reserved)[^\n]*$"
+#: How a copyright notice begins: a sign or a year follows, so that sentences and list items `(c)` stay.
+BEGINS = rf"(?:copyright[ :]*(?:\(c\)|©|{_YEAR})|\(c\) ?(?:copyright|{_YEAR})|© ?(?:copyright|{_YEAR})|all rights reserved)"
+
+#: The words with which what may follow a notice opens, in lower case.
+OPENINGS = (
+    "permission is (?:hereby )?granted", "permission to use", "redistribution and use", "licen[cs]ed under", "released under", "everyone is permitted", "this program is", "this library is", "this work is",
+    "this source code", "this licen[cs]e", "copying and distribution", "do what the", "the mit licen[cs]e", "mit licen[cs]e", "isc licen[cs]e", "bsd [23]-clause", "apache licen[cs]e", "mozilla public", "gnu (?:lesser |library |affero )?general",
+)
+
+#: One or more notices up to what follows them, and a notice that ends a text. A notice that neither ends stays in the text.
+NOTICES = rf"(?:^| )(?:{BEGINS}.{{0,250}}?)+?( (?:{'|'.join(OPENINGS)}))"
+LAST_NOTICE = rf"(?:^| ){BEGINS}[^;!?]{{0,100}}$"
 
 #: A line that parts blocks.
 RULE = r"^[\x20\x09]*(?:-{3,}|={3,}|\*{3,}|_{3,}|#{3,}|~{3,})[\x20\x09]*$"
@@ -80,20 +92,17 @@ def whole_texts() -> list[tuple[str, str]]:
     return out
 
 
-def without_notices(col):
-    """A text, lower-cased, without its copyright notices."""
-    return F.regexp_replace(ascii_lower(col), f"(?md){COPYRIGHT_NOTICE}", "")
-
-
-def canonical_lines(bare):
-    """A text's canonical lines, parted by line feeds as in the text without notices."""
-    return F.regexp_replace(_spelled(bare), r"[^a-z0-9\n]+", " ")
+def canonical_lines(text):
+    """A text's canonical lines, parted by line feeds."""
+    return F.regexp_replace(_spelled(text), r"[^a-z0-9\n]+", " ")
 
 
-def canonical(bare):
-    """The canonical form of a whole unit without notices. Words are parted by single spaces first, for spellings go over the ends of lines."""
-    joined = F.trim(F.regexp_replace(bare, r"[ \t\r\n\f]+", " "))
-    return F.trim(F.regexp_replace(_spelled(joined), r"[^a-z0-9]+", " "))
+def canonical(text):
+    """The canonical form of a whole unit, in lower case. It is made one line first, so that it does not matter where lines end;
+    a unit of nothing but notices keeps them."""
+    joined = F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(joined, NOTICES, "$1"), LAST_NOTICE, ""))
+    return F.trim(F.regexp_replace(_spelled(F.when(bare == "", joined).otherwise(bare)), r"[^a-z0-9]+", " "))
 
 
 def _spelled(col):
@@ -109,7 +118,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def known_digests(spark: SparkSession, known) -> DataFrame:
     """`digest, license_id, size` of the known texts; at most as many rows as the table has texts."""
-    texts = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(without_notices(F.col("text"))).alias("text"))
+    texts = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", canonical(ascii_lower(F.col("text"))).alias("text"))
     return texts.select(F.sha2("text", 256).alias("digest"), "license_id", F.length("text").alias("size")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("size").alias("size"))
 
 
@@ -123,11 +132,11 @@ def scan_licences(docs: DataFrame, known=None) -> DataFrame:
     def digests(units):
         return F.transform(F.filter(units, lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
 
-    bare = without_notices(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare.alias("bare"))
-    lines = F.transform(F.split(canonical_lines(F.col("bare")), "\n"), lambda x: F.trim(x))
-    blocks = F.when(F.col("bare").rlike(f"(?md){RULE}"), F.transform(F.split("bare", f"(?md){RULE}"), canonical)).otherwise(F.array().cast("array<string>"))
-    units = texts.select("doc_id", F.sha2(canonical(F.col("bare")), 256).alias("text_digest"), digests(lines).alias("lines"), digests(blocks).alias("blocks"))
+    lower = F.regexp_replace(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\r\n?", "\n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("lower"))
+    lines = F.transform(F.split(canonical_lines(F.col("lower")), "\n"), lambda x: F.trim(x))
+    blocks = F.when(F.col("lower").rlike(f"(?md){RULE}"), F.transform(F.split("lower", f"(?md){RULE}"), canonical)).otherwise(F.array().cast("array<string>"))
+    units = texts.select("doc_id", F.sha2(canonical(F.col("lower")), 256).alias("text_digest"), digests(lines).alias("lines"), digests(blocks).alias("blocks"))
     units = written(units.withColumn("row", F.monotonically_increasing_id()), "units")
 
     def found(column: str, kind: str) -> DataFrame:
@@ -145,8 +154,8 @@ def scan_licences(docs: DataFrame, known=None) -> DataFrame:
 def scan_sql(known=None) -> str:
     """DuckDB's SQL for scan_licences over `documents`, with the same known texts."""
 
-    def bare(expr: str) -> str:
-        return f"regexp_replace(translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m){COPYRIGHT_NOTICE}', '', 'g')"
+    def lower(expr: str) -> str:
+        return f"regexp_replace(translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\r\\n?', chr(10), 'g')"
 
     def spelled(expr: str) -> str:
         for a, b in SPELLINGS:
@@ -154,21 +163,23 @@ def scan_sql(known=None) -> str:
         return expr
 
     def whole(expr: str) -> str:
-        joined = spelled(f"trim(regexp_replace({expr}, '[ \\t\\r\\n\\f]+', ' ', 'g'))")
-        return f"trim(regexp_replace({joined}, '[^a-z0-9]+', ' ', 'g'))"
+        joined = f"trim(regexp_replace({expr}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+        bare = f"trim(regexp_replace(regexp_replace({joined}, '{NOTICES}', '\\1', 'g'), '{LAST_NOTICE}', '', 'g'))"
+        kept = spelled(f"coalesce(nullif({bare}, ''), {joined})")
+        return f"trim(regexp_replace({kept}, '[^a-z0-9]+', ' ', 'g'))"
 
-    lined = "regexp_replace({}, '[^a-z0-9\\n]+', ' ', 'g')".format(spelled("bare"))
+    lined = "regexp_replace({}, '[^a-z0-9\\n]+', ' ', 'g')".format(spelled("lower"))
     texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in (known_texts() if known is None else known))
     return f"""
         WITH v(license_id, text) AS (VALUES {texts}),
-        known AS (SELECT sha256({whole(bare('text'))}) AS digest, min(license_id) AS license_id FROM v GROUP BY 1),
-        docs AS (SELECT row_number() OVER () AS row_id, doc_id, {bare("coalesce(text, '')")} AS bare FROM documents),
+        known AS (SELECT sha256({whole(lower('text'))}) AS digest, min(license_id) AS license_id FROM v GROUP BY 1),
+        docs AS (SELECT row_number() OVER () AS row_id, doc_id, {lower("coalesce(text, '')")} AS lower FROM documents),
         lines AS (SELECT row_id, sha256(trim(unnest(string_split({lined}, chr(10))))) AS digest FROM docs),
-        blocks AS (SELECT row_id, unnest(regexp_split_to_array(bare, '(?m){RULE}')) AS block FROM docs WHERE regexp_matches(bare, '(?m){RULE}')),
+        blocks AS (SELECT row_id, unnest(regexp_split_to_array(lower, '(?m){RULE}')) AS block FROM docs WHERE regexp_matches(lower, '(?m){RULE}')),
         digests AS (SELECT row_id, sha256({whole('block')}) AS digest FROM blocks),
         by_line AS (SELECT row_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known USING (digest) GROUP BY 1),
         by_block AS (SELECT row_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM digests JOIN known USING (digest) GROUP BY 1)
-        SELECT doc_id, sha256({whole('bare')}) AS text_digest, license_id AS text_license, coalesce(by_line.n, 0) AS n_license_lines, coalesce(by_line.ids, '') AS line_licenses,
+        SELECT doc_id, sha256({whole('lower')}) AS text_digest, license_id AS text_license, coalesce(by_line.n, 0) AS n_license_lines, coalesce(by_line.ids, '') AS line_licenses,
                coalesce(by_block.n, 0) AS n_license_blocks, coalesce(by_block.ids, '') AS block_licenses
-        FROM docs LEFT JOIN by_line USING (row_id) LEFT JOIN by_block USING (row_id) LEFT JOIN known ON known.digest = sha256({whole('bare')})
+        FROM docs LEFT JOIN by_line USING (row_id) LEFT JOIN by_block USING (row_id) LEFT JOIN known ON known.digest = sha256({whole('lower')})
     """

@@ -172,6 +172,17 @@ def test_licences(spark, docs, edge, empty):
     assert set(entries.oracle_sql()) <= set(entries.queries())
 
 
+def test_notices_take_nothing_else_with_them(spark):
+    """Texts that only share a notice, or begin with one, keep their own digests."""
+    texts = ["", "© 2020 Jane Doe", "© 2020 Jane Doe\nA poem of mine; it goes on for a while", "© 2020 a poem; of one line", "Copyright (c) 2020 Jane Doe and then a long text. " + "It goes on. " * 40, "It goes on. " * 40, "copyright holders may (c) do so", "All rights reserved"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    got = [r.text_digest for r in sorted(licences.scan_licences(make(spark, rows)).collect(), key=lambda r: r.doc_id)]
+    assert len(set(got)) == len(texts)
+    mit = " ".join((licences.TEXTS / "MIT.txt").read_text().split())
+    one = [mit, mit.replace("MIT License ", ""), "Copyright (c) 2019 A. B. Copyright (c) 2020 C Corp., all rights reserved. " + mit[mit.index("Permission") :], mit + " and more"]
+    assert [r.text_license for r in sorted(licences.scan_licences(make(spark, [(k, t, "en", "s") for k, t in enumerate(one)])).collect(), key=lambda r: r.doc_id)] == ["MIT", "MIT", "MIT", None]
+
+
 def test_whole_licences(spark):
     """Whole texts, as they are, unwrapped and wrapped anew, with notices of their own, and texts that differ by a sentence."""
     import re
@@ -188,7 +199,9 @@ def test_whole_licences(spark):
             lines = [x for k, g in groupby(part.split("\n"), lambda x: bool(notice.match(x))) for x in (g if k else [" ".join(" ".join(g).split())])]
             return "\n".join(x if notice.match(x) else textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in lines)
 
-        forms = [text, body, *("\n\n".join(again(p, n) for p in re.split(r"\n[ \t]*\n", text)) for n in (30, 57, 79, 10**6))]
+        flat = " ".join(text.split())
+        rows_of = [flat, " ".join(body.split()), text.replace("\n", "\r\n"), text.replace("\n", "\r"), f"Copyright 2021 Jane Q. Doe, Inc.\n{body}"]
+        forms = [text, body, *rows_of[: 5 if re.match(r"\s*(copyright \(c\)|permission|redistribution)", body, re.I) else 4], *("\n\n".join(again(p, n) for p in re.split(r"\n[ \t]*\n", text)) for n in (30, 57, 79, 10**6))]
         for form in forms:
             rows.append((len(rows), form, "en", "s"))
             want[len(want)] = path.stem.split("+")[0]
