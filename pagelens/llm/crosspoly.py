@@ -63,12 +63,19 @@ class Rotations:
         return np.hstack([y, -y])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, each row summed alone, so that equal pairs have equal scores wherever they are computed."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -126,6 +133,12 @@ def _nearest(rows: DataFrame, dim: int, n_rows: int, is_query, k: int, tables: i
                     ids.append(i)
                     ids.sort()
                     del ids[k + 1 :]
+            if len(seen) >= 20_000:  # what comes again is merged with it below
+                yield from entries(seen)
+                seen = {}
+        yield from entries(seen)
+
+    def entries(seen: dict[bytes, list[int]]) -> Iterator[pa.RecordBatch]:
         items = list(seen.items())
         for a in range(0, len(items), 5_000):
             part = items[a : a + 5_000]
