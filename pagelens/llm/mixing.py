@@ -4,10 +4,12 @@ Every source is laid out as a row of words: its documents go to shards by a seed
 order. A shard is cut into blocks of `block` words each. Sainte-Laguë's rule (the highest quotients words / (2 k + 1))
 gives whole numbers of blocks to parts, which hold about as many shards as a source has parts, and then to the shards of
 each part. So no apportionment handles more rows than the square root of a source's shards. A shard takes its quota of
-blocks from the front of its seeded order; a quota of more blocks than the shard has goes round once more. Between
-sources the targets themselves decide: a source has as many whole blocks as its target holds, which is what the rule
-gives where no source may exceed its target. What whole blocks leave open is taken as partial blocks, so that each source
-meets its target up to rounding.
+blocks from the front of its seeded order; a quota of more blocks than the shard has goes round once more.
+
+Between sources the same rule deals the blocks of the mix, with targets for shares: blocks go to the highest quotients target /
+(2 k + 1) as long as these reach half a block, which gives a source target / block blocks, rounded, whatever the number of
+sources is. Blocks are small enough that the smallest target has 64 of them. A source that has too few words for its blocks
+ends with a part of one.
 
 Rows: null and empty texts have size 0 and are never taken. A null source is a source of its own, last in the order of
 weights. Rows that share a doc_id are rows of their own. Extra columns are ignored. Empty tables give no rows. Of the
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.common import WORD, free_names, written
 from pagelens.operators.ordered import rank, running_total
+from pagelens.operators.politeness import numbered
 
 #: Documents that a shard holds on average; sources up to which their table is broadcast (some 100 bytes each).
 SHARD_DOCS, FEW_SOURCES = 128, 10_000
@@ -101,6 +104,18 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, r
     return filled.select("source", "n", "source_size", F.when(stops, most.cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
+def numbered_copies(sized: DataFrame) -> DataFrame:
+    """Adds `copy`: 0 for a row that is alone with its doc_id and text, else its number among its equals, so that these do not stay
+    together. Equals may change numbers freely; the rows of all together are the same."""
+    repeated = written(sized.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if repeated.isEmpty():
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.text_hash == b.text_hash)
+    alone = sized.join(repeated, same(sized, repeated), "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    own = sized.join(repeated, same(sized, repeated), "left_semi").withColumns({"key": F.xxhash64("doc_id", "text_hash"), "row": F.monotonically_increasing_id()})
+    return alone.unionByName(numbered(own, "key", ["row"], "copy").drop("key", "row"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7, block: int = 256) -> DataFrame:
     """`doc_id, text_hash, source, size, source_size, target, taken` for each row of `docs(doc_id, text, source)`.
 
@@ -121,7 +136,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     shards = F.ceil(F.col("n") / SHARD_DOCS).cast("long")
     sources = written(source_targets(per_source, weights, share, repeats).withColumns({"shards": shards, "parts": F.ceil(F.sqrt(shards)).cast("long")}), "targets")
 
-    order = F.xxhash64("doc_id", "text_hash", F.lit(seed))
+    least = sources.filter("target > 0").agg(F.min("target")).first()[0]
+    block = max(1, min(block, int((least or 0) // 64)))
+    sources = sources.withColumn("want", F.least(F.floor(F.col("target") / block + 0.5).cast("long") * block, repeats * F.col("source_size")))
+    sized = numbered_copies(sized)
+    order = F.xxhash64("doc_id", "text_hash", "copy", F.lit(seed))
     few = sources.count() <= FEW_SOURCES
     dealt = sized.withColumn("order", order).join(F.broadcast(sources) if few else sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "shards")).withColumn("part", F.col("shard") % F.col("parts"))
@@ -146,15 +165,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
         return run
 
-    per_shard = dealt.groupBy("source", "part", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    per_shard = dealt.groupBy("source", "part", "shard").agg(F.sum("size").alias("words"), F.first("want").alias("want"))
     per_shard = written(per_shard, "shards")
-    per_part = per_shard.groupBy("source", "part").agg(F.sum("words").alias("words"), F.round(F.first("target")).cast("long").alias("want"))
+    per_part = per_shard.groupBy("source", "part").agg(F.sum("words").alias("words"), F.first("want").alias("want"))
     of_parts = per_part.groupBy("source").applyInPandas(quotas("part"), "source string, part long, words long, quota long")
     of_parts = of_parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.col("quota").alias("want"))
     of_shards = per_shard.join(of_parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).select("source", "part", "shard", "words", "want")
     of_shards = of_shards.groupBy("source", "part").applyInPandas(quotas("shard"), "source string, shard long, words long, quota long")
 
-    seeded = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seeded = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = dealt.withColumn("to", F.sum("size").over(seeded)).withColumn("from", F.col("to") - F.col("size")).alias("d")
     q = of_shards.alias("q")
     joined = at.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
