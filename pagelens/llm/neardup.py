@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import free_names, n_partitions, slices, written
 from pagelens.llm.components import components
 
-HASHES, BAND_ROWS, BITS, SLACK = 128, 4, 4, 5.0
+HASHES, BAND_ROWS, BITS, SLACK = 128, 4, 4, 7.5
 #: Members of a family in a block of the second comparison.
 BLOCK = 500
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -222,16 +222,19 @@ def _rest(families: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """
     sizes = families.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("outside"), 1)) / BLOCK).cast("int").alias("out_blocks"))
     rows = families.join(sizes, "main").withColumn("deal", F.xxhash64("c")).join(texts, "c")
-    cols = ["main", "i", "j", "asks", "c", "root", "text"]
-    asking = rows.filter("outside").withColumns({"i": F.pmod("deal", "out_blocks").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
-    asked = rows.withColumns({"j": F.pmod("deal", "blocks").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)), "asks": F.lit(False)})
+    cols = ["main", "i", "j", "asks", "c", "root", "text", "to"]
+    parts = n_partitions(families.sparkSession)
+    # pairs of blocks of a family are numbered and dealt in turn, so that none of its tasks gets many more than another
+    to = F.pmod(F.pmod(F.xxhash64("main"), F.lit(parts)) + F.col("i").cast("long") * F.col("blocks") + F.col("j"), F.lit(parts)).cast("int")
+    asking = rows.filter("outside").withColumns({"i": F.pmod("deal", "out_blocks").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)}).withColumn("to", to)
+    asked = rows.withColumns({"j": F.pmod("deal", "blocks").cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)), "asks": F.lit(False)}).withColumn("to", to)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, so one pair of blocks is in memory at a time."""
         shingle = Shingler(words)
         block, rows = None, []
         for batch in batches:
-            for main, i, j, asks, c, root, text in zip(*(x.to_pylist() for x in batch.columns)):
+            for main, i, j, asks, c, root, text in zip(*(x.to_pylist() for x in batch.columns[:7])):
                 if (main, i, j) != block:
                     yield from links(rows)
                     block, rows = (main, i, j), []
@@ -262,7 +265,7 @@ def _rest(families: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     both = asking.select(*cols).unionByName(asked.select(*cols))
-    return both.repartition(n_partitions(families.sparkSession), "main", "i", "j").sortWithinPartitions("main", "i", "j").mapInArrow(compare, "a long, b long")
+    return both.repartitionById(parts, "to").sortWithinPartitions("main", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
