@@ -3,13 +3,12 @@
 The pieces of a fixed public vocabulary have a probability in each language. A word may be cut into pieces in many ways;
 its probability is the sum over all of them, which the forward algorithm finds: alpha(i) = sum of alpha(j) * p(piece from
 j to i). Words are runs of letters, lower-cased, with the vocabulary's mark of a word's start before them; runs of over
-`LONGEST` letters are scored in parts of that many. A text's log-probability is the sum over its words, and each distinct
+`LONGEST` letters go through the same sum one at a time, with few places kept. A text's log-probability is the sum over its words, and each distinct
 word is scored once for all its uses. Letters are the characters of Unicode's letter categories alone: digits, fractions,
 Roman numerals and other number signs are none.
 
 Piece probabilities are learned from training rows: texts of which the language is known. At most about `max_docs` rows
-of each language, drawn by a seeded hash of doc_id, and at most the `max_langs` most frequent languages are used; the
-words are cut by the vocabulary's own rule and the pieces counted, with the counts of all languages together as prior.
+of each language, drawn by a seeded hash of doc_id, are used; the words are cut by the vocabulary's own rule and the pieces counted, with the counts of all languages together as prior.
 Nothing but the text enters a prediction.
 
 A text is accepted if its language is plain (the best language holds at least the share `least`) and is one of those
@@ -35,6 +34,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pagelens.llm.common import _groups, free_names, slices
 
+#: Letters of words that are worked on together; longer ones are worked on alone.
 LONGEST, MARK = 100, "▁"
 #: Probability of a character outside the vocabulary, in every language; and a factor for each character, which keeps products within doubles.
 UNKNOWN, PER_CHAR = 1e-4, 20.0
@@ -42,7 +42,7 @@ UNKNOWN, PER_CHAR = 1e-4, 20.0
 PRIOR, FLOOR = 200.0, 1e-7
 #: Word characters that are neither letters nor decimal digits, such as fractions and Roman numerals.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS, LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
+WORDS, LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 class Pieces:
@@ -94,6 +94,14 @@ class Pieces:
 
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """log P(word) in each language, summed over all segmentations: words x languages. probs: pieces x languages, scaled by PER_CHAR to the power of a piece's length."""
+        if long := [k for k, w in enumerate(words) if len(w) > LONGEST]:
+            out = np.zeros((len(words), probs.shape[1]))
+            short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+            if short:
+                out[short] = self.forward([words[k] for k in short], probs)
+            for k in long:
+                out[k] = self._forward_long(words[k], probs)
+            return out
         sizes = np.array([len(w) + 1 for w in words])
         wide = int(sizes.max()) + 1
         es = [self.edges(w) for w in words]
@@ -114,6 +122,36 @@ class Pieces:
         return np.log(np.maximum(alpha[np.arange(len(words)), sizes], 1e-300)) - sizes[:, None] * np.log(PER_CHAR)
 
 
+    def _forward_long(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """forward() of one word of any length: only as many places are kept as a piece reaches over, and they are brought near 1
+        whenever they have become small."""
+        s, reach = MARK + word, max(map(len, self.number))
+        alpha = np.zeros((len(s) + 1 if len(s) <= reach else reach + 1, probs.shape[1]))  # a ring of places
+        n = len(alpha)
+        alpha[0] = 1
+        log = np.zeros(probs.shape[1])
+        for i in range(len(s)):
+            here = alpha[i % n].copy()
+            alpha[i % n] = 0  # the place is free for i + n
+            if i % 16 == 0:
+                top = np.maximum(here, alpha.max(0))
+                top = np.where(top > 0, top, 1)
+                log += np.log(top)
+                here /= top
+                alpha /= top
+            at, single = self.trie, False
+            for j in range(i, min(i + reach, len(s))):
+                at = at.get(s[j])
+                if at is None:
+                    break
+                if "" in at:
+                    alpha[(j + 1) % n] += here * probs[at[""]]
+                    single = single or j == i
+            if not single:
+                alpha[(i + 1) % n] += here * probs[0]
+        return np.log(np.maximum(alpha[len(s) % n], 1e-300)) + log - len(s) * np.log(PER_CHAR)
+
+
 _PIECES: dict[str, Pieces] = {}
 
 
@@ -141,11 +179,10 @@ def probabilities(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return p * PER_CHAR ** lengths[:, None]
 
 
-def learn(rows: DataFrame, vocabulary: str, max_docs: int, max_langs: int = 400, seed: int = 11) -> tuple[list[str], np.ndarray]:
+def learn(rows: DataFrame, vocabulary: str, max_docs: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from training rows `(doc_id, text, lang)`."""
     rows = rows.filter("lang is not null and text is not null")
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    per = {r["lang"]: r["n"] for r in most.collect()}  # at most max_langs rows
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(per)
     if not langs:
         return [], np.zeros((0, 0))
