@@ -170,7 +170,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     per_part = per_shard.groupBy("source", "part").agg(F.sum("words").alias("words"), F.first("want").alias("want"))
     of_parts = per_part.groupBy("source").applyInPandas(quotas("part"), "source string, part long, words long, quota long")
     of_parts = of_parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.col("quota").alias("want"))
-    of_shards = per_shard.join(of_parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).select("source", "part", "shard", "words", "want")
+    of_shards = per_shard.drop("want").join(of_parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).select("source", "part", "shard", "words", "want")
     of_shards = of_shards.groupBy("source", "part").applyInPandas(quotas("shard"), "source string, shard long, words long, quota long")
 
     seeded = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)

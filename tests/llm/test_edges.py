@@ -160,14 +160,16 @@ def test_mix_by_brute_force(docs, monkeypatch, shard_docs, block):
     monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)
     got = {r.doc_id: r for r in mixing.mix(docs, block=block).collect()}
     text = F.coalesce("text", F.lit(""))
-    order = F.xxhash64("doc_id", F.xxhash64(text), F.lit(7))
+    order = F.xxhash64("doc_id", F.xxhash64(text), F.lit(0).cast("long"), F.lit(7))  # no row has an equal
     rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"\S+")).alias("size"), order.alias("order"), F.xxhash64(order, F.lit(8)).alias("deal")).collect()
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
     sources = sorted(by, key=lambda s: (s is None, (s or "").encode()))
     targets = mixing.targets([sum(r["size"] for r in by[s]) for s in sources], [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5, 2)
-    for s, t in zip(sources, targets):
+    block = max(1, min(block, int(min(t for t in targets if t > 0) // 64)))
+    wants = [min(int(np.floor(t / block + 0.5)) * block, 2 * sum(r["size"] for r in by[s])) for s, t in zip(sources, targets)]
+    for s, t, want in zip(sources, targets, wants):
         shards = -(-len(by[s]) // shard_docs)
         parts = int(np.ceil(np.sqrt(shards)))
         shard = defaultdict(list)
@@ -175,7 +177,7 @@ def test_mix_by_brute_force(docs, monkeypatch, shard_docs, block):
             shard[r.deal % shards].append(r)
         words = {k: sum(r["size"] for r in v) for k, v in shard.items()}
         in_part = {p: sorted(k for k in words if k % parts == p) for p in sorted({k % parts for k in words})}
-        quota = dict(zip(in_part, single_seats([sum(words[k] for k in ks) for ks in in_part.values()], round(t), block, 2)))
+        quota = dict(zip(in_part, single_seats([sum(words[k] for k in ks) for ks in in_part.values()], want, block, 2)))
         for p, ks in in_part.items():
             for k, q in zip(ks, single_seats([words[k] for k in ks], quota[p], block, 2)):
                 at = 0
