@@ -6,6 +6,7 @@ filter the nulls: an inner `explode` of a named column would run the function tw
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,7 +14,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from pagelens.extract import css, html, jsonld, kernel, site_files, srcset
+from pagelens.extract import css, html, jsonld, site_files, srcset
+from pagelens.functions import binary as B
+from pagelens.functions import text as T
+from pagelens.functions import url as U
 
 _TEXT, _TEXTS, _URLS = pa.string(), pa.list_(pa.string()), pa.list_(pa.struct({"url": pa.string(), "kind": pa.string()}))
 HTML = pa.struct({
@@ -125,7 +129,8 @@ def decode(body: Column, content_type: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(bodies: pa.Array, types: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else html.charset(b, t).encode("utf-8", "replace").decode() for b, t in zip(bodies.to_pylist(), types.to_pylist())], pa.string())
+        read = lambda b, t: {"text": html.charset(b, t).encode("utf-8", "replace").decode()}
+        return pa.array([None if b is None else _guarded(read, b, t).get("text") for b, t in zip(bodies.to_pylist(), types.to_pylist())], pa.string())
 
     return run(body, content_type)
 
@@ -157,21 +162,31 @@ class _Sitemap:
 
 class _Jsonld:
     def eval(self, text: str):
-        for u in jsonld.jsonld_images(text or ""):
+        for u in _guarded(lambda: {"refs": jsonld.jsonld_images(text or "")}).get("refs") or ():
             yield (u,)
 
 
-def register(spark: SparkSession) -> None:
-    """For SQL: the scalar functions `url_normalize(url)`, `url_resolve(base, ref)`, `url_pattern(url)`, `url_host(url)` and `sniff_format(body)`,
-    and the table functions `html_refs`, `css_refs`, `srcset`, `sitemap_locs`, `jsonld_images`. From Python the column forms in `functions` stay in the JVM."""
+_OPERATOR = re.compile(r"'(?:[^'\\]|\\.)*'|(\b(?:and|or|not|in)|[=!<>+\-*/%&|^~]+)\(", re.S)
+
+
+def sql_text(column: Column) -> str:
+    """A column expression as SQL. It writes operators as functions, whose names are quoted for that."""
+    return _OPERATOR.sub(lambda m: m[0] if m[1] is None else f"`{m[1]}`(", column._jc.node().sql())
 
-    @F.arrow_udf("string")
-    def url_resolve(bases: pa.Array, refs: pa.Array) -> pa.Array:
-        return pa.array([None if b is None or r is None else kernel.resolve(b, r) for b, r in zip(bases.to_pylist(), refs.to_pylist())], pa.string())
 
-    spark.udf.register("url_resolve", url_resolve)
-    for name, kernel_fn in (("url_normalize", kernel.normalize), ("url_pattern", kernel.pattern), ("url_host", kernel.host), ("sniff_format", kernel.sniff)):
-        spark.udf.register(name, _values(kernel_fn, _TEXT))
+#: The scalar functions of SQL: their parameters and what they stand for.
+SCALARS = {
+    "url_normalize": ("url STRING", "STRING", lambda: U.normalize(F.col("url"))), "url_resolve": ("base STRING, ref STRING", "STRING", lambda: U.resolve(F.col("base"), F.col("ref"))),
+    "url_pattern": ("url STRING", "STRING", lambda: U.url_pattern(F.col("url"))), "url_host": ("url STRING", "STRING", lambda: U.host_of(F.col("url"))), "url_origin": ("url STRING", "STRING", lambda: U.origin_of(F.col("url"))),
+    "url_filename": ("url STRING", "STRING", lambda: U.url_filename(F.col("url"))), "sniff_format": ("body BINARY", "STRING", lambda: B.sniff(F.col("body"))), "collapse_text": ("value STRING", "STRING", lambda: T.collapse(F.col("value"))),
+}
+
+
+def register(spark: SparkSession) -> None:
+    """For SQL: the scalar functions of SCALARS, which are SQL themselves and stay in the JVM, and the table functions `html_refs`,
+    `css_refs`, `srcset`, `sitemap_locs`, `jsonld_images`."""
+    for name, (parameters, kind, made) in SCALARS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN ({sql_text(made())})")
     for name, cls, schema in (
         ("html_refs", _HtmlRefs, "url string, kind string, context string"),
         ("css_refs", _CssRefs, "url string, kind string"),

@@ -65,18 +65,18 @@ def within_bytes(images: DataFrame, order: list[str], size: Column, cap: int) ->
 def pattern_limited(pages: DataFrame, prior: DataFrame | None, limit: int, order: list[str]) -> DataFrame:
     """Adds `skip_reason`: `pattern_limit` for pages beyond `limit` of one pattern, counting `prior(pattern, n)` rows that are not skipped.
 
-    Only the first `limit` of a pattern can pass, so a rank is needed for those alone: ranks are cut off in two steps, by
-    salted parts first, and no part of a hot pattern carries more than `limit` rows on.
+    Only the first `limit` rows of a pattern can pass, so a task sends on that many of each at most (a window's group limit), and
+    the last one that passes is what all others are held against. A hot pattern is thus never ranked as a whole.
     """
     prior = prior if prior is not None else pages.sparkSession.createDataFrame([], "pattern string, n long")
-    salted = Window.partitionBy("pattern", F.pmod(F.xxhash64(*order), F.lit(64))).orderBy(*order)
-    part = pages.withColumn("_part_rank", F.row_number().over(salted))
-    hopeful = part.filter(F.col("_part_rank") <= limit)
-    ranked = hopeful.withColumn("_rank", F.row_number().over(Window.partitionBy("pattern").orderBy(*order)))
-    both = ranked.unionByName(part.filter(F.col("_part_rank") > limit).withColumn("_rank", F.lit(limit + 1)))
-    counted = both.join(prior.withColumnRenamed("n", "_prior"), "pattern", "left")
-    over = F.col("_rank") + F.coalesce("_prior", F.lit(0)) > limit
-    return counted.withColumn("skip_reason", F.when(over, "pattern_limit")).drop("_part_rank", "_rank", "_prior")
+    prior = prior.select(F.col("pattern").alias("_pattern"), F.col("n").alias("_prior"))
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy(*order))
+    first = pages.select("pattern", *order).withColumn("_place", place).filter(F.col("_place") <= limit)
+    passing = first.join(prior, F.col("pattern").eqNullSafe(F.col("_pattern")), "left").filter(F.col("_place") + F.coalesce("_prior", F.lit(0)) <= limit)
+    last = passing.groupBy(F.col("pattern").alias("_pattern")).agg(F.max(F.struct(*order)).alias("_last"))
+    held = pages.join(last, F.col("pattern").eqNullSafe(F.col("_pattern")), "left")
+    over = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+    return held.withColumn("skip_reason", F.when(over, "pattern_limit")).drop("_pattern", "_last")
 
 
 def first_pages(pages: DataFrame, remaining: int, order: list[str], n: int | None = None) -> DataFrame:

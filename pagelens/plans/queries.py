@@ -576,6 +576,51 @@ def cdx_queue(spark, sf_dir):
     return got.select(F.col("pos").alias("k"), "url", "outcome")
 
 
+def _line_files(df: DataFrame, line: Column, head: str | None, what: str) -> str:
+    """Lines as files of shared storage, each with the head first; the folder."""
+    from pagelens.storage import shared_folder
+
+    def with_head(batches):
+        if head is not None:
+            yield pd.DataFrame({"value": [head]})
+        yield from batches
+
+    folder = shared_folder(df.sparkSession, what)
+    df.select(line.alias("value")).mapInPandas(with_head, "value string").write.text(folder)
+    return folder
+
+
+@query("SELECT 'e.com/' || p_partkey AS original, '2020' AS \"timestamp\", 'image/png' AS mimetype FROM part WHERE p_partkey % 3 = 0")
+def cdx_source(spark, sf_dir):
+    """An archive index as a data source: a row for each part, of which those of one type are read."""
+    from pagelens.sources import lines
+
+    lines.register(spark)
+    k = F.col("k")
+    kind = F.when(k % 3 == 0, "image/png").otherwise("text/html")
+    row = _text('["com,e)/', F.col("s"), '","2020","e.com/', F.col("s"), '","', kind, '","200"],')
+    folder = _line_files(_parts(spark, sf_dir), row, '[["urlkey","timestamp","original","mimetype","statuscode"],', "cdx")
+    rows = spark.read.format("cdx").option("path", folder).option("bytes", 10_000).load()
+    return rows.filter("mimetype = 'image/png'").select("original", "timestamp", "mimetype")
+
+
+@query("SELECT url FROM pages")
+def url_list_source(spark, sf_dir):
+    """A list of URLs as a data source, with blank lines and comments between them."""
+    from pagelens.sources import lines
+
+    lines.register(spark)
+    folder = _line_files(table(spark, sf_dir, "pages"), _text("  ", F.col("url"), "  \n\n# ", F.col("url")), "# seeds", "urls")
+    return spark.read.format("urls").option("path", folder).option("bytes", 3_000).load()
+
+
+@query(f"SELECT page_id, {_HOST('url')} AS host, {_NORM} AS norm FROM pages")
+def sql_functions(spark, sf_dir):
+    """The scalar functions from SQL: they are SQL themselves, so nothing leaves the JVM."""
+    X.register(spark)
+    return spark.sql("SELECT page_id, url_host(url) AS host, url_normalize(url) AS norm FROM {pages}", pages=table(spark, sf_dir, "pages"))
+
+
 # Request log: events by user stand in for requests by host
 
 

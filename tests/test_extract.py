@@ -243,6 +243,7 @@ def test_sql_functions(spark):
     df.createOrReplaceTempView("sql_in")
     got = spark.sql("SELECT url_normalize(u), url_pattern(u), url_host(u), sniff_format(b), url_resolve('https://a.test/d/', u) FROM sql_in").collect()
     want = df.select(U.normalize(F.col("u")), U.url_pattern(F.col("u")), U.host_of(F.col("u")), B.sniff(F.col("b")), U.resolve(F.lit("https://a.test/d/"), F.col("u"))).collect()
+    assert "Python" not in spark.sql("SELECT url_normalize(u), url_pattern(u), url_host(u), url_origin(u), url_filename(u), sniff_format(b), url_resolve(u, '../x'), collapse_text(u) FROM sql_in")._jdf.queryExecution().toString()
     assert [tuple(r) for r in got] == [tuple(r) for r in want] and kernel.normalize(urls[0]) == "https://a.test/y%20z?q=1"
     spark.createDataFrame([("<img src=a.png><img src=b.png>",)], "h string").createOrReplaceTempView("docs_h")
     assert [r.url for r in spark.sql("SELECT t.url FROM docs_h, LATERAL html_refs(h, 'https://a.test/') t").collect()] == ["https://a.test/a.png", "https://a.test/b.png"]

@@ -109,4 +109,6 @@ def test_pattern_limit(spark):
     prior = spark.createDataFrame([("p", 1)], "pattern string, n long")
     got = {(r.pattern, r.seq): r.skip_reason for r in ladder.pattern_limited(df, prior, 3, ["seq"]).collect()}
     assert [got["p", i] for i in range(5)] == [None, None, "pattern_limit", "pattern_limit", "pattern_limit"] and got["q", 0] is None
+    plan = ladder.pattern_limited(df, prior, 3, ["seq"])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan  # a task sends on three rows of a pattern at most
     assert [r.seq for r in ladder.first_pages(df.filter("pattern = 'p'"), 2, ["seq"]).collect()] == [0, 1]

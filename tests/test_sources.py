@@ -1,4 +1,5 @@
 import json
+import time
 import logging
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -93,15 +94,67 @@ def test_stream_matches_batch_and_repeats_add_nothing(spark, tmp_path):
     assert got == sorted({(r.url, r.skip_reason) for r in discover.image_refs(df, scope).collect()}) and len(got) == 4
 
 
+def test_line_sources(spark, tmp_path):
+    """Any ranges give every line once; filters are applied while reading; a stream goes on where files have grown."""
+    from pagelens.sources import lines
+
+    lines.register(spark)
+    (tmp_path / "l").mkdir()
+    urls = [f"https://a.test/{'x' * (i % 40)}{i}" for i in range(300)]
+    (tmp_path / "l" / "a.txt").write_text("\n".join(f"{u}\n#{u}\n" for u in urls[:200]))
+    (tmp_path / "l" / "b.txt").write_text("\r\n".join(urls[200:]) + "\n")
+    (tmp_path / "l" / "c.txt").write_text("")
+    for n in (1, 7, 64, 1 << 20):
+        assert sorted(r.url for r in spark.read.format("urls").option("path", f"file://{tmp_path}/l").option("bytes", max(n, 500 if n < 64 else n)).load().collect()) == sorted(urls)
+    own = lines._Files(f"file://{tmp_path}/l")
+    for path, size in own.sizes().items():
+        for n in (1, 2, 3, 50):
+            cut = [x for a in range(0, size, n) for x in own.lines(path, a, min(a + n, size))]
+            assert cut == list(own.lines(path, 0, size))
+    rows = [["urlkey", "timestamp", "original", "mimetype"], ["k", "2020", "a.test/1.png", "image/png"], ["k", "2021", "a.test/2", "text/html"], ["k"], ["k", None, "a.test/3.png", "image/png"]]
+    (tmp_path / "i.json").write_text("[" + ",\n".join(map(json.dumps, rows)) + "]\n")
+    (tmp_path / "j.json").write_text(json.dumps([rows[0]]) + "\nnonsense\n")
+    read = lambda name: spark.read.format("cdx").option("path", f"file://{tmp_path}/{name}").load()
+    assert [(r.original, r.timestamp, r.mimetype) for r in read("i.json").orderBy("pos").collect()] == [("a.test/1.png", "2020", "image/png"), ("a.test/2", "2021", "text/html"), (None, None, None), ("a.test/3.png", None, "image/png")]
+    assert read("j.json").collect() == []
+    got = read("i.json").filter("mimetype = 'image/png' and original like '%3.png' and pos > 0")
+    assert [r.original for r in got.collect()] == ["a.test/3.png"]
+    stream = lambda: spark.readStream.format("urls").option("path", f"file://{tmp_path}/l").load().writeStream.format("parquet").option("path", f"file://{tmp_path}/got").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    stream()
+    first = spark.read.parquet(f"file://{tmp_path}/got").count()
+    with (tmp_path / "l" / "b.txt").open("a") as f:
+        f.write("https://a.test/new\nhttps://a.test/half")
+    (tmp_path / "l" / "d.txt").write_text("https://a.test/d\n")
+    stream()
+    after = sorted(r.url for r in spark.read.parquet(f"file://{tmp_path}/got").collect())
+    assert len(after) == first + 2 and {"https://a.test/new", "https://a.test/d"} <= set(after) and len(set(after)) == len(after)
+
+
 def test_streamed_streaks(spark, tmp_path):
-    log = spark.createDataFrame([("a", i, 429 if i != 3 else 200) for i in range(8)] + [("b", 0, 200)], "host string, seq long, status int")
-    log.filter("seq < 4").coalesce(1).write.parquet(f"file://{tmp_path}/log")
-    log.filter("seq >= 4").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"file://{tmp_path}/log")
-    q = discover.host_streaks(stream, 3).writeStream.format("memory").queryName("streaks").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
-    q.awaitTermination()
-    rows = {(r.host, r.seq): r for r in spark.table("streaks").collect()}
-    assert len(rows) == 9 and rows["a", 2].streak == 3 and rows["a", 2].interval == 2.0 and rows["a", 2].blocked and rows["b", 0].streak == 0
+    """Three micro-batches of the events, one of them late for its neighbours, give what the batch form gives."""
+    from pagelens.operators import politeness
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    log = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
+    ends = log.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    third = (ends.b - ends.a) / 3
+    late = F.col("seq") % 50 == 0
+    part = F.when((F.col("at") < ends.a + third) & ~late, 0).when(F.col("at") < ends.a + 2 * third, 1).otherwise(2)
+    last = spark.createDataFrame([("end", ends.b + third * 4, -1, 200)], log.schema)
+    for k in range(3):
+        log.filter(part == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+        time.sleep(1.1)  # files are taken in the order of their times
+    last.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/log").withWatermark("at", f"{int(third.total_seconds() * 2)} seconds")
+        q = discover.host_streaks(stream, 4, slot=3600.0).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").select("host", "seq", "streak", "interval", "blocked").collect())
+    want = politeness.bad_streaks(log, "host", ["at", "seq"], F.col("status") == 429, 1.0, 4).select("host", "seq", F.col("streak").cast("int"), "interval", "blocked").collect()
+    assert got == sorted(tuple(r) for r in want) and len(got) > 500
 
 
 def test_commands(spark, tmp_path, capsys):
