@@ -68,6 +68,12 @@ class Changes:
         """`u` of all rows up to a generation."""
         return self._upto(gen).filter("born").select("u")
 
+    def unseen(self, rows: DataFrame, gen: int) -> DataFrame:
+        """Those of `rows(u, ...)`, one for each key, whose key no row has up to a generation. The few that are known are found first, by
+        a hash table of the asking keys in each bucket: the table is passed over once, and neither sorted nor dealt."""
+        known = self.keys(gen).join(rows.select("u").hint("shuffle_hash"), "u", "left_semi")
+        return rows.join(known, "u", "left_anti")
+
     def current(self, gen: int) -> DataFrame:
         """The rows as they stand at a generation."""
         last = F.max_by(F.struct(*[f.name for f in self.varying]), "gen").alias("_last")

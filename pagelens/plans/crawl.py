@@ -138,7 +138,7 @@ class _Rounds:
         depth = F.when(section == 0, F.col("depth") + 1).when(section == 1, F.lit(1)).otherwise(F.col("depth"))
         rows = found.select(F.col("to").alias("u"), F.col("to_kind").alias("kind"), depth.alias("depth"), F.col("page_id").alias("parent"), "section", "pos").filter((section > 1) | (F.col("depth") <= deepest))
         moved = good.filter("moved").select(F.col("fu").alias("u"), F.lit("page").alias("kind"), "depth", F.col("page_id").alias("parent"), F.lit(6).alias("section"), F.lit(0).alias("pos"))
-        fresh = first_by(rows.unionByName(moved), ["u"], _ORDER).join(self.changes.keys(self.gen), "u", "left_anti")
+        fresh = self.changes.unseen(first_by(rows.unionByName(moved), ["u"], _ORDER), self.gen)
         fresh = fresh.join(index.urls, "u").withColumns({"pattern": F.when(section < 2, F.col("pattern")), "skip_reason": F.when(section == 6, "duplicate:redirect")})
         fresh = self._kept(fresh, f"fresh-{self.n}", {"n": F.count(F.lit(1)), "patterned": F.count("pattern"), "sitemaps": F.count_if(F.col("kind") == "sitemap")})
         n, patterned, sitemaps = (self.seen[k] for k in ("n", "patterned", "sitemaps"))

@@ -22,6 +22,8 @@ def test_changes_merge_on_read(spark, tmp_path):
     assert at(1) == want | {500: ("new", 7, "queued", None)}
     assert at(2) == want | {500: ("new", 7, "queued", None), 0: ("r0", 0, "failed", None)}
     assert sorted(r.u for r in c.keys(1).collect()) == [*range(100), 500] and c.keys(0).count() == 100
+    asked = spark.createDataFrame([(1,), (500,), (501,), (99,), (100,)], "u long")
+    assert sorted(r.u for r in c.unseen(asked, 1).collect()) == [100, 501] and sorted(r.u for r in c.unseen(asked, 0).collect()) == [100, 500, 501]
     again = Changes(spark, f"file://{tmp_path}/c'1", "name string, n int", "state string, note string", 4)  # as a later run finds it
     small = c.compact(f"file://{tmp_path}/c2", 2)
     assert at(2, again) == at(2) == at(2, small)
@@ -41,6 +43,10 @@ def test_what_meets_a_table_is_dealt_and_the_table_is_not(spark, tmp_path):
             assert rows is None or df.count() == rows
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = c.unseen(fresh, 0)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and plan.count("Bucketed: true") == 1 and c.unseen(fresh, 0).count() == 100
     undeclare(spark, c.path, f"file://{tmp_path}/l")
 
 
