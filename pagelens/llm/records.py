@@ -154,9 +154,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes the records of `docs` to shared storage and returns what their files hold."""
-    out = new_dir(docs.sparkSession, "records")
+def token_records(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None) -> DataFrame:
+    """Writes the records of `docs` and returns what their files hold. They stay in the folder `out`, or where none is named lie in
+    shared storage until the driver ends."""
+    out = out or new_dir(docs.sparkSession, "records")
     return read_records(docs.sparkSession, out, write_records(docs, out, tokenizer, end_id))
 
 
