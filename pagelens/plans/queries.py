@@ -600,7 +600,7 @@ def cdx_source(spark, sf_dir):
     kind = F.when(k % 3 == 0, "image/png").otherwise("text/html")
     row = _text('["com,e)/', F.col("s"), '","2020","e.com/', F.col("s"), '","', kind, '","200"],')
     folder = _line_files(_parts(spark, sf_dir), row, '[["urlkey","timestamp","original","mimetype","statuscode"],', "cdx")
-    rows = spark.read.format("cdx").option("path", folder).option("bytes", 10_000).load()
+    rows = spark.read.format("cdx").option("path", folder).option("bytes", 1 << 16).load()
     return rows.filter("mimetype = 'image/png'").select("original", "timestamp", "mimetype")
 
 
@@ -611,7 +611,7 @@ def url_list_source(spark, sf_dir):
 
     lines.register(spark)
     folder = _line_files(table(spark, sf_dir, "pages"), _text("  ", F.col("url"), "  \n\n# ", F.col("url")), "# seeds", "urls")
-    return spark.read.format("urls").option("path", folder).option("bytes", 3_000).load()
+    return spark.read.format("urls").option("path", folder).option("bytes", 1 << 16).load()
 
 
 @query(f"SELECT page_id, {_HOST('url')} AS host, {_NORM} AS norm FROM pages")
