@@ -30,6 +30,7 @@ def _parser() -> argparse.ArgumentParser:
     export = sub.add_parser("export", help="write the manifests again")
     export.add_argument("out")
     export.add_argument("--friendly", action="store_true")
+    export.add_argument("--one-file", action="store_true", help="each manifest as one file, not a folder of parts")
     retry = sub.add_parser("retry", help="queue what failed and go on")
     retry.add_argument("out")
     retry.add_argument("snapshot")
@@ -85,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "status":
             print(json.dumps(session.status(), indent=1))
         elif args.command == "export":
-            print("\n".join(session.export(args.friendly).values()))
+            print("\n".join(session.export(args.friendly, args.one_file).values()))
         elif args.command == "purge":
             print("\n".join(session.purge()))
         elif args.command == "archive":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions import url as U
 from pagelens.operators.ordered import in_ranges
+from pagelens.sources.sinks import write_document
 from pagelens.state import Store
 from pagelens.storage import file_system
 
@@ -101,12 +102,42 @@ def mirror_paths(image_url: DataFrame, file: DataFrame) -> DataFrame:
     return once.withColumn("n", n).select("path", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit("~"), F.col("n").cast("string"))).otherwise(""), "ext").alias("target"))
 
 
-def export_all(store: Store, friendly: bool = False) -> dict[str, str]:
-    """Writes `manifest.csv`, `manifest.json` and `urls.csv` into the output folder, each as a folder of parts of Spark's own commit
-    protocol, and on request the mirror tree. The parts of `manifest.json` one after another are one JSON document."""
+def csv_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """The `line`s of a CSV file with its head, in order; nulls come first."""
+    keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(order)]
+    body = rows.select(F.lit(1).alias("_place"), *keys, F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
+    blank = [F.lit(None).cast(body.schema[f"_{i}"].dataType).alias(f"_{i}") for i in range(len(order))]
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("_place"), *blank, F.lit(",".join(columns)).alias("line"))
+    return head.unionByName(body).orderBy("_place", *[f"_{i}" for i in range(len(order))]).select("line")
+
+
+def manifest_lines(rows: DataFrame) -> DataFrame:
+    """`manifest.csv` as lines."""
+    return csv_lines(rows.withColumn("fetched_at", stamp(F.col("fetched_at"))), MANIFEST_COLUMNS, ["file", "image_url", "page_url", "kind"])
+
+
+def audit_lines(audit: DataFrame) -> DataFrame:
+    """`urls.csv` as lines."""
+    return csv_lines(audit, URL_COLUMNS, ["image_id"])
+
+
+def export_all(store: Store, friendly: bool = False, one_file: bool = False) -> dict[str, str]:
+    """Writes `manifest.csv`, `manifest.json` and `urls.csv` into the output folder, and on request the mirror tree.
+
+    Each is a folder of parts of Spark's own commit protocol, those of `manifest.json` one after another being one JSON document;
+    with `one_file` each is one file, which takes the place of a folder of its name.
+    """
     t = store.tables()
     rows = manifest(t["page"], t["image_url"], t["file"], t["occurrence"])
     out = store.out
+    if one_file:
+        meta = store.meta()
+        write_document(manifest_lines(rows), f"{out}/manifest.csv")
+        write_document(document_lines(rows, meta.get("config", {}).get("seeds", []), meta.get("status")), f"{out}/manifest.json")
+        write_document(audit_lines(url_audit(t["image_url"], t["file"])), f"{out}/urls.csv")
+        if friendly:
+            link_tree(mirror_paths(t["image_url"], t["file"]), out)
+        return {n: f"{out}/{n}" for n in ("manifest.csv", "manifest.json", "urls.csv")}
     flat = manifest_ordered(rows).withColumn("fetched_at", stamp(F.col("fetched_at"))).select(*MANIFEST_COLUMNS)
     flat.write.mode("overwrite").csv(f"{out}/manifest.csv", header=True, escape='"')
     meta = store.meta()

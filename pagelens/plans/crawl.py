@@ -27,8 +27,9 @@ from pagelens.functions import url as U
 from pagelens.operators import ladder, policy, politeness
 from pagelens.operators.ordered import first_by, rank, running_total
 from pagelens.plans.linkindex import AGENT, MOST_ROBOTS_BYTES, LinkIndex
+from pagelens.sources.sinks import write_files
 from pagelens.state import FIXED, VARYING, Store, recover
-from pagelens.storage import file_system, kept, put_once
+from pagelens.storage import kept
 
 MOST_SITEMAPS = 1000
 _ORDER = ["parent", "section", "pos"]
@@ -362,18 +363,7 @@ class Crawl:
 
     def _write_files(self, saved: DataFrame, bodies: DataFrame) -> None:
         """Content-addressed files. A name depends on the content alone, so repeated attempts write the same file."""
-        out = self.cfg.out.rstrip("/")
-
-        def write(batches):
-            import pandas as pd
-
-            fs, root = file_system(out)
-            for t in batches:
-                for path, body in zip(t.path, t.body):
-                    put_once(fs, f"{root}/{path}", bytes(body))
-                yield pd.DataFrame({"n": [len(t)]})
-
-        saved.join(bodies, "image_id").select("path", "body").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+        write_files(saved.join(bodies, "image_id").select("path", "body"), self.cfg.out.rstrip("/"))
 
     def report(self, event: str, **more) -> dict:
         """Logs how far the crawl is, and gives it."""

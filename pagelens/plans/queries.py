@@ -487,6 +487,58 @@ def manifest_rows(spark, sf_dir):
     return export.manifest(s["page"], s["image_url"], s["file"], s["occurrence"]).select("file", "sha256", "bytes", "format", "image_url", "page_url", "kind", "context")
 
 
+def _written_lines(lines: DataFrame, name: str) -> DataFrame:
+    """`pos, line` of the one file that the lines are written to: its lines as they lie there."""
+    from pagelens.sources.sinks import write_document
+    from pagelens.storage import shared_folder
+
+    spark = lines.sparkSession
+    path = f"{shared_folder(spark, 'export')}/{name}"
+    write_document(lines, path)
+    back = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    return ordered.rank(back, ["_block", "_i"], "pos").select(F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query(_STATE_SQL + """
+    SELECT 1 AS pos, 'file,sha256,bytes,format,image_url,final_url,url_filename,page_url,kind,context,status,content_type,fetched_at' AS line
+    UNION ALL SELECT 1 + row_number() OVER (ORDER BY f.path, u.url, p.url NULLS FIRST, o.kind NULLS FIRST),
+        f.path || ',' || f.sha256 || ',' || f.bytes || ',png,' || u.url || ',,' || u.image_id || '.png,' || coalesce(p.url, '') || ',' || coalesce(o.kind, '') || ',' || coalesce(o.context, '') || ',200,image/png,'
+    FROM image_url u JOIN file f ON f.sha256 = u.sha256 LEFT JOIN occurrence o ON o.image_id = u.image_id LEFT JOIN page p ON p.page_id = o.page_id WHERE u.state = 'done'
+""")
+def manifest_file(spark, sf_dir):
+    """The lines of manifest.csv, written by many tasks as one file, in its order."""
+    s = _state(spark, sf_dir)
+    return _written_lines(export.manifest_lines(export.manifest(s["page"], s["image_url"], s["file"], s["occurrence"])), "manifest.csv")
+
+
+@query(_STATE_SQL + """
+    SELECT 1 AS pos, 'image_url,state,skip_reason,error,sha256,file,status,source' AS line
+    UNION ALL SELECT 1 + row_number() OVER (ORDER BY image_id), u.url || ',' || state || ',' || coalesce(skip_reason, '') || ',' || coalesce(error, '') || ',' || coalesce(u.sha256, '') || ',' || coalesce(f.path, '') || ',200,live'
+    FROM image_url u LEFT JOIN file f ON f.sha256 = u.sha256
+""")
+def urls_file(spark, sf_dir):
+    """The lines of urls.csv, written by many tasks as one file, in the order of the images."""
+    s = _state(spark, sf_dir)
+    return _written_lines(export.audit_lines(export.url_audit(s["image_url"], s["file"])), "urls.csv")
+
+
+@query("SELECT DISTINCT sha256(html) AS sha256, octet_length(encode(html)) AS bytes FROM pages WHERE html IS NOT NULL")
+def stored_files(spark, sf_dir):
+    """Bodies of pages as files under names of their content, as they are read back: equal bodies share a file."""
+    from pagelens.sources.sinks import write_files
+    from pagelens.storage import shared_folder
+
+    body = F.col("html").cast("binary")
+    sha = F.sha2(body, 256)
+    rows = table(spark, sf_dir, "pages").filter("html IS NOT NULL").select(F.concat(F.lit("files/"), F.substring(sha, 1, 2), F.lit("/"), sha).alias("path"), body.alias("body"))
+    folder = shared_folder(spark, "stored")
+    write_files(rows, folder)
+    if rows.isEmpty():
+        return spark.createDataFrame([], "sha256 string, bytes long")
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/files")
+    return back.filter(F.sha2("content", 256) == F.substring_index("path", "/", -1)).select(F.sha2("content", 256).alias("sha256"), F.col("length").cast("long").alias("bytes"))
+
+
 @query(_STATE_SQL + """
     SELECT f.sha256, count(DISTINCT u.url) AS urls, count(o.kind) AS refs
     FROM image_url u JOIN file f ON f.sha256 = u.sha256 LEFT JOIN occurrence o ON o.image_id = u.image_id WHERE u.state = 'done' GROUP BY 1

@@ -42,8 +42,8 @@ class Session:
         out["errors"] = [tuple(r) for r in reports.recent_errors(t["page"], t["image_url"]).collect()]
         return out
 
-    def export(self, friendly: bool = False) -> dict[str, str]:
-        return export.export_all(self.store, friendly)
+    def export(self, friendly: bool = False, one_file: bool = False) -> dict[str, str]:
+        return export.export_all(self.store, friendly, one_file)
 
     def retry(self, responses: DataFrame) -> tuple[str, int]:
         """Queues what failed once more and goes on."""

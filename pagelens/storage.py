@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +53,40 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
+#: Arrow's names of stores where a file is seen once it is closed, and where a rename is a copy.
+OBJECT_STORES = {"s3", "gcs", "abfs"}
+
+
+@contextmanager
+def written(fs, path: str):
+    """A stream to a file that is seen whole or not at all, and replaces what is there.
+
+    Files and HDFS write under a hidden name and rename, in one step. Object stores show a file once it is closed, so it is
+    written under its own name, without a rename; what an exception leaves there is deleted, and a killed task leaves nothing.
+    """
+    folder, _, base = path.rpartition("/")
+    at = path if fs.type_name in OBJECT_STORES else f"{folder}/.{base}.{uuid.uuid4().hex}.part"
+    out = fs.open_output_stream(at)
+    try:
+        yield out
+        out.close()
+    except BaseException:
+        if not out.closed:
+            out.close()
+        fs.delete_file(at)
+        raise
+    if at != path:
+        fs.move(at, path)
+
+
 def put_once(fs, path: str, data: bytes) -> None:
-    """Writes a file under a name that depends on its content; one that is there already stays, and none is ever seen half."""
+    """Writes a file under a name that depends on its content; one that is there already stays."""
     from pyarrow.fs import FileType
 
     if fs.get_file_info(path).type == FileType.NotFound:
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part) as f:
+        with written(fs, path) as f:
             f.write(data)
-        fs.move(part, path)
 
 
 def spread(scan: DataFrame, *by: str) -> DataFrame:

@@ -130,3 +130,22 @@ def test_lists_and_archive(spark, tmp_path):
 
     cdx = readers.cdx_rows(spark.createDataFrame([('[["original","timestamp","mimetype"],["site.test/a.png","2020","image/png"],["http://cdn.test/b.png","2021","image/png"],["http://evil.test/c.png","2021","image/png"]]',)], "json string"))
     assert s.queue_archive(cdx, "site.test") == (2, 1)
+
+
+def test_manifests_as_one_file_each(spark, finished):
+    """The files say what the folders say, and each form takes the place of the other."""
+    s, _, out = finished
+
+    def said():
+        table = [sorted(map(str, spark.read.csv(f"file://{out}/{n}", header=True).collect())) for n in ("manifest.csv", "urls.csv")]
+        parts = [out / "manifest.json"] if (out / "manifest.json").is_file() else sorted((out / "manifest.json").glob("part-*"))
+        return *table, json.loads("".join(p.read_text() for p in parts))
+
+    s.export()
+    folders = said()
+    for _ in range(2):
+        s.export(one_file=True)
+        assert all((out / n).is_file() for n in ("manifest.csv", "manifest.json", "urls.csv")) and said() == folders
+    assert not [p for p in out.iterdir() if p.name.startswith(".")]
+    s.export()
+    assert (out / "manifest.json").is_dir() and said() == folders
