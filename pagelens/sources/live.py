@@ -1,7 +1,7 @@
 """Live acquisition: fetches URLs into rows of a snapshot. Off unless called; everything else works on captured data.
 
-All URLs of a host go to one task, one after another, at the configured rate; at most `concurrency.global` hosts run side by side. Nothing outside the
-scope is asked for. Redirects are not followed here: they become rows with a `location`, which the crawl follows hop by hop.
+All URLs of a host go to one task, which has at most `concurrency.per_host` requests of it under way and starts them at the configured
+rate; at most `concurrency.global` hosts run side by side. Nothing outside the scope is asked for. Redirects are not followed here: they become rows with a `location`, which the crawl follows hop by hop.
 """
 
 from __future__ import annotations
@@ -10,10 +10,14 @@ import http.cookiejar
 import json
 import os
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,7 +72,7 @@ def load_cookies(path: str) -> http.cookiejar.CookieJar:
 
 
 class Client:
-    """One task's client: an opener and a pace for each host."""
+    """One task's client: an opener and a pace for each host. Several threads may ask at a time."""
 
     def __init__(self, cfg: Config, kind: str, most_bytes: int):
         handlers: list = [_NoRedirects()]
@@ -82,18 +86,21 @@ class Client:
         self.next: dict[str, float] = {}
         self.every: dict[str, float] = {}
         self.streak: dict[str, int] = {}
+        self.lock = threading.Lock()
 
     def _turn(self, host: str) -> None:
-        wait = self.next.get(host, 0.0) - time.monotonic()
-        if wait > 0:
-            time.sleep(wait)
+        """Takes the host's next turn and waits for it: turns are spaced, whoever takes them."""
         jitter = self.cfg.rate.jitter
-        self.next[host] = time.monotonic() + self.every.get(host, 1 / self.cfg.rate.per_host) * (1 + jitter * (2 * random.random() - 1))
+        with self.lock:
+            turn = max(time.monotonic(), self.next.get(host, 0.0))
+            self.next[host] = turn + self.every.get(host, 1 / self.cfg.rate.per_host) * (1 + jitter * (2 * random.random() - 1))
+        time.sleep(max(0.0, turn - time.monotonic()))
 
     def _note(self, host: str, status: int | None) -> None:
-        self.streak[host] = self.streak.get(host, 0) + 1 if status in BAD_STATUSES else 0
-        if self.streak[host] and self.streak[host] % 3 == 0:
-            self.every[host] = min(60.0, 2 * self.every.get(host, 1 / self.cfg.rate.per_host))
+        with self.lock:
+            self.streak[host] = self.streak.get(host, 0) + 1 if status in BAD_STATUSES else 0
+            if self.streak[host] and self.streak[host] % 3 == 0:
+                self.every[host] = min(60.0, 2 * self.every.get(host, 1 / self.cfg.rate.per_host))
 
     def get(self, host: str, url: str) -> dict:
         """A row of the snapshot; a null status is a transport error, a null body one that is too large."""
@@ -127,6 +134,18 @@ class Client:
         return row
 
 
+def _side_by_side(client: Client, host: str, urls: Iterable[str], at_once: int) -> Iterator[dict]:
+    """Rows of one host's URLs in their order, with so many requests under way and no more rows held."""
+    with ThreadPoolExecutor(at_once) as pool:
+        under_way: deque = deque()
+        for url in urls:
+            under_way.append(pool.submit(client.get, host, url))
+            if len(under_way) == at_once:
+                yield under_way.popleft().result()
+        while under_way:
+            yield under_way.popleft().result()
+
+
 def fetch(urls: DataFrame, cfg: Config, kind: str = "page", most_bytes: int | None = None) -> DataFrame:
     """Rows of a snapshot for `urls(url)` inside the scope. Write the result once: each evaluation asks again."""
     spark = urls.sparkSession
@@ -136,9 +155,10 @@ def fetch(urls: DataFrame, cfg: Config, kind: str = "page", most_bytes: int | No
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = Client(cfg, kind, most)
         for t in batches:
-            for host, url in zip(t.host, t.url):
-                row = client.get(host, url) | {"fetched_at": pd.Timestamp.now("UTC").tz_localize(None)}
-                yield pd.DataFrame({n: pd.Series([row.get(n)], dtype=object if n != "fetched_at" else None) for n in names})
+            for host, asked in groupby(zip(t.host, t.url), lambda pair: pair[0]):
+                for row in _side_by_side(client, host, (url for _, url in asked), cfg.concurrency.per_host):
+                    row |= {"fetched_at": pd.Timestamp.now("UTC").tz_localize(None)}
+                    yield pd.DataFrame({n: pd.Series([row.get(n)], dtype=object if n != "fetched_at" else None) for n in names})
 
     inside = urls.select(U.normalize(F.col("url")).alias("url")).filter(F.col("url").isNotNull() & policy.asset_reason(F.col("url"), cfg.scope).isNull()).distinct()
     by_host = inside.withColumn("host", U.host_of(F.col("url"))).repartition(cfg.concurrency.global_, "host").sortWithinPartitions("host", "url")

@@ -1,8 +1,8 @@
 import json
-import time
 import logging
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +80,37 @@ def test_live(spark, tmp_path, monkeypatch):
         live.extra_headers("H")
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_requests_of_a_host_side_by_side(at_once):
+    """So many are under way at a time, rows come in order, and starts keep the pace of the host."""
+    lock, now, most, starts = threading.Lock(), [0], [0], []
+
+    class Slow(BaseHTTPRequestHandler):
+        def do_GET(self):
+            with lock:
+                starts.append(time.monotonic())
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.15)
+            with lock:
+                now[0] -= 1
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Slow)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    cfg = build(Config, {"seeds": [base + "/"], "rate": {"per_host": 50.0, "jitter": 0.0}, "http": {"timeout": 5.0}}).settle()
+    rows = list(live._side_by_side(live.Client(cfg, "page", 100), "127.0.0.1", [f"{base}/{i}" for i in range(9)], at_once))
+    server.shutdown()
+    assert [bytes(r["body"]) for r in rows] == [f"/{i}".encode() for i in range(9)] and most[0] == at_once
+    assert starts[-1] - starts[0] >= 8 * 0.02 - 0.015
+
+
 def test_stream_matches_batch_and_repeats_add_nothing(spark, tmp_path):
     rows = [(f"https://e.com/{i}", 200, None, "text/html", None, None, bytearray(f'<img src="/{i % 3}.png"><img src="https://evil.com/x.png">'.encode()), None, None, None, None) for i in range(6)]
     df = spark.createDataFrame(rows, RESPONSE)
