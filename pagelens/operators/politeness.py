@@ -113,6 +113,7 @@ def redirect_ends(steps: DataFrame, most: int = MOST_HOPS) -> DataFrame:
 
     Steps of 1, 2, 4 ... hops are made by joining the table with itself, and those that make up `most` are put together, so a
     chain or a loop of any length takes log2(most) rounds and no row carries a chain. Where a hop is denied, it stands still.
+    Joins deal both sides: the size of URLs is underrated before they are made and as files, so none is sent to all tasks.
     """
     steps = kept(steps, "redirects")
     if steps.isEmpty():
@@ -122,7 +123,7 @@ def redirect_ends(steps: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     def after(f: DataFrame, g: DataFrame) -> DataFrame:
         """The hops of f, then those of g."""
         g = g.select(F.col("class").alias("_class"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
-        both = f.join(g, (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
+        both = f.join(g.hint("merge"), (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
         return kept(both.select("class", "at", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "hops")
 
     power, whole, left = steps.select("class", "at", "to", "hops"), None, most
@@ -135,7 +136,7 @@ def redirect_ends(steps: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     if whole is None:
         whole = steps.select("class", "at", F.col("at").alias("to"), F.lit(0).alias("hops"))
     there = steps.select(F.col("class").alias("_class"), F.col("at").alias("_at"), "why", F.lit(True).alias("_more"))
-    ends = whole.join(there, (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
+    ends = whole.join(there.hint("merge"), (F.col("class") == F.col("_class")) & (F.col("to") == F.col("_at")), "left")
     return ends.select(
         "class", "at", F.col("to").alias("final_url"), "hops", F.concat("why", F.lit(":redirect")).alias("denied"), F.when(F.col("_more") & F.col("why").isNull(), "too many redirects").alias("error")
     )
@@ -149,10 +150,10 @@ def follow_redirects(wanted: DataFrame, responses: DataFrame, reasons: dict[str,
     """
     ends = redirect_ends(redirect_steps(responses, reasons), most).withColumnsRenamed({"class": "_class", "at": "_from"})
     by = F.lit(next(iter(reasons))) if by is None else by
-    at = wanted.withColumn("_by", by).join(ends, (F.col("url") == F.col("_from")) & (F.col("_by") == F.col("_class")), "left")
+    at = wanted.withColumn("_by", by).join(ends.hint("merge"), (F.col("url") == F.col("_from")) & (F.col("_by") == F.col("_class")), "left")
     at = at.select(*wanted.columns, F.coalesce("final_url", "url").alias("final_url"), F.coalesce("hops", F.lit(0)).alias("hops"), "denied", "error")
     answers = responses.select(F.col("url").alias("_at"), F.col("status").cast("int").alias("status"))
-    out = at.join(answers, F.col("final_url") == F.col("_at"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_at").isNull(), "no response")))
+    out = at.join(answers.hint("merge"), F.col("final_url") == F.col("_at"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_at").isNull(), "no response")))
     return out.select(*wanted.columns, "final_url", "status", "hops", "denied", "error")
 
 

@@ -85,6 +85,18 @@ def test_redirects_by_doubling_equal_one_hop_at_a_time(spark):
         assert got[u, k] == (at, hops, stop, error or (None if at in answers else "no response"))
 
 
+def test_redirects_send_no_table_to_all_tasks(spark):
+    """Responses made of few rows look small to the optimizer, however many they are."""
+    responses = spark.range(3).select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"), "id").select(
+        F.format_string("https://e.com/%d/%d", "id", "i").alias("url"), F.when(F.col("i") < 5, 302).otherwise(200).alias("status"), F.when(F.col("i") < 5, F.format_string("https://e.com/%d/%d", "id", F.col("i") + 1)).alias("location")
+    )
+    wanted = spark.range(3).select(F.format_string("https://e.com/%d/0", "id").alias("url"))
+    ends = politeness.follow_redirects(wanted, responses, {"page": lambda u: F.lit(None).cast("string")})
+    assert "Broadcast" not in ends._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.final_url, r.hops, r.error) for r in ends.collect()) == [(f"https://e.com/{i}/5", 5, None) for i in range(3)]
+
+
+
 def test_spacing_and_streaks(spark):
     log = spark.createDataFrame([("h", i, 0.0, 429) for i in range(6)] + [("h", 6, 0.0, 200), ("h", 7, 0.0, 503)], "host string, seq int, at double, status int")
     got = sorted(politeness.bad_streaks(log, "host", ["seq"], F.col("status").isin(*politeness.BAD_STATUSES), 0.5, 6).collect(), key=lambda r: r.seq)
