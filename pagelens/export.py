@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
@@ -24,16 +24,25 @@ def stamp(col) -> F.col:
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def _images(image_url: DataFrame, file: DataFrame) -> DataFrame:
+    """A row for each stored image, with its file."""
+    u, f = image_url.filter("state = 'done'").alias("u"), file.alias("f")
+    return u.join(f, F.col("u.sha256") == F.col("f.sha256")).select(
+        F.col("u.image_id").alias("image_id"), F.col("f.path").alias("file"), F.col("f.sha256").alias("sha256"), F.col("f.bytes").alias("bytes"), F.col("f.format").alias("format"), F.col("u.url").alias("image_url"),
+        F.col("u.final_url").alias("final_url"), F.col("u.url_filename").alias("url_filename"), F.col("u.status").alias("status"), F.col("u.content_type").alias("content_type"), F.col("u.fetched_at").alias("fetched_at"),
+    )
+
+
+def _references(page: DataFrame, occurrence: DataFrame) -> DataFrame:
+    """A row for each reference with its page. Pages are looked up before anything of the images is there, so what is dealt for it stays narrow."""
+    o, p = occurrence.alias("o"), page.alias("p")
+    return o.join(p, F.col("p.page_id") == F.col("o.page_id"), "left").select(F.col("o.image_id").alias("_image"), F.col("p.url").alias("page_url"), F.col("o.kind").alias("kind"), F.col("o.context").alias("context"))
+
+
 def manifest(page: DataFrame, image_url: DataFrame, file: DataFrame, occurrence: DataFrame) -> DataFrame:
     """One row for each reference to each stored image; an image without references has one row without them."""
-    u = image_url.filter("state = 'done'").alias("u")
-    f, o, p = file.alias("f"), occurrence.alias("o"), page.alias("p")
-    rows = u.join(f, F.col("u.sha256") == F.col("f.sha256")).join(o, F.col("o.image_id") == F.col("u.image_id"), "left").join(p, F.col("p.page_id") == F.col("o.page_id"), "left")
-    return rows.select(
-        F.col("f.path").alias("file"), F.col("f.sha256").alias("sha256"), F.col("f.bytes").alias("bytes"), F.col("f.format").alias("format"), F.col("u.url").alias("image_url"),
-        F.col("u.final_url").alias("final_url"), F.col("u.url_filename").alias("url_filename"), F.col("p.url").alias("page_url"), F.col("o.kind").alias("kind"), F.col("o.context").alias("context"),
-        F.col("u.status").alias("status"), F.col("u.content_type").alias("content_type"), F.col("u.fetched_at").alias("fetched_at"),
-    )
+    rows = _images(image_url, file).join(_references(page, occurrence), F.col("image_id") == F.col("_image"), "left")
+    return rows.select(*MANIFEST_COLUMNS)
 
 
 def manifest_ordered(rows: DataFrame) -> DataFrame:
@@ -47,14 +56,29 @@ def url_audit(image_url: DataFrame, file: DataFrame) -> DataFrame:
     return joined.select("image_id", F.col("url").alias("image_url"), "state", "skip_reason", "error", "sha256", "file", "status", "source")
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    """A row for each file with `urls`, each with its `referenced_by`; references without a kind are none."""
-    ref = F.when(F.col("kind").isNotNull(), F.struct(F.col("page_url").alias("page"), "kind", "context"))
-    by_url = rows.groupBy("file", "sha256", "bytes", "format", "image_url", "final_url", "url_filename", "status", "content_type", "fetched_at").agg(F.array_sort(F.collect_list(ref)).alias("referenced_by"))
+def _gathered() -> Column:
+    """References in their order; those without a kind are none."""
+    return F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct(F.col("page_url").alias("page"), "kind", "context"))))
+
+
+def _files(by_url: DataFrame) -> DataFrame:
     url = F.struct(F.col("image_url").alias("url"), "final_url", "url_filename", "status", "content_type", stamp(F.col("fetched_at")).alias("fetched_at"), "referenced_by")
     return by_url.groupBy("file", "sha256", "bytes", "format").agg(F.array_sort(F.collect_list(url)).alias("urls"))
 
 
+def nested(rows: DataFrame) -> DataFrame:
+    """A row for each file with `urls`, each with its `referenced_by`."""
+    return _files(rows.groupBy("file", "sha256", "bytes", "format", "image_url", "final_url", "url_filename", "status", "content_type", "fetched_at").agg(_gathered().alias("referenced_by")))
+
+
+def nested_tables(page: DataFrame, image_url: DataFrame, file: DataFrame, occurrence: DataFrame) -> DataFrame:
+    """What `nested` gives for the manifest of these tables. References are gathered by image, before they meet its file."""
+    refs = _references(page, occurrence).repartition("_image").groupBy("_image").agg(_gathered().alias("refs"))
+    by_url = _images(image_url, file).join(refs, F.col("image_id") == F.col("_image"), "left")
+    none = F.array().cast(refs.schema["refs"].dataType)
+    return _files(by_url.withColumn("referenced_by", F.coalesce("refs", none)))
+
+
 def document_lines(rows: DataFrame, target: list[str], status: str | None) -> DataFrame:
     """`place, file, image_url, page_url, kind, line`: in this order the lines make one JSON document with `target`, `status` and
     the `files`, each with its `urls`, each with its `referenced_by`.

@@ -98,3 +98,24 @@ def test_lines_of_csv_hold_what_needs_quotes(spark, tmp_path):
     sinks.write_document(export.audit_lines(rows), f"file://{tmp_path}/u.csv")
     got = list(csv.reader(open(tmp_path / "u.csv", newline="")))
     assert got[0] == export.URL_COLUMNS and [r[:2] for r in got[1:]] == [["x", "y"], ["two\nlines", ""], ['say "a,b"', ""]]
+
+
+def _tables(spark):
+    page = spark.createDataFrame([(1, "https://e.com/1"), (2, "https://e.com/2")], "page_id long, url string")
+    image = spark.createDataFrame(
+        [(1, "https://e.com/a.png", "done", "x"), (2, "https://e.com/b.png", "done", "x"), (3, "https://e.com/c.png", "done", "y"), (4, "https://e.com/d.png", "failed", None)], "image_id long, url string, state string, sha256 string"
+    ).selectExpr("*", "cast(null as string) final_url", "'n' url_filename", "200 status", "'image/png' content_type", "cast(null as timestamp) fetched_at")
+    file = spark.createDataFrame([("x", "images/x.png", 5, "png"), ("y", "images/y.png", 6, "png")], "sha256 string, path string, bytes long, format string")
+    occurrence = spark.createDataFrame([(1, 2, "html:img@src", "c"), (1, 1, "html:img@src", "c"), (1, None, "list", ""), (2, 9, "html:a@href", "c"), (4, 1, "html:img@src", "c")], "image_id long, page_id long, kind string, context string")
+    return page, image, file, occurrence
+
+
+def test_pages_are_looked_up_before_references_meet_images(spark):
+    """What is dealt by pages has no columns of images, and references are gathered by image, as `nested` has them."""
+    t = _tables(spark)
+    rows = export.manifest(*t)
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and "image_id" in joins[0] and "page_id" in joins[1]
+    by_file = lambda df: sorted(df.collect(), key=lambda r: r.file)
+    got = by_file(export.nested_tables(*t))
+    assert got == by_file(export.nested(rows)) and [[len(u.referenced_by) for u in r.urls] for r in got] == [[3, 1], [0]]
