@@ -128,11 +128,11 @@ def mirror_paths(image_url: DataFrame, file: DataFrame) -> DataFrame:
 
 def csv_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """The `line`s of a CSV file with its head, in order; nulls come first."""
-    keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(order)]
-    body = rows.select(F.lit(1).alias("_place"), *keys, F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
-    blank = [F.lit(None).cast(body.schema[f"_{i}"].dataType).alias(f"_{i}") for i in range(len(order))]
-    head = rows.sparkSession.range(1).select(F.lit(0).alias("_place"), *blank, F.lit(",".join(columns)).alias("line"))
-    return head.unionByName(body).orderBy("_place", *[f"_{i}" for i in range(len(order))]).select("line")
+    have = rows.select(F.lit(1).alias("_place"), *columns, *[k for k in order if k not in columns])
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in have.schema][1:]
+    dealt = rows.sparkSession.range(1).select(F.lit(0).alias("_place"), *blank).unionByName(have).orderBy("_place", *order)
+    # lines are made once the rows lie in order: they repeat what the order is by
+    return dealt.select(F.when(F.col("_place") == 0, ",".join(columns)).otherwise(F.to_csv(F.struct(*columns), {"escape": '"'})).alias("line"))
 
 
 def manifest_lines(rows: DataFrame) -> DataFrame:

@@ -119,3 +119,27 @@ def test_pages_are_looked_up_before_references_meet_images(spark):
     by_file = lambda df: sorted(df.collect(), key=lambda r: r.file)
     got = by_file(export.nested_tables(*t))
     assert got == by_file(export.nested(rows)) and [[len(u.referenced_by) for u in r.urls] for r in got] == [[3, 1], [0]]
+
+
+def test_lines_of_a_file_are_numbered_where_they_lie(spark, monkeypatch):
+    """Their places in the file come from counts of its blocks: the lines are neither dealt nor written again."""
+    from pagelens.operators import ordered
+    from pagelens.plans import queries
+
+    def never(*_):
+        raise AssertionError("lines are written again")
+
+    monkeypatch.setattr(ordered, "kept", never)
+    for most in ("128m", "300b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            back = queries._written_lines(spark.range(500, numPartitions=3).select(F.concat(F.lit("line "), "id").alias("line")), "x.txt")
+            assert sorted(map(tuple, back.collect())) == [(i + 1, f"line {i}") for i in range(500)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sorted_lines_carry_no_text_twice(spark):
+    """Lines are made after the rows have been put in order."""
+    plan = export.manifest_lines(export.manifest(*_tables(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_csv" in plan and plan.index("to_csv") < plan.index("Sort [")
