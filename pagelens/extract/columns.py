@@ -46,6 +46,25 @@ def _structs(rows: list[dict], kind: pa.StructType) -> pa.Array:
     return pa.array(rows, kind)
 
 
+#: Characters or bytes of input whose Python objects, and those made of them, are held at a time.
+_HELD = 1 << 20
+
+
+def _each(kernel_fn: Callable, kind: pa.DataType, *arrays: pa.Array) -> pa.Array:
+    """What a kernel makes of each row. A batch has up to ten thousand bodies: they become Python objects one by one, and what
+    is found in them goes back to Arrow after each megabyte of them, so that a worker never holds a batch as objects."""
+    made, rows, held = [], [], 0
+    as_array = _structs if pa.types.is_struct(kind) else pa.array
+    for scalars in zip(*arrays):
+        values = [v.as_py() for v in scalars]
+        rows.append(kernel_fn(*values))
+        held += 1024 + sum(len(v) for v in values if v is not None)
+        if held > _HELD:
+            made.append(as_array(rows, kind))
+            rows, held = [], 0
+    return pa.concat_arrays([*made, as_array(rows, kind)])
+
+
 def html_refs(body: Column, page_url: Column, options: html.Options = html.Options()) -> Column:
     """Everything that a document refers to, as one struct."""
 
@@ -55,7 +74,7 @@ def html_refs(body: Column, page_url: Column, options: html.Options = html.Optio
 
     @F.arrow_udf(from_arrow_type(HTML))
     def run(bodies: pa.Array, urls: pa.Array) -> pa.Array:
-        return _structs([_guarded(one, t, u) for t, u in zip(bodies.to_pylist(), urls.to_pylist())], HTML)
+        return _each(lambda t, u: _guarded(one, t, u), HTML, bodies, urls)
 
     return run(body, page_url)
 
@@ -66,7 +85,7 @@ def html_links(body: Column, page_url: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def run(bodies: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([_guarded(lambda t, u: {"links": html.read(t or "", u or "", options).links}, t, u).get("links") for t, u in zip(bodies.to_pylist(), urls.to_pylist())], pa.list_(pa.string()))
+        return _each(lambda t, u: _guarded(lambda: {"links": html.read(t or "", u or "", options).links}).get("links"), _TEXTS, bodies, urls)
 
     return run(body, page_url)
 
@@ -78,7 +97,7 @@ def css_refs(text: Column, mode: str = "largest", prefix: str = "css") -> Column
 
     @F.arrow_udf(from_arrow_type(CSS))
     def run(texts: pa.Array) -> pa.Array:
-        return _structs([_guarded(one, t) for t in texts.to_pylist()], CSS)
+        return _each(lambda t: _guarded(one, t), CSS, texts)
 
     return run(text)
 
@@ -88,7 +107,7 @@ def sitemap_refs(body: Column) -> Column:
 
     @F.arrow_udf(from_arrow_type(SITEMAP))
     def run(bodies: pa.Array) -> pa.Array:
-        return _structs([_guarded(lambda b: site_files.sitemap(b or b"")._asdict(), b) for b in bodies.to_pylist()], SITEMAP)
+        return _each(lambda b: _guarded(lambda: site_files.sitemap(b or b"")._asdict()), SITEMAP, bodies)
 
     return run(body)
 
@@ -98,7 +117,7 @@ def _values(kernel_fn: Callable, kind: pa.DataType = _TEXTS):
 
     @F.arrow_udf(from_arrow_type(kind))
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else _guarded(lambda x: {"value": kernel_fn(x)}, v).get("value") for v in values.to_pylist()], kind)
+        return _each(lambda v: None if v is None else _guarded(lambda: {"value": kernel_fn(v)}).get("value"), kind, values)
 
     return run
 
@@ -130,7 +149,7 @@ def decode(body: Column, content_type: Column) -> Column:
     @F.arrow_udf("string")
     def run(bodies: pa.Array, types: pa.Array) -> pa.Array:
         read = lambda b, t: {"text": html.charset(b, t).encode("utf-8", "replace").decode()}
-        return pa.array([None if b is None else _guarded(read, b, t).get("text") for b, t in zip(bodies.to_pylist(), types.to_pylist())], pa.string())
+        return _each(lambda b, t: None if b is None else _guarded(read, b, t).get("text"), _TEXT, bodies, types)
 
     return run(body, content_type)
 

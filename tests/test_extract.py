@@ -248,3 +248,18 @@ def test_sql_functions(spark):
     spark.createDataFrame([("<img src=a.png><img src=b.png>",)], "h string").createOrReplaceTempView("docs_h")
     assert [r.url for r in spark.sql("SELECT t.url FROM docs_h, LATERAL html_refs(h, 'https://a.test/') t").collect()] == ["https://a.test/a.png", "https://a.test/b.png"]
     assert spark.sql("SELECT * FROM srcset('a 1x, b 2x')").count() == 2
+
+
+def test_bodies_are_objects_for_a_megabyte_at_a_time(monkeypatch):
+    """However many rows a batch has, what is found goes back to Arrow after each megabyte of bodies; rows and nulls keep their places."""
+    import pyarrow as pa
+
+    from pagelens.extract import columns
+
+    held, made = [], columns._structs
+    monkeypatch.setattr(columns, "_structs", lambda rows, kind: held.append(len(rows)) or made(rows, kind))
+    texts = pa.array([None if i == 7 else f"{i:06d}" + "x" * 300_000 for i in range(20)])
+    got = columns._each(lambda t: {"imports": [] if t is None else [t[:6]], "error": None}, columns.CSS, texts)
+    assert max(held) <= 5 and sum(held) == 20
+    assert [r["imports"] for r in got.to_pylist()] == [[] if i == 7 else [f"{i:06d}"] for i in range(20)]
+    assert len(columns._each(lambda t: {}, columns.CSS, texts[:0])) == 0
