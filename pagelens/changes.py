@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def n_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows that a bucket holds before a table gets more buckets than there are cores.
+ROWS_A_BUCKET = 50_000
+
+
+def n_buckets(spark: SparkSession, rows: int | None = None) -> int:
+    """As many as there are shuffle partitions. Where the rows have been counted the number follows them, as each bucket is a task
+    and a file of every step, and what meets a bucket is held in memory."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return most if rows is None else max(min(most, spark.sparkContext.defaultParallelism), -(-rows // ROWS_A_BUCKET))
 
 
 def _name(path: str) -> str:
@@ -39,6 +46,12 @@ def bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def beside(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows dealt as the buckets are. In a join with a table in buckets they are the hash table of each bucket, and the table is
+    passed over once, neither dealt nor sorted nor sent to all tasks, however many buckets and shuffle partitions there are."""
+    return rows.repartition(buckets, key).hint("shuffle_hash")
+
+
 def undeclare(spark: SparkSession, *paths: str) -> None:
     """Forgets the names; the files stay."""
     for path in paths:
@@ -71,7 +84,7 @@ class Changes:
     def unseen(self, rows: DataFrame, gen: int) -> DataFrame:
         """Those of `rows(u, ...)`, one for each key, whose key no row has up to a generation. The few that are known are found first, by
         a hash table of the asking keys in each bucket: the table is passed over once, and neither sorted nor dealt."""
-        known = self.keys(gen).join(rows.select("u").hint("shuffle_hash"), "u", "left_semi")
+        known = self.keys(gen).join(beside(rows.select("u"), "u", self.buckets), "u", "left_semi")
         return rows.join(known, "u", "left_anti")
 
     def current(self, gen: int) -> DataFrame:

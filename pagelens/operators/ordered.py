@@ -38,10 +38,17 @@ FEW = 100_000
 
 
 def rank(df: DataFrame, order: Sequence[str], out: str, n: int | None = None) -> DataFrame:
-    """Adds `out`: the place of each row in the order, from 1. Where the caller has counted the rows, few of them take the short way."""
+    """Adds `out`: the place of each row in the order, from 1. Where the caller has counted the rows, few of them take the short way.
+
+    Rows are sorted in ranges before they are kept, so the place of a row in its file and the rows of the files before that make
+    its rank: rows are dealt once, whatever else they carry.
+    """
     if n is not None and n <= FEW:
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return running_total(df, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1)
+    dealt = kept(df.repartitionByRange(*order).sortWithinPartitions(*order), "ranges").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    files = dealt.groupBy("_file").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return dealt.join(F.broadcast(files.select("_file", before.alias("_before"))), "_file").withColumn(out, F.col("_before") + F.col("_index") + 1).select(*df.columns, out)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens import reports
-from pagelens.changes import Changes, undeclare
+from pagelens.changes import Changes, beside, undeclare
 from pagelens.config import Config
 from pagelens.extract import html, rewrite
 from pagelens.functions import binary as B
@@ -106,7 +106,8 @@ class _Rounds:
         self.n += 1
         index = self.index
         answers = index.answers.withColumnsRenamed({"u": "_u", "kind": "_kind"})
-        done = frontier.join(answers, (F.col("u") == F.col("_u")) & (F.col("kind") == F.col("_kind"))).drop("_u", "_kind")
+        same = F.col("kind").between(F.col("_kind"), F.col("_kind"))  # no key, else the buckets of `u` alone would not do
+        done = beside(frontier, "u", index.buckets).join(answers, (F.col("u") == F.col("_u")) & same).drop("_u", "_kind")
         page, state = F.col("kind") == "page", F.col("state")
         step = self._kept(done.withColumn("round", F.lit(self.n)), f"step-{self.n}", {
             "started": F.count_if(page & state.isin("done", "failed")), "pages": F.count_if(page & state.isin("done", "failed")), "pages_failed": F.count_if(page & (state == "failed")),
@@ -134,13 +135,14 @@ class _Rounds:
         index, cfg = self.index, self.cfg
         deepest = cfg.limits.max_depth
         links = index.links.withColumnsRenamed({"u": "to", "kind": "to_kind"})
-        found = good.select("page_id", "depth", "fu", F.col("kind").alias("skind0")).join(links, (F.col("fu") == F.col("src")) & (F.col("skind0") == F.col("skind")))
+        readers = beside(good.select("page_id", "depth", "fu", F.col("kind").alias("skind0")), "fu", index.buckets)
+        found = readers.join(links, (F.col("fu") == F.col("src")) & F.col("skind0").between(F.col("skind"), F.col("skind")))
         section = F.col("section")
         depth = F.when(section == 0, F.col("depth") + 1).when(section == 1, F.lit(1)).otherwise(F.col("depth"))
         rows = found.select(F.col("to").alias("u"), F.col("to_kind").alias("kind"), depth.alias("depth"), F.col("page_id").alias("parent"), "section", "pos").filter((section > 1) | (F.col("depth") <= deepest))
         moved = good.filter("moved").select(F.col("fu").alias("u"), F.lit("page").alias("kind"), "depth", F.col("page_id").alias("parent"), F.lit(6).alias("section"), F.lit(0).alias("pos"))
-        fresh = self.changes.unseen(first_by(rows.unionByName(moved), ["u"], _ORDER), self.gen)
-        fresh = fresh.join(index.urls, "u").withColumns({"pattern": F.when(section < 2, F.col("pattern")), "skip_reason": F.when(section == 6, "duplicate:redirect")})
+        wanted = self._kept(first_by(rows.unionByName(moved), ["u"], _ORDER), f"wanted-{self.n}")
+        fresh = beside(self.changes.unseen(wanted, self.gen), "u", index.buckets).join(index.urls, "u").withColumns({"pattern": F.when(section < 2, F.col("pattern")), "skip_reason": F.when(section == 6, "duplicate:redirect")})
         fresh = self._kept(fresh, f"fresh-{self.n}", {"n": F.count(F.lit(1)), "patterned": F.count("pattern"), "sitemaps": F.count_if(F.col("kind") == "sitemap")})
         n, patterned, sitemaps = (self.seen[k] for k in ("n", "patterned", "sitemaps"))
         if not n:

@@ -66,7 +66,15 @@ class LinkIndex:
             "manifest": kind.contains("json") | kind.contains("manifest") | path.endswith(".json") | path.endswith(".webmanifest"), "browserconfig": xml,
         }
         reads = {k: sound & F.coalesce(v if asked is None else F.array_contains("asked", k), F.lit(False)) for k, v in looks.items()}
-        base = base.withColumns({f"is_{k}": v for k, v in reads.items()})
+        # Pages may lie in few files, as their bodies are small beside those of images: what is to be read is dealt by URL, so that
+        # all cores read alike, and other bodies are left behind.
+        robots = F.col("url").endswith("/robots.txt") & (U.path_and_query(F.col("url")) == "/robots.txt")
+        base = base.withColumns({f"is_{k}": v for k, v in reads.items()}).withColumn("is_robots", robots)
+        wanted = F.col("is_robots")
+        for k in KINDS:
+            wanted = wanted | F.col(f"is_{k}")
+        parts = min(n_buckets(self.spark), 4 * self.spark.sparkContext.defaultParallelism)  # by number, for reading costs more than its bytes tell
+        base = base.withColumn("body", F.when(wanted, F.col("body"))).repartition(parts, "url")
         on = lambda k, c: F.when(F.col(f"is_{k}"), F.col(c))
         text = X.decode(F.when(F.col("is_page") | F.col("is_css"), F.col("body")), F.col("ctype"))
         base = base.withColumn("text", text).withColumns({
@@ -74,15 +82,14 @@ class LinkIndex:
             "css": X.css_refs(on("css", "text"), cfg.filters.srcset), "map": X.sitemap_refs(on("sitemap", "body")), "icons": X.manifest_refs(on("manifest", "body")), "tiles": X.browserconfig_refs(on("browserconfig", "body")),
         })
         wants = policy.render_wanted(F.col("url"), F.col("html.mount_nodes"), F.col("html.text_chars"), F.col("html.noscript_js"), F.size("html.images"), cfg.render.mode, cfg.render.patterns)
-        robots = F.col("url").endswith("/robots.txt") & (U.path_and_query(F.col("url")) == "/robots.txt")
         short = F.length("body") <= MOST_ROBOTS_BYTES
         base = base.withColumns({
             "rendered": F.col("is_page") & F.col("rendered_html").isNotNull() & F.coalesce(wants, F.lit(False)),
-            "robots": F.when(robots, F.struct(F.when(short, F.col("http")).alias("status"), F.when(short, F.make_valid_utf8("body")).alias("body"))),
+            "robots": F.when(F.col("is_robots"), F.struct(F.when(short, F.col("http")).alias("status"), F.when(short, F.make_valid_utf8("body")).alias("body"))),
         })
         faults = {"page": F.coalesce("html.error", F.when(F.col("rendered"), F.col("live.error"))), "css": F.col("css.error"), "sitemap": F.col("map.error")}
         faults |= {k: F.when(F.col(f"is_{k}") & F.col(c).isNull(), "unreadable body") for k, c in (("manifest", "icons"), ("browserconfig", "tiles"))}
-        return base.withColumn("faults", F.struct(*[v.alias(k) for k, v in faults.items()])).drop("body", "text", "rendered_html", "path", "asked")
+        return base.withColumn("faults", F.struct(*[v.alias(k) for k, v in faults.items()])).drop("body", "text", "rendered_html", "path", "asked", "is_robots")
 
     def read(self, responses: DataFrame) -> "LinkIndex":
         """Reads all bodies."""
@@ -166,9 +173,10 @@ class LinkIndex:
             links = self._kept(self._links(), f"found-{len(self.parts)}")
         asked = links.select("url", "kind").unionByName(queued).distinct()
         every = self.parts[0].select("url").unionByName(links.select("url")).unionByName(ends.select(F.col("final_url").alias("url"))).unionByName(known.select("url")).distinct()
-        buckets = self.buckets = n_buckets(self.spark)
         every = self._kept(every, "every")
-        numbers = rank(every, ["url"], "u", every.count()).select("u", "url", U.url_pattern(F.col("url")).alias("pattern"))
+        n = every.count()
+        buckets = self.buckets = n_buckets(self.spark, n)
+        numbers = rank(every, ["url"], "u", n).select("u", "url", U.url_pattern(F.col("url")).alias("pattern"))
         self.urls = bucketed(numbers, f"{self.root}/urls", "u", buckets)
         by_url = self.urls.select("u", "url")
         there = by_url.select(F.col("u").alias("src"), F.col("url").alias("src_url"))

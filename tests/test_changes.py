@@ -3,9 +3,11 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagelens.changes import Changes, bucketed, undeclare
+from pagelens.changes import Changes, beside, bucketed, n_buckets, undeclare
 from pagelens.config import Config, build
+from pagelens.extract import html
 from pagelens.plans import crawl
+from pagelens.plans.linkindex import LinkIndex
 from pagelens.schema import RESPONSE
 
 
@@ -80,3 +82,42 @@ def test_a_crawl_reads_each_body_once_and_writes_what_is_new(spark, tmp_path):
     )
     assert all(rows <= 2 for _, _, rows in sizes) and len({g for g, _, _ in sizes}) == n + 2
     assert [p.name for p in (tmp_path / "o/_state").iterdir() if p.name.startswith("run-")] == []
+
+
+def test_buckets_follow_the_rows(spark):
+    """A small crawl has a bucket for each core, however many shuffle partitions there are, and a large one has more than those."""
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert n_buckets(spark) == 200 and n_buckets(spark, 0) == n_buckets(spark, 50_000) == cores
+        assert n_buckets(spark, 2_500_000) == 50 and n_buckets(spark, 20_000_001) == 401
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_what_is_asked_by_number_and_kind_leaves_the_buckets_where_they_are(spark, tmp_path):
+    """Fewer buckets than shuffle partitions, and a kind beside the number: the table is neither dealt nor sent to all tasks."""
+    links = bucketed(spark.range(600).select((F.col("id") % 100).alias("src"), F.when(F.col("id") % 3 == 0, "css").otherwise("page").alias("skind"), "id"), f"file://{tmp_path}/l", "src", 3)
+    asked = spark.range(50).select(F.col("id").alias("fu"), F.lit("css").alias("k"))
+    found = beside(asked, "fu", 3).join(links, (F.col("fu") == F.col("src")) & F.col("k").between(F.col("skind"), F.col("skind")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "ShuffledHashJoin" in plan
+    assert sorted(r.id for r in found.collect()) == [i for i in range(600) if i % 100 < 50 and i % 3 == 0]
+    undeclare(spark, f"file://{tmp_path}/l")
+
+
+def test_bodies_are_dealt_before_they_are_read(spark, tmp_path):
+    """All pages lie in one file: they are read in several tasks nonetheless, and bodies of images stay behind."""
+    page, image = F.format_string("https://a.test/%d", "id"), F.format_string("https://a.test/%d.png", "id")
+    pages = spark.range(400).select(page.alias("url"), F.lit("text/html").alias("content_type"), F.format_string('<a href="/%d">x</a>', F.col("id") + 1).cast("binary").alias("body"))
+    images = spark.range(400).select(image.alias("url"), F.lit("image/png").alias("content_type"), F.repeat(F.lit("x"), 5000).cast("binary").alias("body"))
+    rows = pages.unionByName(images).withColumn("status", F.lit(200))
+    schema = spark.createDataFrame([], RESPONSE).schema
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).coalesce(1).write.parquet(f"file://{tmp_path}/s")
+    cfg = build(Config, {"seeds": ["https://a.test/0"], "out": f"file://{tmp_path}/o", "render": {"mode": "never"}}).settle()
+    index = LinkIndex(spark, f"file://{tmp_path}/run", cfg, html.Options())
+    parsed = index._parsed(spark.read.schema(schema).parquet(f"file://{tmp_path}/s"))
+    own = parsed.withColumn("part", F.spark_partition_id()).filter("is_page").groupBy("part").count().collect()
+    assert len(own) == 4 and sum(r["count"] for r in own) == 400 and max(r["count"] for r in own) < 200
+    assert parsed.filter("is_page").selectExpr("min(size(html.links))").first()[0] == 1 and parsed.filter("not is_page").count() == 400

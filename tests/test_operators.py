@@ -97,6 +97,17 @@ def test_redirects_send_no_table_to_all_tasks(spark):
 
 
 
+def test_ranks_deal_rows_once(spark):
+    """The rank of a row comes from its place in the sorted files: what it carries is not dealt again to be numbered."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("a"), F.lit("x" * 50).alias("body"))
+    df = df.withColumn("a", F.when(F.col("a") > 0, F.col("a")))
+    got = ordered.rank(df, ["a"], "n")
+    assert "body" not in "".join(s for s in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in s or "Aggregate" in s)
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and plan.count("hashpartitioning") == 1
+    assert got.columns == ["a", "body", "n"] and sorted((r.a or 0, r.n) for r in got.collect()) == [(i, i + 1) for i in range(5000)]
+    assert ordered.rank(df.limit(0), ["a"], "n").count() == 0
+
+
 def test_spacing_and_streaks(spark):
     log = spark.createDataFrame([("h", i, 0.0, 429) for i in range(6)] + [("h", 6, 0.0, 200), ("h", 7, 0.0, 503)], "host string, seq int, at double, status int")
     got = sorted(politeness.bad_streaks(log, "host", ["seq"], F.col("status").isin(*politeness.BAD_STATUSES), 0.5, 6).collect(), key=lambda r: r.seq)
